@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, quality_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_docs(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_docs(spark, sf_dir))
 
@@ -27,12 +31,53 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
+    "op5_quality_rules": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   string_split(coalesce(text, ''), chr(10)) AS lines
+            FROM documents
+        ), win AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t)
+        ), rep AS (
+            SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
+        ), cov AS (
+            SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM rep) GROUP BY doc_id
+        ), ln AS (
+            SELECT doc_id, host, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, host, unnest(lines) AS line FROM t)
+        ), freq AS (
+            SELECT host, key FROM ln WHERE key <> '' GROUP BY host, key HAVING count(DISTINCT doc_id) > 50
+        ), gone AS (
+            SELECT doc_id, sum(len(regexp_extract_all(key, '[^\x20\x09-\x0D]+'))) AS n_gone
+            FROM ln JOIN freq USING (host, key) GROUP BY doc_id
+        ), b AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                   - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, n_gone
+            FROM t LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)
+        ), v AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   n_words - coalesce(n_gone, 0) AS n_left_words
+            FROM b
+        )
+        SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               n_left_words::BIGINT AS n_left_words,
+               NOT base_failed AND (n_gone IS NULL OR NOT (n_left_words < 10 OR n_left_words < 0.2 * n_words)) AS kept
+        FROM v
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text,
