@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Transducer states and distinct pieces that a Python worker remembers; beyond, it starts anew.
-MAX_STATES, MAX_PIECES = 80_000, 60_000
+#: States and distinct pieces that a Python worker remembers. Beyond, no states are made, and pieces are learnt anew.
+MAX_STATES, MAX_PIECES = 90_000, 120_000
 #: Up to this many possible tokens a start is known by the set of them, not by the token before it.
 SMALL_SET = 16
+#: Longest piece in bytes that may be walked.
+WALKED = 64
 #: Documents in one Arrow batch of results.
 OUT_ROWS = 1000
 
@@ -51,7 +53,7 @@ class _State:
 
     def __init__(self, starts: tuple, window: bytes):
         self.starts, self.window = starts, window
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
+        self.next: dict[int, tuple[_State, tuple[int, ...]] | bool] = {}
 
 
 class Transducer:
@@ -67,13 +69,11 @@ class Transducer:
                 self.longer.setdefault(token[:n], []).append(rank)
         self.opens: dict[tuple, tuple | None] = {}
         self.whole: dict[int, bool] = {}
+        self.follows: dict[tuple[int | None, int], bool] = {}
+        self.longest = max(map(len, ranks), default=0)
         self.edges: dict[tuple[int, int], list | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.start = _State(((0, (), (None, None)),), b"")
         self.states = {(self.start.starts, b""): self.start}
-        self.opens.clear()
 
     def _merged(self, data: bytes) -> list[int]:
         """The merges one by one, for single tokens and pairs."""
@@ -171,21 +171,58 @@ class Transducer:
             common += 1
         starts = tuple((back, p[common:], None if len(p) > common else guard) for back, p, guard in live)
         key = (starts, window[size - starts[0][0] :])
-        if key not in self.states:
-            if len(self.states) >= self.max_states:
-                self._reset()
-            self.states[key] = _State(*key)
-        step = state.next[byte] = (self.states[key], first[:common])
+        after = self.states.get(key)
+        if after is None:
+            after = _State(*key)
+            if len(self.states) < self.max_states:
+                self.states[key] = after
+            elif self.opens:
+                self.opens.clear()
+        step = (after, first[:common])
+        if len(self.states) < self.max_states:
+            state.next[byte] = step
         return step
 
+    def _walk(self, data: bytes) -> list[int]:
+        """Tokens of a piece by the transducer before it is determinised: the last token of each prefix, then back."""
+        ranks, follows, longest = self.ranks, self.follows, self.longest
+        if len(follows) > 2 * self.max_states:
+            follows.clear()
+        last: list[int | None] = [None]
+        for end in range(1, len(data) + 1):
+            for start in range(max(0, end - longest), end):
+                token = ranks.get(data[start:end])
+                if token is not None:
+                    pair = (last[start], token)
+                    fits = follows.get(pair)
+                    if fits is None:
+                        fits = follows[pair] = self._may_follow(*pair)
+                    if fits:
+                        last.append(token)
+                        break
+        out, end = [], len(data)
+        while end:
+            out.append(last[end])
+            end -= len(self.bytes_of[last[end]])
+        return out[::-1]
+
     def encode(self, data: bytes) -> list[int]:
-        """Tokens of one piece. A piece that is a token is that token."""
+        """Tokens of one piece. A piece that is a token is that token.
+
+        A transition is made when it is needed for the second time, as long as there is
+        room for states; a short piece that finds none is walked without it.
+        """
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
         state, out = self.start, []
         for byte in data:
-            step = state.next.get(byte) or self._step(state, byte)
+            step = state.next.get(byte)
+            if not step:
+                if len(data) <= WALKED and (step is None or len(self.states) >= self.max_states):
+                    state.next[byte] = False
+                    return self._walk(data)
+                step = self._step(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
