@@ -24,9 +24,9 @@ SALT = 8
 HASH = ["h1", "h2"]
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, A-Z lower-cased."""
-    return lower_ascii(F.btrim(line, F.lit(SPACE_CHARS)))
+def line_keys(lines: Column) -> Column:
+    """The lines without white space at both ends, A-Z lower-cased. One step at a time: a lambda repeats what it names twice."""
+    return F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS))), lower_ascii)
 
 
 def _lines(text: Column) -> Column:
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "lines")
     runs = LineRuns(scratch, min_docs, fanout)
     for batch in batches or [docs]:
-        keys = F.array_distinct(F.filter(F.transform(_lines(F.col(text_col)), line_key), lambda k: k != ""))
+        keys = F.array_distinct(F.filter(line_keys(_lines(F.col(text_col))), lambda k: k != ""))
         runs.add(batch.select(F.explode(F.transform(keys, _hashes)).alias("h")).select("h.h1", "h.h2"))
     frequent = scratch.keep(runs.frequent())
     runs.close()
@@ -125,13 +125,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Which lines of which row go. A row is known by a hash of its id and text: two
     # rows under one hash would share only positions of the same text.
     row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    at = docs.select(row.alias("_row"), F.posexplode(F.transform(_lines(F.col(text_col)), lambda line: _hashes(line_key(line)))).alias("_pos", "_h"))
+    at = docs.select(row.alias("_row"), F.posexplode(F.transform(line_keys(_lines(F.col(text_col))), _hashes)).alias("_pos", "_h"))
     at = at.select("_row", "_pos", "_h.h1", "_h.h2", F.pmod("_row", F.lit(SALT)).alias("_salt"))
     salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     gone = at.join(salted, [*HASH, "_salt"], "left_semi").groupBy("_row").agg(F.collect_set("_pos").alias("_gone"))
     gone = scratch.keep(gone)
 
-    out = docs.withColumn("_key", row).join(gone.withColumnRenamed("_row", "_key"), "_key", "left")
+    out = docs.withColumn("_key", row).join(gone.withColumnRenamed("_row", "_key").hint("merge"), "_key", "left")
     lines = _lines(F.col(text_col))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
