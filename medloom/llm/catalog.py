@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_docs(spark, sf_dir))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     if ranks_path is None or pattern is None:
         import public_tokenizers
@@ -55,6 +63,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "language_id_pages": language_id_pages,
     "op3_bpe": op3_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality_rules": op5_quality_rules,
