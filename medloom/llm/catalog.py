@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, sharding, simhash, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
+    "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
 
