@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, sharding, simhash, url_filter
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, ppm, quality_rules, sharding, simhash, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_docs(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     if ranks_path is None or pattern is None:
         import public_tokenizers
@@ -69,6 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "language_id_pages": language_id_pages,
+    "op2_ppm_scoring": op2_ppm_scoring,
     "op3_bpe": op3_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality_rules": op5_quality_rules,
