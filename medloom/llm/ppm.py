@@ -2,10 +2,13 @@
 
 A text is coded token by token, a token byte by byte and then its end. The contexts of a
 byte are, longest first: all bytes of its token so far (a trie of the tokens), the last
-two bytes, the last one, none. A context that has not seen the byte escapes to the next
-with the probability of method D, and what the longer context has seen is excluded
-there. A byte never seen is uniform. The model is fitted once on the training texts
-and a text's score is its log10 probability.
+two bytes, the last one, none. A context that has not seen the byte escapes to the next, and
+what the longer context has seen is excluded there. In the trie the probability of an
+escape is estimated by how often a context of the same depth, count and number of
+symbols met something new, each training token left out in turn; in the shorter
+contexts it is that of method D. A byte never seen is uniform. There is one model
+for each class of training texts, such as their languages, and a text's probability
+is the mixture of the models by the share of the class: no class is used to score.
 
 How it is distributed. Token counts are gathered from the whole corpus: each chunk of
 documents sends its distinct tokens, not their occurrences. The distinct tokens are
@@ -34,7 +37,10 @@ DEPTH = 32
 END = b"\n"
 SPACE = 0x20
 
-PASS = "chunk long, kind int, at int, word binary, n long, doc_id long, held boolean, n_tokens long, payload binary"
+#: Largest number of classes that have a model of their own; the others share one.
+MAX_CLASSES = 8
+
+PASS = "chunk long, kind int, at int, word binary, n array<long>, doc_id long, held boolean, n_tokens long, payload binary"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -51,44 +57,50 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch is a chunk: its distinct tokens with their training counts, and its documents as token numbers."""
-    from pyspark import TaskContext
-
-    chunk = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        numbers: dict[bytes, int] = {}
-        docs: list[tuple] = []
-        trained: list[np.ndarray] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = (text.as_py() or "").encode().lower().split()
-            words.append(END)
-            ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-            held = held_out(doc_id)
-            if not held:
-                trained.append(ids)
-            kinds, counts = np.unique(ids, return_counts=True)
-            docs.append((doc_id, held, len(words), _planes(kinds) + _planes(counts)))
-        if not docs:
-            continue
-        n = np.bincount(np.concatenate(trained), minlength=len(numbers)) if trained else np.zeros(len(numbers), np.int64)
-        w, d = len(numbers), len(docs)
-        none = lambda k, kind: pa.nulls(k, kind)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([chunk] * (w + d), pa.int64()),
-                pa.array([0] * w + [1] * d, pa.int32()),
-                pa.array([*range(w), *range(d)], pa.int32()),
-                pa.array([*numbers, *[None] * d], pa.binary()),
-                pa.concat_arrays([pa.array(n, pa.int64()), none(d, pa.int64())]),
-                pa.concat_arrays([none(w, pa.int64()), pa.array([x[0] for x in docs], pa.int64())]),
-                pa.concat_arrays([none(w, pa.bool_()), pa.array([x[1] for x in docs], pa.bool_())]),
-                pa.concat_arrays([none(w, pa.int64()), pa.array([x[2] for x in docs], pa.int64())]),
-                pa.concat_arrays([none(w, pa.binary()), pa.array([x[3] for x in docs], pa.binary())]),
-            ],
-            names=[c.split()[0] for c in PASS.split(", ")],
-        )
-        chunk += 1
+def _tokenized(classes: list[str]) -> Callable:
+    """Each batch is a chunk: its distinct tokens with their training counts by class, and its documents as token numbers."""
+    n_classes, class_of = len(classes) + 1, {name: k for k, name in enumerate(classes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            numbers: dict[bytes, int] = {}
+            docs: list[tuple] = []
+            trained: list[list[np.ndarray]] = [[] for _ in range(n_classes)]
+            for doc_id, text, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = (text.as_py() or "").encode().lower().split()
+                words.append(END)
+                ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+                held = held_out(doc_id)
+                if not held:
+                    trained[class_of.get(kind, n_classes - 1)].append(ids)
+                kinds, counts = np.unique(ids, return_counts=True)
+                docs.append((doc_id, held, len(words), _planes(kinds) + _planes(counts)))
+            if not docs:
+                continue
+            w, d = len(numbers), len(docs)
+            n = np.stack([np.bincount(np.concatenate(t), minlength=w) if t else np.zeros(w, np.int64) for t in trained], axis=1)
+            ends = pa.array([*range(0, n_classes * w + 1, n_classes), *[n_classes * w] * d], pa.int32())
+            none = pa.nulls
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk] * (w + d), pa.int64()),
+                    pa.array([0] * w + [1] * d, pa.int32()),
+                    pa.array([*range(w), *range(d)], pa.int32()),
+                    pa.array([*numbers, *[None] * d], pa.binary()),
+                    pa.ListArray.from_arrays(ends, pa.array(n.ravel(), pa.int64())),
+                    pa.concat_arrays([none(w, pa.int64()), pa.array([x[0] for x in docs], pa.int64())]),
+                    pa.concat_arrays([none(w, pa.bool_()), pa.array([x[1] for x in docs], pa.bool_())]),
+                    pa.concat_arrays([none(w, pa.int64()), pa.array([x[2] for x in docs], pa.int64())]),
+                    pa.concat_arrays([none(w, pa.binary()), pa.array([x[3] for x in docs], pa.binary())]),
+                ],
+                names=["chunk", "kind", "at", "word", "n", "doc_id", "held", "n_tokens", "payload"],
+            )
+            chunk += 1
+
+    return run
 
 
 class Lower:
@@ -125,26 +137,35 @@ class Lower:
     def log_p(self, q: np.ndarray, s: np.ndarray, n2: np.ndarray, d2: np.ndarray) -> np.ndarray:
         """Log probability of s from the two-byte context q down; n2, d2: what of q is not excluded."""
         out = np.zeros(len(q))
-        todo = np.arange(len(q))
         r = q & 255
-        known = _lookup(self.q, self.n2, q) > 0
         known1 = self.n1[r] > 0
+        at = np.minimum(np.searchsorted(self.q, q), max(0, len(self.q) - 1))
+        known = self.q[at] == q if len(self.q) else np.zeros(len(q), bool)
+        left = (lambda v: v[at]) if len(self.q) else (lambda v: np.zeros(len(q)))
         levels = [
             (self.at(q, s), n2, d2),
-            (self.one[r, s], np.where(known, _lookup(self.q, self.n1_left, q), self.n1[r]), np.where(known, _lookup(self.q, self.d1_left, q), self.d1[r])),
+            (self.one[r, s], np.where(known, left(self.n1_left), self.n1[r]), np.where(known, left(self.d1_left), self.d1[r])),
             (self.zero[s], np.where(known1, self.n0_left[r], self.n0), np.where(known1, self.d0_left[r], self.d0)),
         ]
+        todo = np.ones(len(q), bool)
         for c, n, d in levels:
-            here = todo[n[todo] > 0.25]
-            hit = c[here] > 0
-            found, missed = here[hit], here[~hit]
+            here = todo & (n > 0.25)
+            found, missed = here & (c > 0), here & (c <= 0)
             out[found] += np.log((c[found] - 0.5) / n[found])
             out[missed] += np.log(0.5 * np.maximum(d[missed], 1) / n[missed])
-            todo = np.setdiff1d(todo, found, assume_unique=True)
+            todo &= ~found
         out[todo] -= np.log(max(1.0, 256 - self.d0))
         return out
 
 
+def _class(n: np.ndarray, d: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts that share an escape estimate: by the order of their count, their symbols (up to 3) and depth."""
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 20) * 64 + np.minimum(d, 3).astype(np.int64) * 16 + min(depth, 15)
+
+
+CLASSES = 21 * 64
+
+
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(wanted))
@@ -153,7 +174,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
 
 
 class Part:
-    """Sorted distinct tokens and their counts: one part of the token trie, level by level."""
+    """Sorted distinct tokens and their counts by class: one part of the token trie, level by level."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         self.words, self.c = words, counts.astype(float)
@@ -162,16 +183,15 @@ class Part:
         data = b" " + b" ".join(words) + b" "
         self.data = np.frombuffer(data, np.uint8).astype(np.int64)
         self.start = 1 + np.concatenate([[0], np.cumsum(self.len + 1)[:-1]]) if len(words) else np.zeros(0, np.int64)
+        # Bytes that a word shares with the one before, up to DEPTH.
         self.common = np.zeros(len(words), np.int64)
-        for k in range(1, len(words)):
-            a, b = words[k - 1][:DEPTH], words[k][:DEPTH]
-            if a == b:
-                self.common[k] = len(a)
-            else:
-                n = min(len(a), len(b))
-                while a[:n] != b[:n]:
-                    n -= 1
-                self.common[k] = n
+        same = np.arange(1, len(words))
+        for depth in range(DEPTH):
+            same = same[(self.len[same] > depth) & (self.len[same - 1] > depth)]
+            same = same[self.data[self.start[same] + depth] == self.data[self.start[same - 1] + depth]]
+            if not len(same):
+                break
+            self.common[same] = depth + 1
 
     def symbols(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(two-byte context, symbol) at places in the data."""
@@ -186,12 +206,29 @@ class Part:
         within = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return word, self.start[word] + first + within
 
-    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+    def pair_counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of class k of (first << 16 | second << 8 | next)."""
         word, at = self.places()
-        q, s = self.symbols(at)
+        used = self.c[word, k] > 0
+        q, s = self.symbols(at[used])
         keys, back = np.unique(q << 8 | s, return_inverse=True)
-        counts = np.bincount(back, self.c[word], minlength=len(keys))
-        return keys[counts > 0], counts[counts > 0]
+        return keys, np.bincount(back, self.c[word[used], k], minlength=len(keys))
+
+    def escapes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tries, escapes) of each class of contexts, each training token of class k left out in turn."""
+        tries, new = np.zeros(CLASSES), np.zeros(CLASSES)
+        for depth, on, groups, branches, of, s in self.levels():
+            first = np.searchsorted(of, np.arange(len(groups)))
+            c = np.add.reduceat(self.c[on, k], branches)
+            n, d = np.add.reduceat(c, first), np.add.reduceat((c > 0).astype(float), first)
+            rest = n[of] - 1
+            for once, weight in ((True, (c == 1).astype(float)), (False, np.where(c > 1, c, 0.0))):
+                use = (weight > 0) & (rest > 0)
+                at = _class(rest[use], d[of[use]] - once, depth)
+                tries += np.bincount(at, weight[use], minlength=CLASSES)
+                if once:
+                    new += np.bincount(at, weight[use], minlength=CLASSES)
+        return tries, new
 
     def levels(self) -> Iterator[tuple]:
         """(depth, words, group starts, branch starts, group of each branch) for each depth of the trie."""
@@ -216,44 +253,48 @@ class Part:
             out.append(len(groups) - 1)
         return out
 
-    def open_counts(self) -> list[tuple[bytes, int, int]]:
-        """(prefix, next byte, count) of the open groups."""
+    def open_counts(self) -> list[tuple[bytes, int, list[int]]]:
+        """(prefix, next byte, counts by class) of the open groups."""
         out = []
         for depth, on, groups, branches, of, s in self.levels():
-            sums = np.add.reduceat(self.c[on], branches)
             for g in self._open(depth, on, groups):
-                prefix = self.words[on[groups[g]]][:depth]
-                out += [(prefix, int(s[branches[b]]), int(sums[b])) for b in np.flatnonzero(of == g) if sums[b] > 0]
+                for b in np.flatnonzero(of == g):
+                    end = branches[b + 1] if b + 1 < len(branches) else len(on)
+                    sums = self.c[on[branches[b] : end]].sum(axis=0)
+                    if sums.any():
+                        out.append((self.words[on[groups[g]]][:depth], int(s[branches[b]]), [int(x) for x in sums]))
         return out
 
-    def log_p(self, lower: Lower, opened: dict[bytes, dict[int, int]]) -> np.ndarray:
-        """Log probability of each word."""
+    def log_p(self, k: int, lower: Lower, escape: np.ndarray, opened: dict[bytes, dict[int, list[int]]]) -> np.ndarray:
+        """Log probability of each word under the model of class k."""
         out = np.zeros(len(self.words))
         for depth, on, groups, branches, of, s in self.levels():
             q, _ = self.symbols(self.start[on] + depth)
-            c = np.add.reduceat(self.c[on], branches)
-            n = np.add.reduceat(c, np.searchsorted(of, np.arange(len(groups))))
+            first = np.searchsorted(of, np.arange(len(groups)))
+            c = np.add.reduceat(self.c[on, k], branches)
             seen = (c > 0).astype(float)
-            first_branch = np.searchsorted(of, np.arange(len(groups)))
-            d = np.add.reduceat(seen, first_branch)
-            excluded = np.add.reduceat(seen * lower.at(q[branches], s[branches]), first_branch)
+            n, d = np.add.reduceat(c, first), np.add.reduceat(seen, first)
+            excluded = np.add.reduceat(seen * lower.at(q[branches], s[branches]), first)
             for g in self._open(depth, on, groups):
-                after = opened.get(self.words[on[groups[g]]][:depth], {})
+                after = {x: ns[k] for x, ns in opened.get(self.words[on[groups[g]]][:depth], {}).items() if ns[k]}
                 n[g], d[g] = sum(after.values()), len(after)
                 mine = np.flatnonzero(of == g)
                 c[mine] = [after.get(int(x), 0) for x in s[branches[mine]]]
                 kinds = np.fromiter(after, np.int64, len(after))
                 excluded[g] = lower.at(np.full(len(kinds), q[groups[g]]), kinds).sum()
-            branch = np.cumsum(np.isin(np.arange(len(on)), branches)) - 1
+            marks = np.zeros(len(on), np.int64)
+            marks[branches] = 1
+            branch = np.cumsum(marks) - 1
             cw, group = c[branch], of[branch]
+            goes = escape[_class(n, d, depth)]
             hit = cw > 0
-            out[on[hit]] += np.log((cw[hit] - 0.5) / n[group[hit]])
+            out[on[hit]] += np.log((1 - goes[group[hit]]) * cw[hit] / n[group[hit]])
             missed = np.flatnonzero(~hit)
             if len(missed):
                 g = group[missed]
                 n2, d2 = lower.sizes(q[missed])
                 inside = n[g] > 0
-                out[on[missed[inside]]] += np.log(0.5 * d[g[inside]] / n[g[inside]])
+                out[on[missed[inside]]] += np.log(goes[g[inside]])
                 n2, d2 = np.where(inside, n2 - excluded[g], n2), np.where(inside, d2 - d[g], d2)
                 out[on[missed]] += lower.log_p(q[missed], s[missed], n2, d2)
         word, at = self.places(DEPTH)
@@ -264,35 +305,46 @@ class Part:
 
 
 def _part(table: pa.Table) -> Part:
-    pairs = sorted(zip(table.column("word").to_pylist(), table.column("c").to_pylist()))
-    return Part([w for w, _ in pairs], np.array([c for _, c in pairs], float))
+    words, counts = table.column("word").to_pylist(), table.column("c").combine_chunks()
+    matrix = counts.flatten().to_numpy().reshape(len(words), -1) if words else np.zeros((0, 1))
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return Part([words[i] for i in order], matrix[order])
 
 
-def _pairs(table: pa.Table) -> pa.Table:
-    keys, counts = _part(table).pair_counts()
-    return pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(counts.astype(np.int64))})
+def _statistics(table: pa.Table) -> pa.Table:
+    """(what, class, key, n): two-byte counts (what 0), tries (1) and escapes (2)."""
+    part, out = _part(table), []
+    for k in range(part.c.shape[1]):
+        tries, new = part.escapes(k)
+        for what, (keys, n) in enumerate([part.pair_counts(k), (np.arange(CLASSES), tries), (np.arange(CLASSES), new)]):
+            some = n > 0
+            out.append(pa.table({"what": np.full(some.sum(), what, np.int32), "class": np.full(some.sum(), k, np.int32), "key": keys[some].astype(np.int64), "n": n[some].astype(np.int64)}))
+    return pa.concat_tables(out)
 
 
 def _opens(table: pa.Table) -> pa.Table:
     rows = _part(table).open_counts()
-    return pa.table({"prefix": pa.array([r[0] for r in rows], pa.binary()), "next": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64())})
+    return pa.table({"prefix": pa.array([r[0] for r in rows], pa.binary()), "next": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
 
 def _word_scores(model) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        keys, counts, opened = model.value
+        lowers, escapes, opened = model.value
         part = _part(table)
-        scores = part.log_p(Lower(keys, counts), opened) / np.log(10)
-        return pa.table({"word": pa.array(part.words, pa.binary()), "c": pa.array(part.c.astype(np.int64)), "lp": pa.array(scores)})
+        scores = np.stack([part.log_p(k, Lower(*lowers[k]), escapes[k], opened) for k in range(part.c.shape[1])], axis=1) / np.log(10)
+        width = scores.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(range(0, width * len(scores) + 1, width), pa.int32()), pa.array(scores.ravel()))
+        return pa.table({"word": pa.array(part.words, pa.binary()), "c": pa.array(part.c.sum(axis=1).astype(np.int64)), "lp": lists})
 
     return run
 
 
-def _document_scores(total: int, kinds: int) -> Callable:
+def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
     """Rows of a chunk, tokens first, then documents."""
+    weights, width = np.log10(np.maximum(shares, 1e-300)), len(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, c, lp = None, np.zeros(0), np.zeros(0)
+        chunk, c, lp = None, np.zeros(0), np.zeros((0, width))
         for batch in batches:
             out: list[tuple] = []
             chunks, is_doc = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy() == 1
@@ -301,17 +353,19 @@ def _document_scores(total: int, kinds: int) -> Callable:
                 if a == b:
                     continue
                 if chunks[a] != chunk:
-                    chunk, c, lp = chunks[a], np.zeros(0), np.zeros(0)
+                    chunk, c, lp = chunks[a], np.zeros(0), np.zeros((0, width))
                 part = batch.slice(a, b - a)
                 if not is_doc[a]:
                     c = np.concatenate([c, part.column("n").to_numpy(zero_copy_only=False).astype(float)])
-                    lp = np.concatenate([lp, part.column("lp").to_numpy(zero_copy_only=False)])
+                    lp = np.concatenate([lp, part.column("lp").flatten().to_numpy().reshape(b - a, width)])
                     continue
                 for doc_id, held, n, raw in zip(*(part.column(x).to_pylist() for x in ("doc_id", "held", "n_tokens", "payload"))):
                     ids, times = _from_planes(raw[: len(raw) // 2]), _from_planes(raw[len(raw) // 2 :]).astype(float)
                     found = c[ids]
                     base = float(times @ np.log10(found + 1)) - n * np.log10(total + kinds + 1)
-                    out.append((doc_id, held, n, int(times[found > 0].sum()), total, base, float(times @ lp[ids])))
+                    each = times @ lp[ids] + weights
+                    score = each.max() + np.log10((10.0 ** (each - each.max())).sum())
+                    out.append((doc_id, held, n, int(times[found > 0].sum()), total, base, float(score)))
             types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
@@ -319,39 +373,59 @@ def _document_scores(total: int, kinds: int) -> Callable:
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``.
 
     Tokens are the words of the text with A-Z lower-cased, then one end. Texts whose
     ``held_out`` is false are learnt from. base_score is the add-one unigram score, score
     the model's log10 probability. A null text is empty: one token. A null id counts as
     an empty string for the split. A repeated row is learnt from again and scored
-    alike. Without training texts every byte is uniform. An empty table gives an empty
-    result; columns that are not named are not read.
+    alike. Training texts of the ``MAX_CLASSES`` largest classes have models of their
+    own, the others, with null, share one; without ``class_col`` all do. Without training
+    texts every byte is uniform. An empty table gives an empty result; columns that
+    are not named are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
-    rows = scratch.keep(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_tokenized, PASS))
+    kind = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), kind.alias("class"))
+    sizes = thin.where("class IS NOT NULL").groupBy("class").count().orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()
+    classes = [r["class"] for r in sizes]
+    width = len(classes) + 1
+    rows = scratch.keep(thin.mapInArrow(_tokenized(classes), PASS))
     tokens = rows.where("kind = 0").select("chunk", "at", "word", "n")
-    counts = tokens.groupBy("word").agg(F.sum("n").alias("c"))
+    counts = tokens.groupBy("word").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(width)]).alias("c"))
     vocabulary = counts.repartitionByRange("word").withColumn("part", F.spark_partition_id())
     vocabulary = scratch.keep(vocabulary)
-    known = vocabulary.where("c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    size = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    known = vocabulary.select(size.alias("n")).where("n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = known.n or 0, known.v
+    trained = vocabulary.where(F.col("word") == F.lit(END)).select("c").first()
+    texts_of = np.array(trained.c if trained else [0] * width, float)
+    shares = texts_of / texts_of.sum() if texts_of.sum() else np.full(width, 1 / width)
 
     parts = vocabulary.groupBy("part")
-    pairs = parts.applyInArrow(_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    opened: dict[bytes, dict[int, int]] = {}
-    for r in parts.applyInArrow(_opens, "prefix binary, next int, n long").groupBy("prefix", "next").agg(F.sum("n").alias("n")).collect():
+    stats = parts.applyInArrow(_statistics, "what int, class int, key long, n long").groupBy("what", "class", "key").agg(F.sum("n").alias("n")).toPandas()
+    lowers, escapes = [], []
+    for k in range(width):
+        pairs, tries, new = (stats[(stats["what"] == what) & (stats["class"] == k)] for what in range(3))
+        lowers.append((pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
+        n, m = np.full(CLASSES, 1.0), np.full(CLASSES, 0.5)
+        n[tries["key"]] += tries["n"]
+        m[new["key"]] += new["n"]
+        escapes.append(np.clip(m / n, 1e-9, 0.999))
+    opened: dict[bytes, dict[int, list[int]]] = {}
+    for r in parts.applyInArrow(_opens, "prefix binary, next int, n array<long>").groupBy("prefix", "next").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(width)]).alias("n")).collect():
         opened.setdefault(bytes(r.prefix), {})[r.next] = r.n
-    model = spark.sparkContext.broadcast((pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), opened))
-    scored = parts.applyInArrow(_word_scores(model), "word binary, c long, lp double")
+    model = spark.sparkContext.broadcast((lowers, escapes, opened))
+    scored = parts.applyInArrow(_word_scores(model), "word binary, c long, lp array<double>")
 
     back = tokens.drop("n").join(scored, "word").select(
         "chunk", F.lit(0).alias("kind"), "at", F.col("c").alias("n"), "lp", F.lit(None).cast("long").alias("doc_id"),
         F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("payload"),
     )
-    texts = rows.where("kind = 1").select("chunk", "kind", "at", "n", F.lit(None).cast("double").alias("lp"), "doc_id", "held", "n_tokens", "payload")
+    none = F.lit(None)
+    texts = rows.where("kind = 1").select("chunk", "kind", "at", none.cast("long").alias("n"), none.cast("array<double>").alias("lp"), "doc_id", "held", "n_tokens", "payload")
     dealt = back.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.mapInArrow(_document_scores(total, kinds), result)
+    return dealt.mapInArrow(_document_scores(total, kinds, shares), result)
