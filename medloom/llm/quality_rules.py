@@ -74,12 +74,14 @@ def _row(id_col: str, text_col: str) -> Column:
 
 def left_after_boilerplate(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, host_col: str, max_line_docs: int) -> DataFrame:
     """(_row, left): the share of a document's words outside the boilerplate lines of its host, for documents that hold some."""
-    line = lambda x: lower_ascii(F.btrim(x, F.lit(SPACE_CHARS)))
+    trimmed = lambda x: F.btrim(x, F.lit(SPACE_CHARS))
     n_words = lambda x: F.regexp_count(x, F.lit(SPACE.replace("[", "[^") + "+"))
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), line), lambda x: x != "")
+    parts = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), trimmed)
+    parts = F.transform(F.filter(parts, lambda x: x != ""), lower_ascii)
     host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     hashed = F.transform(parts, lambda x: F.struct(F.xxhash64(host, x).alias("h"), n_words(x).alias("n")))
-    rows = docs.select(_row(id_col, text_col).alias("_row"), F.posexplode(hashed).alias("at", "l")).select("_row", "at", "l.h", "l.n")
+    # The row's hash is made before the lines are dealt out, not once more for each of them.
+    rows = docs.select(_row(id_col, text_col).alias("_row"), hashed.alias("_h")).select("_row", F.posexplode("_h").alias("at", "l")).select("_row", "at", "l.h", "l.n")
     # A repeated row counts once, and so does a line that its document repeats.
     rows = scratch.keep(rows.distinct().groupBy("_row", "h").agg(F.sum("n").alias("n")))
     frequent = rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs).select("h")
