@@ -141,9 +141,9 @@ class StandIn:
 
     @property
     def lab_alias(self) -> DataFrame:
-        names = self.table("part").select(F.col("p_name").alias("name")).distinct().where(F.length("name") % 2 == 0)
-        providers = self.table("orders").select(F.col("o_orderstatus").alias("provider")).distinct()
-        return providers.join(F.broadcast(names)).select("provider", "name", F.concat(F.lit("S-"), F.lower("name")).alias("lab_standard_id"))
+        """The names of even length that each provider has reported."""
+        reported = self.lab_markers.select("test_id", "name").where(F.length("name") % 2 == 0).join(self.lab_tests.select("test_id", "provider"), "test_id")
+        return reported.select("provider", "name").distinct().withColumn("lab_standard_id", F.concat(F.lit("S-"), F.lower("name")))
 
     @property
     def chat_turns(self) -> DataFrame:
