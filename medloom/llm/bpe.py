@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import worker_cache
+
 #: States and distinct pieces that a Python worker remembers. Beyond, no states are made, and pieces are learnt anew.
-MAX_STATES, MAX_PIECES = 90_000, 120_000
+MAX_STATES, MAX_PIECES = 90_000, 160_000
 #: Up to this many possible tokens a start is known by the set of them, not by the token before it.
 SMALL_SET = 16
 #: Longest piece in bytes that may be walked.
@@ -238,18 +240,23 @@ class Encoder:
 
         self.pieces = regex.compile(pattern).findall
         self.transducer = Transducer(ranks, max_states)
+        # Pieces met lately, and those met before them: what is met again moves up, the rest is forgotten.
         self.known: dict[str, array] = {}
-        self.max_pieces = max_pieces
+        self.older: dict[str, array] = {}
+        self.max_pieces = max_pieces // 2
 
     def encode(self, text: str | None) -> array:
         out, known = array("i"), self.known
         for piece in self.pieces(text or ""):
             ids = known.get(piece)
             if ids is None:
-                ids = array("i", self.transducer.encode(piece.encode()))
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = array("i", self.transducer.encode(piece.encode()))
                 if len(piece) <= 64:
                     if len(known) >= self.max_pieces:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             out.extend(ids)
         return out
@@ -319,19 +326,11 @@ class Decoder:
         yield machine.end()
 
 
-def _worker_cache() -> dict:
-    """A dict that lasts as long as the Python worker, so that later tasks go on with the transducer of earlier ones."""
-    import sys
-    import types
-
-    return sys.modules.setdefault("_bpe_worker_cache", types.ModuleType("_bpe_worker_cache")).__dict__
-
-
 def _encoder(ranks, version: int, pattern: str) -> Encoder:
-    cache, key = _worker_cache(), ("encoder", version, pattern)
+    """The worker's encoder, so that later tasks go on with the transducer of earlier ones."""
+    cache, key = worker_cache("bpe"), (version, pattern)
     if key not in cache:
-        for old in [k for k in cache if isinstance(k, tuple) and k[0] == "encoder"]:
-            del cache[old]
+        cache.clear()
         cache[key] = Encoder(ranks.value, pattern)
     return cache[key]
 

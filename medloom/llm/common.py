@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,13 +19,14 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    tests on one machine, it is a temporary folder of this process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="medloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+
+
+@cache
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="medloom-")
 
 
 class Scratch:
@@ -34,9 +36,13 @@ class Scratch:
     the lineage is cut, and a lost executor costs a read, not a recomputation.
     """
 
+    #: Folders of all calls that are not released yet.
+    folders: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.folders.append(self.path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -52,8 +58,27 @@ class Scratch:
             self.delete(df._scratch_path)
 
     def delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        release(self.spark, [path])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of intermediate tables, once nothing reads them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in Scratch.folders:
+            Scratch.folders.remove(path)
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict of ``owner`` that lasts as long as the Python worker; those of other owners are dropped."""
+    import sys
+    import types
+
+    caches = sys.modules.setdefault("_worker_caches", types.ModuleType("_worker_caches")).__dict__.setdefault("caches", {})
+    for other in [o for o in caches if o != owner]:
+        del caches[other]
+    return caches.setdefault(owner, {})
 
 
 def lower_ascii(col: Column) -> Column:

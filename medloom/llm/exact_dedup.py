@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Scratch
+from .common import SPACE_CHARS, Scratch, worker_cache
 
 #: Bytes that the first split looks at, and how much wider each next block is.
 FIRST_BLOCK, WIDENING = 32, 8
@@ -32,6 +32,7 @@ def _local_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Copies inside each batch: the first of them represents the others and carries the normalised text."""
     from pyspark import TaskContext
 
+    worker_cache("exact_dedup")
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -135,9 +136,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row is found again by its doc_id and normalised text; of rows that repeat both,
     one stays.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    # Keys without nulls, so that the join and the window share one exchange.
+    key = {"_id": F.coalesce(F.col("_from").cast("long"), F.lit(0)), "_none": F.col("_from").isNull()}
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_from"), F.col("text_sha256").alias("_hex"))
     norm = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_CHARS, "")
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hex": F.sha2(norm, 256)})
-    found = marked.join(kept, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_hex") == F.col("_sha")), "left_semi")
-    longest = Window.partitionBy("_id", "_hex").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
+    marked = docs.withColumns({"_from": F.col(id_col), "_hex": F.sha2(norm, 256)}).withColumns(key)
+    found = marked.join(kept.withColumns(key), ["_id", "_none", "_hex"], "left_semi")
+    longest = Window.partitionBy("_id", "_none", "_hex").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
     return found.withColumn("_n", F.row_number().over(longest)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, worker_cache
 
 #: The classifier is fitted on about this many rows with a declared language ...
 SAMPLE_ROWS = 20_000
@@ -80,6 +80,7 @@ def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE
 
 def _scored(model, n_langs: int, text_col: str, drop_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language_id")
         logs = model.value
         for batch in batches:
             lls, known = np.zeros((batch.num_rows, n_langs)), []

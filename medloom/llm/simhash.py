@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, worker_cache
 from .graph import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -52,6 +52,7 @@ def _signed(x: int) -> int:
 
 def _fingerprints(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             prints = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
@@ -193,7 +194,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat that doc_id and its text are one row. Rows with a null doc_id stay if
     some component has no other id.
     """
-    kept = simhash_components(docs, id_col, text_col, radius, shingle).where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.join(kept.withColumnRenamed("doc_id", "_keep"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    one = Window.partitionBy(id_col, "_text").orderBy("_text")
-    return out.withColumn("_text", F.xxhash64(text_col)).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Keys without nulls, so that the join and the window share one exchange.
+    key = {"_id": F.coalesce(F.col("_from").cast("long"), F.lit(0)), "_none": F.col("_from").isNull()}
+    kept = simhash_components(docs, id_col, text_col, radius, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_from")).distinct()
+    found = docs.withColumns({"_from": F.col(id_col), "_text": F.xxhash64(text_col)}).withColumns(key).join(kept.withColumns(key), ["_id", "_none"], "left_semi")
+    one = Window.partitionBy("_id", "_none", "_text").orderBy("_text")
+    return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
