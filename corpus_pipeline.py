@@ -6,33 +6,59 @@ columns of ``documents``; the last returns the token ids of each document.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medloom.llm import bpe, exact_dedup, language_id, mixing, simhash
-from medloom.llm.common import Scratch
+from medloom.llm.common import Scratch, release
+
+
+#: Folders of the intermediate tables of the stage before.
+_used: list[str] = []
+
+
+def _stage(work):
+    """A stage that starts by deleting what the stage before left: its result is written by then."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _used)
+        _used.clear()
+        before = list(Scratch.folders)
+        out = work(spark, docs, sf_dir)
+        _used.extend(path for path in Scratch.folders if path not in before)
+        return out
+
+    return run_stage
 
 
+@_stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; others go."""
     return language_id.keep_known_languages(docs)
 
 
+@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.exact_dedup(docs)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near SimHash fingerprints."""
     return simhash.near_dedup(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids."""
     import public_tokenizers
