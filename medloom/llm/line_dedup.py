@@ -125,7 +125,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Which lines of which row go. A row is known by a hash of its id and text: two
     # rows under one hash would share only positions of the same text.
     row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    at = docs.select(row.alias("_row"), F.posexplode(F.transform(line_keys(_lines(F.col(text_col))), _hashes)).alias("_pos", "_h"))
+    # The row's hash is made before the lines are dealt out, not once more for each of them.
+    at = docs.select(row.alias("_row"), F.transform(line_keys(_lines(F.col(text_col))), _hashes).alias("_h"))
+    at = at.select("_row", F.posexplode("_h").alias("_pos", "_h"))
     at = at.select("_row", "_pos", "_h.h1", "_h.h2", F.pmod("_row", F.lit(SALT)).alias("_salt"))
     salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     gone = at.join(salted, [*HASH, "_salt"], "left_semi").groupBy("_row").agg(F.collect_set("_pos").alias("_gone"))
