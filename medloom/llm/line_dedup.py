@@ -55,11 +55,14 @@ class LineRuns:
     def _runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One row for each hash of the runs.
+
+        The files are read without their buckets: grouping a union of bucketed tables
+        can leave the exchange out and the hash in several rows.
+        """
+        files = self.spark.read.schema("h1 long, h2 long, n long").parquet(*[f"{self.scratch.path}/{name}" for name in names])
+        return files.groupBy(*HASH).agg(F.sum("n").alias("n"))
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch: one row (h1, h2) for each distinct line of each of its documents."""
@@ -74,15 +77,14 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             old = self.levels[level]
-            name = self._write(self._union(old).groupBy(*HASH).agg(F.sum("n").alias("n")))
+            name = self._write(self._merged(old))
             self.levels[level] = []
             self._forget(old)
             level += 1
 
     def frequent(self) -> DataFrame:
         """(h1, h2) found in at least ``saturation`` documents of all batches."""
-        counts = self._union(self._runs()).groupBy(*HASH).agg(F.sum("n").alias("n"))
-        return counts.where(F.col("n") >= self.saturation).select(*HASH)
+        return self._merged(self._runs()).where(F.col("n") >= self.saturation).select(*HASH)
 
     def _forget(self, names: list[str]) -> None:
         for name in names:
