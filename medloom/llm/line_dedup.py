@@ -21,6 +21,8 @@ from .common import SPACE_CHARS, Scratch, lower_ascii
 #: Copies of each frequent hash in the join that finds its lines. A frequent line is in
 #: at least ``min_docs`` documents, so these copies are no more rows than the lines.
 SALT = 8
+#: Runs of a level that are merged into one of the next.
+FANOUT = 3
 HASH = ["h1", "h2"]
 
 
@@ -40,15 +42,16 @@ def _hashes(key: Column) -> Column:
 class LineRuns:
     """Runs of (h1, h2, n): in how many documents a line hash was found."""
 
-    def __init__(self, scratch: Scratch, saturation: int, fanout: int = 2):
+    def __init__(self, scratch: Scratch, saturation: int, fanout: int = FANOUT):
         self.scratch, self.saturation, self.fanout = scratch, saturation, fanout
         self.spark = scratch.spark
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # A run is smaller than the texts it comes from: fewer and larger files than shuffle partitions.
+        self.buckets = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
         self.levels: list[list[str]] = []
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
-        run = run.repartition(self.buckets, *HASH)
+        run = run.repartition(self.buckets, *HASH).coalesce(self.buckets)
         run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{self.scratch.path}/{name}").saveAsTable(name)
         return name
 
@@ -107,7 +110,7 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: list[DataFrame] | None = None, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: list[DataFrame] | None = None, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with its columns and n_lines, n_dropped, kept_text.
 
     Lines (split at ``\\n``; a null or empty text is one empty line) whose key has a
