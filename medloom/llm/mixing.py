@@ -25,9 +25,9 @@ BROADCAST_SOURCES = 100_000
 #: Newton stops when no source misses its target by more than this share of it.
 TOLERANCE, MAX_NEWTON = 1e-9, 60
 #: Buckets of each round of the threshold search, and its rounds.
-BUCKETS, ROUNDS = 1024, 4
-#: Times that one document of each source is moved by a copy to settle what the rounding left.
-SETTLING = 2
+BUCKETS, ROUNDS = 1024, 3
+#: Times that shorter documents fill what the rounding left of each source's target.
+FILLS = 2
 
 
 def n_words(text: F.Column) -> F.Column:
@@ -118,63 +118,115 @@ def solve_duals(scratch: Scratch, sizes: DataFrame, targets: DataFrame, cap: int
         at._scratch_path = step._scratch_path
         if step.where("not met").isEmpty():
             break
-    return at
+    # Sums of doubles differ in their last digits from run to run; the rates must not.
+    return at.withColumn("dual", F.round("dual", 9))
 
 
-def _thresholds(scratch: Scratch, rows: DataFrame, targets: DataFrame, n_sources: int, cap: int) -> DataFrame:
-    """(source, shift): with ``floor(rate + dither + shift)`` copies, the words of a source come nearest its target.
+def _search(scratch: Scratch, steps: DataFrame, spans: DataFrame, n_sources: int) -> DataFrame:
+    """(source, shift): the largest shift at which the words of a source are not above its target.
 
-    ``rows`` = (source, size, y) with y = rate + dither. As the shift goes from -1 to
-    1 a document gains a copy at -frac(y) and at 1 - frac(y). Each round counts
-    the words gained in equal buckets of each source's interval and goes on in the
-    bucket where the target is met, so the words of all documents are counted exactly.
+    ``steps`` = (_s, at, gain): a source gains words as the shift passes ``at`` in [-1, 1).
+    ``spans`` = (source, target, below) with the words before all steps. Each round
+    counts the gains in equal buckets of each source's interval and goes on in the bucket
+    where the target is met, so all documents are counted, each time exactly.
     """
-    frac = F.col("y") - F.floor("y")
-    start = F.greatest(F.floor(F.col("y") - 1), F.lit(0))
-    gains = F.array(
-        *[
-            F.struct(at.alias("at"), F.when(got.between(1, cap), F.col("size")).otherwise(F.lit(0)).alias("gain"))
-            for at, got in ((-frac, F.floor("y")), (1 - frac, F.floor("y") + 1))
-        ]
-    )
-    base = rows.groupBy("source").agg(F.sum(F.least(start, F.lit(cap)) * F.col("size")).cast("double").alias("below"))
     key = F.col("source").eqNullSafe(F.col("_s"))
-    spans = scratch.keep(
-        base.withColumnRenamed("source", "_s").join(targets.select("source", "target"), key)
-        .select("source", "target", "below", F.lit(-1.0).alias("low"), F.lit(2.0).alias("width"), F.lit(0.0).alias("step"))
-    )
-    steps = rows.select(F.col("source").alias("_s"), F.explode(gains).alias("g")).select("_s", "g.at", "g.gain").where("gain > 0")
+    spans = scratch.keep(spans.select("source", "target", "below", F.lit(-1.0).alias("low"), F.lit(2.0).alias("width")))
     for _ in range(ROUNDS):
         bucket = F.floor((F.col("at") - F.col("low")) / F.col("width") * BUCKETS)
         counts = (
-            steps.join(_small(spans, n_sources), key).withColumn("bucket", bucket).where(F.col("bucket").between(0, BUCKETS - 1))
+            steps.join(_small(spans.where("width > 0"), n_sources), key).withColumn("bucket", bucket).where(F.col("bucket").between(0, BUCKETS - 1))
             .groupBy("source", "target", "below", "low", "width", "bucket").agg(F.sum("gain").alias("gain"))
         )
-        along = Window.partitionBy("source").orderBy("bucket")
-        upto = F.col("below") + F.sum("gain").over(along)
-        # The first bucket at whose end the target is met, or the last one with gains.
+        upto = F.col("below") + F.sum("gain").over(Window.partitionBy("source").orderBy("bucket"))
         last = F.row_number().over(Window.partitionBy("source").orderBy(F.col("bucket").desc())) == 1
+        # The bucket that passes the target; if none does, all steps are taken.
         found = (
             counts.withColumns({"upto": upto, "last": last})
-            .withColumn("here", (F.col("upto") - F.col("gain") < F.col("target")) & ((F.col("upto") >= F.col("target")) | F.col("last")))
-            .where("here")
+            .where((F.col("upto") - F.col("gain") <= F.col("target")) & ((F.col("upto") > F.col("target")) | F.col("last")))
+            .withColumn("all", F.col("upto") <= F.col("target"))
             .select(
-                F.col("source").alias("_s"), (F.col("upto") - F.col("gain")).alias("below2"),
-                (F.col("low") + F.col("width") * F.col("bucket") / BUCKETS).alias("low2"), F.col("gain").cast("double").alias("step2"),
+                F.col("source").alias("_s"), "all", (F.col("upto") - F.when(F.col("all"), 0).otherwise(F.col("gain"))).alias("below2"),
+                (F.col("low") + F.when(F.col("all"), F.col("width")).otherwise(F.col("width") * F.col("bucket") / BUCKETS)).alias("low2"),
             )
         )
-        # A source without such a bucket has met its target at the low end already.
         narrowed = spans.join(_small(found, n_sources), key, "left").select(
-            "source", "target",
-            F.coalesce("below2", "below").alias("below"), F.coalesce("low2", "low").alias("low"),
-            (F.col("width") / BUCKETS).alias("width"), F.coalesce("step2", F.lit(0.0)).alias("step"),
+            "source", "target", F.coalesce("below2", "below").alias("below"), F.coalesce("low2", "low").alias("low"),
+            F.when(F.col("all"), 0.0).otherwise(F.col("width") / BUCKETS).alias("width"),
         )
         narrowed = scratch.keep(narrowed)
         scratch.drop(spans)
         spans = narrowed
-    # Take the last bucket's copies too if that ends nearer the target.
-    over = F.col("below") + F.col("step") - F.col("target")
-    return spans.select("source", (F.col("low") + F.when(over < F.col("target") - F.col("below"), F.col("width")).otherwise(F.lit(0.0))).alias("shift"))
+    return spans.select(F.col("source").alias("_s"), F.col("low").alias("shift"))
+
+
+def _uniform(seed: int) -> F.Column:
+    """Uniform in [0, 1): 53 bits of a hash of the document and its source."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source"), 11) / F.lit(float(2**53))
+
+
+def _rounded(scratch: Scratch, rated: DataFrame, n_sources: int, cap: int) -> DataFrame:
+    """``rated`` with copies: floor(rate + dither + shift), with one shift for each source.
+
+    From -1 to 1 a document gains a copy at -frac(y) and at 1 - frac(y), for y = rate + dither.
+    """
+    y = F.col("rate") + _uniform(0)
+    rows = rated.where("size > 0").select("source", "size", y.alias("y"))
+    frac = F.col("y") - F.floor("y")
+    gains = F.array(
+        *[
+            F.struct(at.alias("at"), F.when(got.between(1, cap), F.col("size")).otherwise(F.lit(0)).alias("gain"))
+            for at, got in ((-frac, F.floor("y")), (1 - frac, F.floor("y") + 1))
+        ]
+    )
+    steps = rows.select(F.col("source").alias("_s"), F.explode(gains).alias("g")).select("_s", "g.at", "g.gain").where("gain > 0")
+    before = F.least(F.greatest(F.floor(F.col("y") - 1), F.lit(0)), F.lit(cap)) * F.col("size")
+    spans = rows.groupBy("source").agg(F.sum(before).cast("double").alias("below"))
+    targets = rated.groupBy(F.col("source").alias("_s")).agg(F.first("target").alias("target"))
+    spans = spans.join(_small(targets, n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    shifts = _search(scratch, steps, spans, n_sources)
+    copies = F.least(F.greatest(F.floor(y + F.coalesce("shift", F.lit(0.0))), F.lit(0)), F.lit(cap))
+    out = rated.join(_small(shifts, n_sources), F.col("source").eqNullSafe(F.col("_s")), "left")
+    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("long")).drop("_s", "shift")
+
+
+def _missing(rows: DataFrame) -> DataFrame:
+    """(_s, miss): the words that each source is short of its target."""
+    miss = F.first("target") - F.sum(F.col("copies") * F.col("size"))
+    return rows.groupBy(F.col("source").alias("_s")).agg(miss.alias("miss"))
+
+
+def _filled(scratch: Scratch, rows: DataFrame, n_sources: int, cap: int, seed: int) -> DataFrame:
+    """One copy more of as many documents as go into what their source is short of, in hashed order.
+
+    What the shift leaves is less than the document that it stopped at, which may be
+    very long; shorter ones fill it.
+    """
+    key = F.col("source").eqNullSafe(F.col("_s"))
+    misses = scratch.keep(_missing(rows))
+    fits = (F.col("size") > 0) & (F.col("copies") < cap) & (F.col("size") <= F.col("miss"))
+    short = rows.join(_small(misses, n_sources), key)
+    steps = short.where(fits).select("_s", _uniform(seed).alias("at"), F.col("size").alias("gain"))
+    spans = misses.where("miss > 0").select(F.col("_s").alias("source"), F.col("miss").alias("target"), F.lit(0.0).alias("below"))
+    shifts = _search(scratch, steps, spans, n_sources).withColumnRenamed("_s", "_t")
+    more = F.coalesce(fits & (_uniform(seed) < F.col("shift")), F.lit(False))
+    out = short.join(_small(shifts, n_sources), F.col("source").eqNullSafe(F.col("_t")), "left")
+    return out.withColumn("copies", F.col("copies") + more.cast("long")).drop("_s", "_t", "miss", "shift")
+
+
+def _settled(rows: DataFrame, n_sources: int, cap: int) -> DataFrame:
+    """One copy more or less of the one document in each source that brings its words nearest the target."""
+    key = F.col("source").eqNullSafe(F.col("_s"))
+    sign = F.signum("miss").cast("long")
+    left = F.abs(F.col("miss") - sign * F.col("size"))
+    fits = (F.col("copies") + sign).between(0, cap) & (F.col("size") > 0) & (left < F.abs("miss"))
+    best = (
+        rows.join(_small(_missing(rows), n_sources), key).where(fits)
+        .groupBy("_s").agg(F.min_by(F.struct("doc_id", sign.alias("sign")), F.struct(left, "doc_id")).alias("best"))
+    )
+    moved = F.when(F.col("best").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") > 0), F.col("best.sign")).otherwise(F.lit(0))
+    moved = F.least(F.greatest(F.col("copies") + moved, F.lit(0)), F.lit(cap)).cast("long")
+    return rows.join(_small(best, n_sources), key, "left").withColumn("copies", moved).drop("_s", "best")
 
 
 def mix(
@@ -196,39 +248,13 @@ def mix(
     targets = scratch.keep(source_targets(scratch, sizes, weights, cap))
     n_sources = targets.count()
     duals = solve_duals(scratch, sizes, targets, cap)
-    # Uniform in [0, 1): 53 bits of a hash of the document and its source.
-    dither = F.shiftrightunsigned(F.xxhash64("doc_id", "source"), 11) / F.lit(float(2**53))
-    key = F.col("source").eqNullSafe(F.col("_s"))
-    rated = thin.withColumnRenamed("source", "_s").join(_small(duals, n_sources), key)
-    rated = scratch.keep(rated.select("doc_id", "source", "size", "source_size", "target", _rate(cap).alias("rate"), dither.alias("dither")))
-    rows = rated.select("source", "size", (F.col("rate") + F.col("dither")).alias("y")).where("size > 0")
-    shifts = scratch.keep(_thresholds(scratch, rows, targets, n_sources, cap))
-    copies = F.least(F.greatest(F.floor(F.col("rate") + F.col("dither") + F.coalesce("shift", F.lit(0.0))), F.lit(0)), F.lit(cap))
-    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("long")
-    rounded = (
-        rated.withColumnRenamed("source", "_s").join(_small(shifts, n_sources), key, "left")
-        .select("doc_id", F.col("_s").alias("source"), "size", "source_size", "target", "rate", copies.alias("copies"))
-    )
-    for _ in range(SETTLING):
-        rounded = _settled(scratch.keep(rounded), n_sources, cap)
-    return rounded.withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def _settled(rows: DataFrame, n_sources: int, cap: int) -> DataFrame:
-    """One copy more or less of the one document in each source that brings its words nearest the target."""
     key = F.col("source").eqNullSafe(F.col("_s"))
-    miss = F.first("target") - F.sum(F.col("copies") * F.col("size"))
-    misses = rows.groupBy(F.col("source").alias("_s")).agg(miss.alias("miss"))
-    sign = F.signum("miss").cast("long")
-    left = F.abs(F.col("miss") - sign * F.col("size"))
-    fits = (F.col("copies") + sign).between(0, cap) & (F.col("size") > 0) & (left < F.abs("miss"))
-    best = (
-        rows.join(_small(misses, n_sources), key).where(fits)
-        .groupBy("_s").agg(F.min_by(F.struct("doc_id", sign.alias("sign")), F.struct(left, "doc_id")).alias("best"))
-    )
-    moved = F.when(F.col("best").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") > 0), F.col("best.sign")).otherwise(F.lit(0))
-    moved = F.least(F.greatest(F.col("copies") + moved, F.lit(0)), F.lit(cap)).cast("long")
-    return rows.join(_small(best, n_sources), key, "left").withColumn("copies", moved).drop("_s", "best")
+    rated = thin.join(_small(duals.withColumnRenamed("source", "_s"), n_sources), key)
+    rated = scratch.keep(rated.select("doc_id", "source", "size", "source_size", "target", _rate(cap).alias("rate")))
+    rows = scratch.keep(_rounded(scratch, rated, n_sources, cap))
+    for seed in range(1, 1 + FILLS):
+        rows = scratch.keep(_filled(scratch, rows, n_sources, cap, seed))
+    return _settled(rows, n_sources, cap).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
