@@ -33,6 +33,8 @@ from .common import Scratch
 
 #: Longest token prefix that is a context of its own.
 DEPTH = 32
+#: Tokens of all chunks for each part of the vocabulary, which has fewer.
+PART_TOKENS = 200_000
 #: The token that ends each text; no word can contain white space.
 END = b"\n"
 SPACE = 0x20
@@ -395,7 +397,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scratch.keep(thin.mapInArrow(_tokenized(classes), PASS))
     tokens = rows.where("kind = 0").select("chunk", "at", "word", "n")
     counts = tokens.groupBy("word").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(width)]).alias("c"))
-    vocabulary = counts.repartitionByRange("word").withColumn("part", F.spark_partition_id())
+    # A part is held in a task's memory: as many parts as the tokens of all chunks need.
+    n_parts = min(1 + tokens.count() // PART_TOKENS, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vocabulary = counts.repartitionByRange(n_parts, "word").withColumn("part", F.spark_partition_id())
     vocabulary = scratch.keep(vocabulary)
     size = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
     known = vocabulary.select(size.alias("n")).where("n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
