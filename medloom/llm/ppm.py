@@ -1,22 +1,29 @@
 """Language-model scoring by prediction by partial matching.
 
-A text is coded token by token, a token byte by byte and then its end. The contexts of a
-byte are, longest first: all bytes of its token so far (a trie of the tokens), the last
-two bytes, the last one, none. A context that has not seen the byte escapes to the next, and
-what the longer context has seen is excluded there. In the trie the probability of an
-escape is estimated by how often a context of the same depth, count and number of
-symbols met something new, each training token left out in turn; in the shorter
-contexts it is that of method D. A byte never seen is uniform. There is one model
-for each class of training texts, such as their languages, and a text's probability
-is the mixture of the models by the share of the class: no class is used to score.
-
-How it is distributed. Token counts are gathered from the whole corpus: each chunk of
-documents sends its distinct tokens, not their occurrences. The distinct tokens are
-range-partitioned, so every trie node is whole in one part, but for the prefixes of a
-part's first and last token, whose counts are added up across parts (at most
-2 * ``DEPTH`` nodes a part). The two-byte contexts have at most 2^24 counts whatever
-the corpus. Those two tables are all that is broadcast. The token scores then go back to
-the chunks that hold the token.
+A text is coded token by token, a token byte by byte and then its end. Two models of a token
+are mixed in equal parts, token by token.
+
+The first conditions a byte on the bytes of the document before it, over token borders. Its
+contexts are, longest first, the last ``ORDER`` bytes, one less and so on, and none. A context
+that has not seen the byte escapes to the next, and what the longer context has seen is
+excluded there. A byte never seen is uniform. From three bytes on the probability of an
+escape is estimated by how often a context of the same order, place in its token, count and
+number of symbols met something new, each training byte left out in turn; in the shorter
+contexts it is that of method D. All training texts share this model.
+
+The second does not see the token before: its contexts are all bytes of the token so far (a
+trie of the tokens), then two, one and none, with escapes estimated likewise. There is one
+for each class of training texts, such as their languages, and a text's probability is the
+mixture over the classes by their share: no class is used to score.
+
+How it is distributed. Each chunk of documents sends its distinct tokens and its distinct
+(context, byte) pairs with their counts, not their occurrences. The pairs are
+range-partitioned by their last three bytes of context, so every context of three bytes or
+more is whole in one part. The distinct tokens are range-partitioned, so every trie node is
+whole in one part, but for the prefixes of a part's first and last token, whose counts are
+added up across parts (at most 2 * ``DEPTH`` nodes a part). The two-byte contexts have at
+most 2^24 counts whatever the corpus. Those are all that is broadcast. The scores of tokens
+and pairs then go back to the chunks that hold them.
 """
 
 from __future__ import annotations
@@ -31,6 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Bytes of the longest context over token borders.
+ORDER = 5
+#: Bytes of text for each part of the (context, byte) pairs, and at most in a chunk, but for one document.
+PART_BYTES, CHUNK_BYTES = 1 << 22, 1 << 24
+#: Texts whose contexts balance the parts.
+SAMPLE_ROWS = 1000
+#: Share of the trie in a token's probability.
+TRIE_SHARE = 0.5
 #: Longest token prefix that is a context of its own.
 DEPTH = 32
 #: Tokens of all chunks for each part of the vocabulary, which has fewer.
@@ -59,48 +74,100 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _tokenized(classes: list[str]) -> Callable:
-    """Each batch is a chunk: its distinct tokens with their training counts by class, and its documents as token numbers."""
+def _keys(stream: np.ndarray) -> np.ndarray:
+    """(last byte << 40 | the one before << 32 .. | byte) of each place after the first ``ORDER``."""
+    out = stream[ORDER:].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        out |= stream[ORDER - k : len(stream) - k].astype(np.int64) << 8 * (ORDER + 1 - k)
+    return out
+
+
+def _stream(words: list[bytes]) -> bytes:
+    """The coded bytes of a text, after a context of ends: its words end with a space, ``END`` with itself."""
+    return END * ORDER + b" ".join(words)
+
+
+def _document_keys(words: list[bytes]) -> np.ndarray:
+    return _keys(np.frombuffer(_stream(words), np.uint8))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending 48-bit values as steps, plane by plane."""
+    return np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    steps = np.zeros((len(raw) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return np.cumsum(steps.view("<i8").ravel())
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of a batch as chunks of at most ``CHUNK_BYTES``, but for one document."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        size = text.as_buffer().size if text.is_valid else 0
+        if i > first and held + size > CHUNK_BYTES:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _tokenized(classes: list[str], splitters: np.ndarray) -> Callable:
+    """Chunks: their distinct tokens with training counts by class (kind 0), documents as token numbers (1), and distinct pairs with training counts, by part (2)."""
     n_classes, class_of = len(classes) + 1, {name: k for k, name in enumerate(classes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            numbers: dict[bytes, int] = {}
-            docs: list[tuple] = []
-            trained: list[list[np.ndarray]] = [[] for _ in range(n_classes)]
-            for doc_id, text, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = (text.as_py() or "").encode().lower().split()
-                words.append(END)
-                ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-                held = held_out(doc_id)
-                if not held:
-                    trained[class_of.get(kind, n_classes - 1)].append(ids)
-                kinds, counts = np.unique(ids, return_counts=True)
-                docs.append((doc_id, held, len(words), _planes(kinds) + _planes(counts)))
-            if not docs:
-                continue
-            w, d = len(numbers), len(docs)
-            n = np.stack([np.bincount(np.concatenate(t), minlength=w) if t else np.zeros(w, np.int64) for t in trained], axis=1)
-            ends = pa.array([*range(0, n_classes * w + 1, n_classes), *[n_classes * w] * d], pa.int32())
-            none = pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk] * (w + d), pa.int64()),
-                    pa.array([0] * w + [1] * d, pa.int32()),
-                    pa.array([*range(w), *range(d)], pa.int32()),
-                    pa.array([*numbers, *[None] * d], pa.binary()),
-                    pa.ListArray.from_arrays(ends, pa.array(n.ravel(), pa.int64())),
-                    pa.concat_arrays([none(w, pa.int64()), pa.array([x[0] for x in docs], pa.int64())]),
-                    pa.concat_arrays([none(w, pa.bool_()), pa.array([x[1] for x in docs], pa.bool_())]),
-                    pa.concat_arrays([none(w, pa.int64()), pa.array([x[2] for x in docs], pa.int64())]),
-                    pa.concat_arrays([none(w, pa.binary()), pa.array([x[3] for x in docs], pa.binary())]),
-                ],
-                names=["chunk", "kind", "at", "word", "n", "doc_id", "held", "n_tokens", "payload"],
-            )
-            chunk += 1
+        for whole in batches:
+            for lo, hi in _slices(whole.column(1)):
+                batch = whole.slice(lo, hi - lo)
+                numbers: dict[bytes, int] = {}
+                docs: list[tuple] = []
+                trained: list[list[np.ndarray]] = [[] for _ in range(n_classes)]
+                keys: list[np.ndarray] = []
+                for doc_id, text, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                    words = (text.as_py() or "").encode().lower().split()
+                    words.append(END)
+                    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+                    held = held_out(doc_id)
+                    if not held:
+                        trained[class_of.get(kind, n_classes - 1)].append(ids)
+                    keys.append(_document_keys(words) << 1 | (not held))
+                    docs.append((doc_id, held, len(words), _planes(ids)))
+                w, d = len(numbers), len(docs)
+                n = np.stack([np.bincount(np.concatenate(t), minlength=w) if t else np.zeros(w, np.int64) for t in trained], axis=1)
+                each = np.concatenate(keys)
+                keys.clear()
+                each.sort()
+                first = np.flatnonzero(np.diff(each >> 1, prepend=-1))
+                times = np.add.reduceat(each & 1, first)
+                pairs = each[first] >> 1
+                del each
+                cuts = [0, *np.searchsorted(pairs, splitters << 24), len(pairs)]
+                sent = [(p, _packed(pairs[a:b]) + _planes(times[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                m = len(sent)
+                ends = pa.array([*range(0, n_classes * w + 1, n_classes), *[n_classes * w] * (d + m)], pa.int32())
+                none = pa.nulls
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk] * (w + d + m), pa.int64()),
+                        pa.array([0] * w + [1] * d + [2] * m, pa.int32()),
+                        pa.array([*range(w), *range(d), *[x[0] for x in sent]], pa.int32()),
+                        pa.array([*numbers, *[None] * (d + m)], pa.binary()),
+                        pa.ListArray.from_arrays(ends, pa.array(n.ravel(), pa.int64())),
+                        pa.concat_arrays([none(w, pa.int64()), pa.array([x[0] for x in docs], pa.int64()), none(m, pa.int64())]),
+                        pa.concat_arrays([none(w, pa.bool_()), pa.array([x[1] for x in docs], pa.bool_()), none(m, pa.bool_())]),
+                        pa.concat_arrays([none(w, pa.int64()), pa.array([x[2] for x in docs], pa.int64()), none(m, pa.int64())]),
+                        pa.concat_arrays([none(w, pa.binary()), pa.array([x[3] for x in docs] + [x[1] for x in sent], pa.binary())]),
+                    ],
+                    names=["chunk", "kind", "at", "word", "n", "doc_id", "held", "n_tokens", "payload"],
+                )
+                chunk += 1
 
     return run
 
@@ -306,6 +373,98 @@ class Part:
         return out
 
 
+class Contexts:
+    """Sorted distinct (context of ``ORDER`` bytes, byte) pairs and their counts: one part of the contexts of three bytes and more."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.c = keys, counts.astype(float)
+        self.q, self.s = (self.keys >> 32 & 255) << 8 | self.keys >> 40, self.keys & 255
+        #: Bytes of the context since the token began.
+        self.within = np.zeros(len(keys), np.int64)
+        inside = np.ones(len(keys), bool)
+        for k in range(1, ORDER + 1):
+            byte = self.keys >> 8 * (ORDER + 1 - k) & 255
+            inside &= (byte != SPACE) & (byte != END[0])
+            self.within += inside
+
+    def _orders(self) -> Iterator[tuple]:
+        """(order, pair of each key, a key of each pair, context of each pair, counts of pairs, totals and symbols of contexts), longest first."""
+        for k in range(ORDER, 2, -1):
+            pairs, some_key, pair = np.unique(self.keys >> 8 * (ORDER + 1 - k) << 8 | self.s, return_index=True, return_inverse=True)
+            c = np.bincount(pair, self.c, len(pairs))
+            context = np.cumsum(np.diff(pairs >> 8, prepend=-1) != 0) - 1
+            yield k, pair, some_key, context, c, np.bincount(context, c), np.bincount(context, c > 0)
+
+    def _class(self, n: np.ndarray, d: np.ndarray, k: int, key: np.ndarray) -> np.ndarray:
+        slot = np.minimum(self.within[key], k) + sum(range(k + 2, ORDER + 2))
+        return _class(n, d, 0) + slot
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of (first << 16 | second << 8 | next)."""
+        keys, back = np.unique(self.q << 8 | self.s, return_inverse=True)
+        return keys, np.bincount(back, self.c, len(keys))
+
+    def escapes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tries, escapes) of each class of contexts, each training byte left out in turn."""
+        tries, new = np.zeros(CLASSES), np.zeros(CLASSES)
+        longer = None
+        for k, pair, some_key, context, c, n, d in self._orders():
+            if longer is None:
+                # Bytes found again, then bytes that only they have put there.
+                cases = [(np.flatnonzero(c > 1), 0), (np.flatnonzero(c == 1), 1)]
+                for p, once in cases:
+                    rest = n[context[p]] - 1
+                    use = rest > 0
+                    at = self._class(rest[use], d[context[p[use]]] - once, k, some_key[p[use]])
+                    tries += np.bincount(at, c[p[use]], CLASSES)
+                    new += np.bincount(at, minlength=CLASSES) * once
+            else:
+                # Those that the longer context had once only.
+                key, above, gone, kinds = longer
+                p = pair[key]
+                seen = c[p]
+                was = np.bincount(above[1], above[2] * c[pair[above[0]]])[gone]
+                rest = n[context[p]] - 1 - (was - seen)
+                left = d[context[p]] - (seen == 1) - (kinds - 1)
+                use = rest > 0
+                at = self._class(rest[use], left[use], k, key[use])
+                tries += np.bincount(at, minlength=CLASSES)
+                new += np.bincount(at, seen[use] == 1, CLASSES)
+            key = np.flatnonzero((self.c == 1) & (c[pair] == 1))
+            gone = context[pair[key]]
+            longer = key, (some_key, context, c > 0), gone, d[gone]
+        return tries, new
+
+    def log_p(self, lower: Lower, escape: np.ndarray) -> np.ndarray:
+        """Log probability of the byte of each key after its context."""
+        out, todo = np.zeros(len(self.keys)), np.ones(len(self.keys), bool)
+        above, kinds = None, np.zeros(len(self.keys))
+        every = np.arange(len(self.keys))
+
+        def gone(counts: np.ndarray) -> np.ndarray:
+            """For each key, how much of the next context the longer one has seen; ``counts``: that context's, by key."""
+            if above is None:
+                return np.zeros(len(self.keys))
+            some_key, context, seen, of_key = above
+            return np.bincount(context, seen * counts[some_key])[of_key]
+
+        for k, pair, some_key, context, c, n, d in self._orders():
+            of_key = context[pair]
+            left, symbols = n[of_key] - gone(c[pair]), d[of_key] - kinds
+            goes = escape[self._class(np.maximum(left, 0), np.maximum(symbols, 0), k, every)]
+            here = todo & (left > 0)
+            found = here & (c[pair] > 0)
+            missed = here & ~found
+            out[found] += np.log((1 - goes[found]) * c[pair][found] / left[found])
+            out[missed] += np.log(goes[missed])
+            todo &= ~found
+            above, kinds = (some_key, context, c > 0, of_key), d[of_key]
+        n2, d2 = lower.sizes(self.q)
+        n2, d2 = n2 - gone(lower.at(self.q, self.s)), d2 - kinds
+        out[todo] += lower.log_p(self.q[todo], self.s[todo], n2[todo], d2[todo])
+        return out
+
+
 def _part(table: pa.Table) -> Part:
     words, counts = table.column("word").to_pylist(), table.column("c").combine_chunks()
     matrix = counts.flatten().to_numpy().reshape(len(words), -1) if words else np.zeros((0, 1))
@@ -341,33 +500,89 @@ def _word_scores(model) -> Callable:
     return run
 
 
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], Contexts]:
+    """The pairs of each row, and all of them with their counts."""
+    raws = table.column("payload").to_pylist()
+    rows = [_unpacked(raw[: len(raw) // 10 * 6]) for raw in raws]
+    times = np.concatenate([_from_planes(raw[len(raw) // 10 * 6 :]) for raw in raws])
+    keys, back = np.unique(np.concatenate(rows), return_inverse=True)
+    return rows, Contexts(keys, np.bincount(back, times, len(keys)))
+
+
+def _pair_statistics(table: pa.Table) -> pa.Table:
+    """(what, key, n): two-byte counts (what 0), tries (1) and escapes (2)."""
+    _, part = _merged(table)
+    tries, new = part.escapes()
+    out = []
+    for what, (keys, n) in enumerate([part.pair_counts(), (np.arange(CLASSES), tries), (np.arange(CLASSES), new)]):
+        some = n > 0
+        out.append(pa.table({"what": np.full(some.sum(), what, np.int32), "key": keys[some].astype(np.int64), "n": n[some].astype(np.int64)}))
+    return pa.concat_tables(out)
+
+
+def _pair_scores(model) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        rows, part = _merged(table)
+        keys, counts, escape = model.value
+        lp = (part.log_p(Lower(keys, counts), escape) / np.log(10)).astype("<f4")
+        back = [_packed(row) + lp[np.searchsorted(part.keys, row)].tobytes() for row in rows]
+        return pa.table({"chunk": table.column("chunk"), "at": table.column("part"), "payload": pa.array(back, pa.binary())})
+
+    return run
+
+
+def _occurrences(ids: np.ndarray, words: list[bytes], keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """Log probability of each token of a text after the bytes before it."""
+    coded = [words[i] for i in ids]
+    wanted = _document_keys(coded)
+    order = np.argsort(wanted)
+    each = np.empty(len(wanted))
+    each[order] = lp[np.searchsorted(keys, wanted[order])]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
+    return np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+
+
 def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
-    """Rows of a chunk, tokens first, then documents."""
+    """Rows of a chunk: tokens, then pairs, then documents."""
     weights, width = np.log10(np.maximum(shares, 1e-300)), len(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, c, lp = None, np.zeros(0), np.zeros((0, width))
+        chunk = None
         for batch in batches:
             out: list[tuple] = []
-            chunks, is_doc = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy() == 1
-            cuts = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(is_doc.astype(int)) != 0)) + 1
+            chunks, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(chunks)]):
                 if a == b:
                     continue
                 if chunks[a] != chunk:
-                    chunk, c, lp = chunks[a], np.zeros(0), np.zeros((0, width))
+                    chunk, c, lp, words = chunks[a], np.zeros(0), np.zeros((0, width)), []
+                    found: list[tuple] = []
+                    table = None
                 part = batch.slice(a, b - a)
-                if not is_doc[a]:
+                if kind[a] == 0:
                     c = np.concatenate([c, part.column("n").to_numpy(zero_copy_only=False).astype(float)])
                     lp = np.concatenate([lp, part.column("lp").flatten().to_numpy().reshape(b - a, width)])
+                    words += part.column("word").to_pylist()
                     continue
+                if kind[a] == 1:
+                    for raw in part.column("payload").to_pylist():
+                        found.append((_unpacked(raw[: len(raw) // 10 * 6]), np.frombuffer(raw[len(raw) // 10 * 6 :], "<f4")))
+                    continue
+                if table is None:
+                    table = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                    found = []
                 for doc_id, held, n, raw in zip(*(part.column(x).to_pylist() for x in ("doc_id", "held", "n_tokens", "payload"))):
-                    ids, times = _from_planes(raw[: len(raw) // 2]), _from_planes(raw[len(raw) // 2 :]).astype(float)
-                    found = c[ids]
-                    base = float(times @ np.log10(found + 1)) - n * np.log10(total + kinds + 1)
-                    each = times @ lp[ids] + weights
+                    ids = _from_planes(raw)
+                    known = c[ids]
+                    base = float(np.log10(known + 1).sum()) - n * np.log10(total + kinds + 1)
+                    # Sums of powers without underflow: tokens can be long.
+                    after = _occurrences(ids, words, *table)[:, None] + np.log10(1 - TRIE_SHARE)
+                    alone = lp[ids] + np.log10(TRIE_SHARE)
+                    top = np.maximum(after, alone)
+                    each = (top + np.log10(1 + 10.0 ** (np.minimum(after, alone) - top))).sum(axis=0) + weights
                     score = each.max() + np.log10((10.0 ** (each - each.max())).sum())
-                    out.append((doc_id, held, n, int(times[found > 0].sum()), total, base, float(score)))
+                    out.append((doc_id, held, n, int((known > 0).sum()), total, base, float(score)))
             types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
@@ -375,12 +590,27 @@ def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
     return run
 
 
+def _splitters(thin: DataFrame) -> np.ndarray:
+    """Three-byte contexts that deal the distinct pairs of the texts into even parts, from a few of them."""
+    size = thin.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_parts = 1 + (size.bytes or 0) // PART_BYTES
+    if n_parts == 1:
+        return np.zeros(0, np.int64)
+    one_in = max(1, size.n // SAMPLE_ROWS)
+    texts = thin.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.substring("text", 1, 10_000).alias("text")).limit(2 * SAMPLE_ROWS).collect()
+    keys = [_document_keys([*(r.text or "").encode().lower().split(), END]) for r in texts]
+    if not keys:
+        return np.zeros(0, np.int64)
+    of_three = np.unique(np.concatenate(keys)) >> 24
+    return np.unique(of_three[np.arange(1, n_parts) * len(of_three) // n_parts])
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``.
 
     Tokens are the words of the text with A-Z lower-cased, then one end. Texts whose
     ``held_out`` is false are learnt from. base_score is the add-one unigram score, score
-    the model's log10 probability. A null text is empty: one token. A null id counts as
+    the model's log10 probability, to which the order of the words counts. A null text is empty: one token. A null id counts as
     an empty string for the split. A repeated row is learnt from again and scored
     alike. Training texts of the ``MAX_CLASSES`` largest classes have models of their
     own, the others, with null, share one; without ``class_col`` all do. Without training
@@ -394,7 +624,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = thin.where("class IS NOT NULL").groupBy("class").count().orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()
     classes = [r["class"] for r in sizes]
     width = len(classes) + 1
-    rows = scratch.keep(thin.mapInArrow(_tokenized(classes), PASS))
+    rows = scratch.keep(thin.mapInArrow(_tokenized(classes, _splitters(thin)), PASS))
     tokens = rows.where("kind = 0").select("chunk", "at", "word", "n")
     counts = tokens.groupBy("word").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(width)]).alias("c"))
     # A part is held in a task's memory: as many parts as the tokens of all chunks need.
@@ -424,12 +654,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = spark.sparkContext.broadcast((lowers, escapes, opened))
     scored = parts.applyInArrow(_word_scores(model), "word binary, c long, lp array<double>")
 
+    sent = rows.where("kind = 2").select("chunk", F.col("at").alias("part"), "payload").groupBy("part")
+    counted = sent.applyInArrow(_pair_statistics, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas()
+    pairs, tries, new = (counted[counted["what"] == what] for what in range(3))
+    n, m = np.full(CLASSES, 1.0), np.full(CLASSES, 0.5)
+    n[tries["key"]] += tries["n"]
+    m[new["key"]] += new["n"]
+    shared = spark.sparkContext.broadcast((pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), np.clip(m / n, 1e-9, 0.999)))
+    after = sent.applyInArrow(_pair_scores(shared), "chunk long, at int, payload binary")
+
     back = tokens.drop("n").join(scored, "word").select(
-        "chunk", F.lit(0).alias("kind"), "at", F.col("c").alias("n"), "lp", F.lit(None).cast("long").alias("doc_id"),
+        "chunk", F.lit(0).alias("kind"), "at", "word", F.col("c").alias("n"), "lp", F.lit(None).cast("long").alias("doc_id"),
         F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("payload"),
     )
     none = F.lit(None)
-    texts = rows.where("kind = 1").select("chunk", "kind", "at", none.cast("long").alias("n"), none.cast("array<double>").alias("lp"), "doc_id", "held", "n_tokens", "payload")
-    dealt = back.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
+    texts = rows.where("kind = 1").select("chunk", F.lit(2).alias("kind"), "at", "word", none.cast("long").alias("n"), none.cast("array<double>").alias("lp"), "doc_id", "held", "n_tokens", "payload")
+    after = after.withColumn("kind", F.lit(1))
+    dealt = back.unionByName(after, allowMissingColumns=True).unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.mapInArrow(_document_scores(total, kinds, shares), result)

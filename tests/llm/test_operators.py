@@ -425,6 +425,97 @@ def test_ppm_model_is_exact_across_parts():
         assert np.allclose(got, want)
 
 
+def brute_contexts(texts, escape):
+    """Log10 probability of each token of a text after the bytes before it, from plain dictionaries."""
+    coded = lambda text: ppm.END * ppm.ORDER + b"".join(w + b" " for w in text) + ppm.END
+    seen = defaultdict(Counter)
+    for text in texts:
+        data = coded(text)
+        for i in range(ppm.ORDER, len(data)):
+            for k in range(ppm.ORDER + 1):
+                seen[data[i - k : i]][data[i]] += 1
+
+    def byte(data, i):
+        p, excluded = 1.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            context = data[i - k : i]
+            left = {s: c for s, c in seen.get(context, {}).items() if s not in excluded}
+            if not left:
+                continue
+            n, d, hit = sum(left.values()), len(left), left.get(data[i], 0)
+            if k > 2:
+                within = len(context) - 1 - max(context.rfind(b" "), context.rfind(ppm.END))
+                e = escape[ppm._class(np.array([n]), np.array([d]), 0)[0] + within + {5: 0, 4: 6, 3: 11}[k]]
+                hit, e = (1 - e) * hit / n, e
+            else:
+                hit, e = (hit and hit - 0.5) / n, 0.5 * d / n
+            if hit:
+                return p * hit
+            p, excluded = p * e, excluded | set(left)
+        return p / (256 - len(seen[b""]))
+
+    def tokens(text):
+        data, at, out = coded(text), ppm.ORDER, []
+        for w in [*text, b""]:
+            out.append(sum(math.log10(byte(data, i)) for i in range(at, at + len(w) + 1)))
+            at += len(w) + 1
+        return out
+
+    return tokens
+
+
+def test_ppm_contexts_are_exact_across_parts():
+    """Contexts run over token borders, and scores from parts equal those of a plain model of the whole."""
+    rng = random.Random(6)
+    vocab = [b"ab", b"abcab", b"c", b"bca", "é".encode(), b"abcabcabcabc"]
+    texts = [[rng.choice(vocab) for _ in range(rng.randint(0, 9))] for _ in range(40)]
+    new = [[rng.choice([*vocab, b"zz", b"cab"]) for _ in range(6)] for _ in range(10)]
+    each = [ppm._document_keys([*t, ppm.END]) for t in texts]
+    keys = np.unique(np.concatenate([*each, *(ppm._document_keys([*t, ppm.END]) for t in new)]))
+    assert np.array_equal(ppm._unpacked(ppm._packed(keys)), keys)
+    counts = (np.concatenate(each)[:, None] == keys).sum(axis=0)
+    borders = np.unique(keys >> 24)
+    for splitters in ([], borders[[1, 5, 6, 20]]):
+        cuts = [0, *np.searchsorted(keys, np.array(splitters, np.int64) << 24), len(keys)]
+        parts = [ppm.Contexts(keys[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        two = Counter()
+        for p in parts:
+            for q, n in zip(*p.pair_counts()):
+                two[int(q)] += n
+        two = {q: n for q, n in two.items() if n}
+        lower = ppm.Lower(np.array([*two]), np.array([*two.values()]))
+        tries, escaped = np.sum([p.escapes() for p in parts], axis=0)
+        assert (escaped <= tries).all() and escaped.sum() > 0
+        escape = np.clip((0.5 + escaped) / (1.0 + tries), 1e-9, 0.999)
+        lp = np.concatenate([p.log_p(lower, escape) for p in parts]) / np.log(10)
+        plain = brute_contexts(texts, escape)
+        for text in texts + new:
+            coded = [*text, ppm.END]
+            numbers = {w: k for k, w in enumerate(dict.fromkeys(coded))}
+            got = ppm._occurrences(np.array([numbers[w] for w in coded]), [*numbers], keys, lp)
+            assert np.allclose(got, plain(text))
+
+
+def test_ppm_scores_word_order(spark):
+    """Words in an order that the training texts have score above the same words shuffled."""
+    rng = random.Random(4)
+    vocab = ["stone", "river", "cloud", "glass", "house", "tree", "field", "light"]
+    lines = [" ".join(vocab[(k + i) % 8] for i in range(40)) for k in range(8)]
+    ids = iter(range(10**6))
+    held = [i for i in range(2000) if ppm.held_out(i)]
+    rows = [(i, lines[i % 8]) for i in (next(ids) for _ in range(400)) if not ppm.held_out(i)]
+    pairs = []
+    for a, b in zip(held[0:40:2], held[1:41:2]):
+        words = rng.choice(lines).split()
+        mixed = rng.sample(words, len(words))
+        rows += [(a, " ".join(words)), (b, " ".join(mixed))]
+        pairs.append((a, b))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm.score_documents(df, class_col=None).collect()}
+    for a, b in pairs:
+        assert math.isclose(got[a].base_score, got[b].base_score) and got[a].score > got[b].score + 5
+
+
 LABELLED = [("en", "the house and the tree of the river"), ("fr", "le chat et la maison de la rivière"), ("de", "der hund und das haus mit dem fluss")]
 
 
