@@ -473,28 +473,27 @@ def _part(table: pa.Table) -> Part:
 
 
 def _statistics(table: pa.Table) -> pa.Table:
-    """(what, class, key, n): two-byte counts (what 0), tries (1) and escapes (2)."""
+    """(what, class, key, prefix, n): two-byte counts (what 0), tries (1) and escapes (2), counts of bytes after open prefixes (3)."""
     part, out = _part(table), []
+    opened = [(k, s, prefix, n) for prefix, s, sums in part.open_counts() for k, n in enumerate(sums) if n]
     for k in range(part.c.shape[1]):
         tries, new = part.escapes(k)
         for what, (keys, n) in enumerate([part.pair_counts(k), (np.arange(CLASSES), tries), (np.arange(CLASSES), new)]):
             some = n > 0
-            out.append(pa.table({"what": np.full(some.sum(), what, np.int32), "class": np.full(some.sum(), k, np.int32), "key": keys[some].astype(np.int64), "n": n[some].astype(np.int64)}))
+            out.append(pa.table({"what": np.full(some.sum(), what, np.int32), "class": np.full(some.sum(), k, np.int32), "key": keys[some].astype(np.int64), "prefix": pa.nulls(some.sum(), pa.binary()), "n": n[some].astype(np.int64)}))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    columns = [pa.array([r[i] for r in opened], t) for i, t in enumerate(types)]
+    out.append(pa.table({"what": np.full(len(opened), 3, np.int32), **dict(zip(["class", "key", "prefix", "n"], columns))}))
     return pa.concat_tables(out)
 
 
-def _opens(table: pa.Table) -> pa.Table:
-    rows = _part(table).open_counts()
-    return pa.table({"prefix": pa.array([r[0] for r in rows], pa.binary()), "next": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
-
-
 def _word_scores(model) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         lowers, escapes, opened = model.value
         part = _part(table)
         scores = np.stack([part.log_p(k, Lower(*lowers[k]), escapes[k], opened) for k in range(part.c.shape[1])], axis=1) / np.log(10)
         width = scores.shape[1]
-        lists = pa.ListArray.from_arrays(pa.array(range(0, width * len(scores) + 1, width), pa.int32()), pa.array(scores.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(range(0, width * len(scores) + 1, width), pa.int32()), pa.array(scores.ravel().astype(np.float32)))
         return pa.table({"word": pa.array(part.words, pa.binary()), "c": pa.array(part.c.sum(axis=1).astype(np.int64)), "lp": lists})
 
     return run
@@ -531,15 +530,30 @@ def _pair_scores(model) -> Callable:
     return run
 
 
-def _occurrences(ids: np.ndarray, words: list[bytes], keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
-    """Log probability of each token of a text after the bytes before it."""
-    coded = [words[i] for i in ids]
-    wanted = _document_keys(coded)
-    order = np.argsort(wanted)
-    each = np.empty(len(wanted))
-    each[order] = lp[np.searchsorted(keys, wanted[order])]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
-    return np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, all of which are there; sorted with their places in one word, block by block."""
+    out = np.empty(len(wanted))
+    for a in range(0, len(wanted), 1 << 16):
+        block = wanted[a : a + (1 << 16)].astype(np.uint64) << np.uint64(16)
+        block |= np.arange(len(block), dtype=np.uint64)
+        block.sort()
+        key = (block >> np.uint64(16)).astype(np.int64)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        found = values[np.searchsorted(keys, key[first])]
+        out[a + (block & np.uint64(0xFFFF)).astype(np.int64)] = np.repeat(found, np.diff(first, append=len(key)))
+    return out
+
+
+def _occurrences(texts: list[np.ndarray], words: list[bytes], keys: np.ndarray, lp: np.ndarray) -> list[np.ndarray]:
+    """Log probabilities of the tokens of each text after the bytes before them."""
+    coded = [[words[i] for i in ids.tolist()] for ids in texts]
+    wanted = [_document_keys(c) for c in coded]
+    each, at, out = _looked_up(keys, lp, np.concatenate(wanted)), 0, []
+    for c, places in zip(coded, wanted):
+        sizes = np.fromiter(map(len, c), np.int64, len(c)) + 1
+        out.append(np.add.reduceat(each[at : at + len(places)], np.cumsum(sizes) - sizes))
+        at += len(places)
+    return out
 
 
 def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
@@ -562,7 +576,7 @@ def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     c = np.concatenate([c, part.column("n").to_numpy(zero_copy_only=False).astype(float)])
-                    lp = np.concatenate([lp, part.column("lp").flatten().to_numpy().reshape(b - a, width)])
+                    lp = np.concatenate([lp, part.column("lp").flatten().to_numpy().reshape(b - a, width)], dtype=float)
                     words += part.column("word").to_pylist()
                     continue
                 if kind[a] == 1:
@@ -572,12 +586,13 @@ def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
                 if table is None:
                     table = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                     found = []
-                for doc_id, held, n, raw in zip(*(part.column(x).to_pylist() for x in ("doc_id", "held", "n_tokens", "payload"))):
-                    ids = _from_planes(raw)
+                texts = [_from_planes(raw) for raw in part.column("payload").to_pylist()]
+                afters = (x for k in range(0, len(texts), 64) for x in _occurrences(texts[k : k + 64], words, *table))
+                for doc_id, held, n, ids, after in zip(*(part.column(x).to_pylist() for x in ("doc_id", "held", "n_tokens")), texts, afters):
                     known = c[ids]
                     base = float(np.log10(known + 1).sum()) - n * np.log10(total + kinds + 1)
                     # Sums of powers without underflow: tokens can be long.
-                    after = _occurrences(ids, words, *table)[:, None] + np.log10(1 - TRIE_SHARE)
+                    after = after[:, None] + np.log10(1 - TRIE_SHARE)
                     alone = lp[ids] + np.log10(TRIE_SHARE)
                     top = np.maximum(after, alone)
                     each = (top + np.log10(1 + 10.0 ** (np.minimum(after, alone) - top))).sum(axis=0) + weights
@@ -639,7 +654,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shares = texts_of / texts_of.sum() if texts_of.sum() else np.full(width, 1 / width)
 
     parts = vocabulary.groupBy("part")
-    stats = parts.applyInArrow(_statistics, "what int, class int, key long, n long").groupBy("what", "class", "key").agg(F.sum("n").alias("n")).toPandas()
+    stats = parts.applyInArrow(_statistics, "what int, class int, key long, prefix binary, n long").groupBy("what", "class", "key", "prefix").agg(F.sum("n").alias("n")).toPandas()
     lowers, escapes = [], []
     for k in range(width):
         pairs, tries, new = (stats[(stats["what"] == what) & (stats["class"] == k)] for what in range(3))
@@ -649,10 +664,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         m[new["key"]] += new["n"]
         escapes.append(np.clip(m / n, 1e-9, 0.999))
     opened: dict[bytes, dict[int, list[int]]] = {}
-    for r in parts.applyInArrow(_opens, "prefix binary, next int, n array<long>").groupBy("prefix", "next").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(width)]).alias("n")).collect():
-        opened.setdefault(bytes(r.prefix), {})[r.next] = r.n
+    for r in stats[stats["what"] == 3].itertuples(index=False):
+        opened.setdefault(bytes(r.prefix), {}).setdefault(r.key, [0] * width)[r[1]] = r.n
     model = spark.sparkContext.broadcast((lowers, escapes, opened))
-    scored = parts.applyInArrow(_word_scores(model), "word binary, c long, lp array<double>")
+    scored = parts.applyInArrow(_word_scores(model), "word binary, c long, lp array<float>")
 
     sent = rows.where("kind = 2").select("chunk", F.col("at").alias("part"), "payload").groupBy("part")
     counted = sent.applyInArrow(_pair_statistics, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas()
@@ -668,7 +683,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("payload"),
     )
     none = F.lit(None)
-    texts = rows.where("kind = 1").select("chunk", F.lit(2).alias("kind"), "at", "word", none.cast("long").alias("n"), none.cast("array<double>").alias("lp"), "doc_id", "held", "n_tokens", "payload")
+    texts = rows.where("kind = 1").select("chunk", F.lit(2).alias("kind"), "at", "word", none.cast("long").alias("n"), none.cast("array<float>").alias("lp"), "doc_id", "held", "n_tokens", "payload")
     after = after.withColumn("kind", F.lit(1))
     dealt = back.unionByName(after, allowMissingColumns=True).unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
