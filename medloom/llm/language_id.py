@@ -2,8 +2,10 @@
 
     P(language | all) ~ P(text | language)^t * P(declared | language) * P(language | host)
 
-The text likelihood is naive Bayes over whole words and word endings, tempered so that
-no text counts for more than ``EFFECTIVE`` independent features. The reliability of
+The text likelihood is naive Bayes over whole words, word endings and, in scripts without
+spaces and long words, pairs of characters, tempered so that no text counts for more than
+``EFFECTIVE`` independent features. Each language has its own share of the sample and of
+the features, so that a large one does not displace a small one. The reliability of
 the declared language and the host priors are grouped aggregates over all rows: a
 host's counts are smoothed towards those of its address suffix, and these towards
 those of the corpus. A row's own vote is taken out of its prior.
@@ -34,7 +36,7 @@ MIN_CONFIDENCE = 0.5
 
 
 def features(text: str | None) -> Counter:
-    """Lower-case words of up to 24 characters, and the last three characters of each word."""
+    """Lower-case words of up to 24 characters and the last three characters of each word; all characters and pairs of longer words and of words from Thai on in code-point order, as of scripts without spaces."""
     out: Counter = Counter()
     for word, n in Counter((text or "").lower().split()).items():
         word = word.strip(".,;:!?\"'()|%&$#*")
@@ -42,6 +44,11 @@ def features(text: str | None) -> Counter:
             if len(word) <= 24:
                 out[word] += n
             out["~" + word[-3:]] += n
+            if len(word) > 24 or not word.isascii() and max(word) >= "\u0e00":
+                for i in range(len(word)):
+                    out["_" + word[i]] += n
+                    if i:
+                        out["_" + word[i - 1 : i + 1]] += n
     return out
 
 
@@ -57,23 +64,37 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES) -> tuple[list[str], dict[str, np.ndarray]]:
-    """(languages, feature -> log-likelihood of each language), on a hashed sample of the labelled rows."""
+def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, scratch: Scratch | None = None) -> tuple[list[str], dict[str, np.ndarray]]:
+    """(languages, feature -> log-likelihood of each language), on a hashed sample of the labelled rows of each language.
+
+    The languages are those of most labelled rows. Each has an equal share of ``sample_rows``,
+    of which it fills what it has, and of ``max_features``.
+    """
     labelled = rows.where(F.coalesce(F.col(lang_col), F.lit("")) != "").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    one_in = max(1, -(-labelled.count() // sample_rows))
-    sample = labelled.where(F.pmod(F.xxhash64("lang", "text"), F.lit(one_in)) == 0)
-    counts = sample.mapInArrow(_counted, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
-    per_lang = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r.lang for r in per_lang)
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return [], {}
+    langs = sorted(r.lang for r in sizes)
     at = {lang: k for k, lang in enumerate(langs)}
-    by_feature = counts.where(F.col("lang").isin(langs)).groupBy("feature").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("per")
-    )
-    top = by_feature.orderBy(F.desc("total"), "feature").limit(max_features).collect()
-    table = np.full((len(top), len(langs)), ADD)
+    quota = max(1, sample_rows // len(langs))
+    one_in = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], -(-r["count"] // quota))])[F.col("lang")]
+    sample = labelled.where(F.col("lang").isin(langs)).where(F.pmod(F.xxhash64("lang", "text"), one_in) == 0)
+    counts = sample.mapInArrow(_counted, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    counts = (scratch or Scratch(rows.sparkSession, "langid")).keep(counts)
+    share = max(1, max_features // len(langs))
+    best: set[str] = set()
+    for lang in langs:
+        best.update(r.feature for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "feature").limit(share).select("feature").collect())
+    kept = rows.sparkSession.createDataFrame([(f,) for f in sorted(best)], "feature string")
+    by_feature = counts.join(F.broadcast(kept), "feature").groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("per"))
+    top = by_feature.collect()
+    table = np.zeros((len(top), len(langs)))
     for i, r in enumerate(top):
         for lang, n in r.per.items():
             table[i, at[lang]] += n
+    # What a language has not seen is as likely in a small one as in a large one.
+    sums = table.sum(axis=0)
+    table += ADD * np.maximum(sums, 1) / max(1, sums.max(initial=0))
     logs = np.log(table / table.sum(axis=0)) if len(top) else table
     return langs, {r.feature: logs[i] for i, r in enumerate(top)}
 
@@ -83,18 +104,20 @@ def _scored(model, n_langs: int, text_col: str, drop_text: bool) -> Callable:
         worker_cache("language_id")
         logs = model.value
         for batch in batches:
-            lls, known = np.zeros((batch.num_rows, n_langs)), []
+            lls, known, words = np.zeros((batch.num_rows, n_langs)), [], []
             for i, text in enumerate(batch.column(text_col)):
-                found = [(logs[f], n) for f, n in features(text.as_py()).items() if f in logs]
+                each = features(text.as_py())
+                found = [(logs[f], n) for f, n in each.items() if f in logs]
                 total = sum(n for _, n in found)
                 if found:
                     rows, counts = np.array([r for r, _ in found]), np.array([n for _, n in found], float)
                     ll = counts @ rows * min(1.0, EFFECTIVE / total)
                     lls[i] = ll - ll.max()
                 known.append(total)
+                words.append(bool(each))
             lists = pa.ListArray.from_arrays(pa.array(range(0, n_langs * batch.num_rows + 1, n_langs), pa.int32()) if n_langs else pa.array([0] * (batch.num_rows + 1), pa.int32()), pa.array(lls.ravel()))
             names = [n for n in batch.schema.names if not (drop_text and n == text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists, pa.array(known, pa.int64())], names=[*names, "_ll", "_known"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists, pa.array(known, pa.int64()), pa.array(words, pa.bool_())], names=[*names, "_ll", "_known", "_words"])
 
     return run
 
@@ -110,14 +133,15 @@ def identify(
 ) -> DataFrame:
     """A row for each row of ``docs``: the columns ``carry``, then language, confidence, known_features, accepted.
 
-    Rejected are texts without any known feature (null, empty, no words of a known
-    language) and those whose best language has under ``min_confidence``. A null
+    Rejected are texts without any word (null, empty, digits), those without any known
+    feature whose declared language and host say nothing either, and those whose best
+    language has under ``min_confidence``. A null
     declared language, host or suffix is no evidence of that kind. Without any
     labelled row every text is rejected, with a null language. Ties go to the first
     language in code-point order; a repeated row counts again in the priors.
     """
     scratch = Scratch(docs.sparkSession, "langid")
-    langs, model = fit(docs, text_col, declared_col, sample_rows)
+    langs, model = fit(docs, text_col, declared_col, sample_rows, scratch=scratch)
     k = len(langs)
     drop_text = text_col not in carry
     needed = list(dict.fromkeys([*carry, text_col]))
@@ -128,7 +152,7 @@ def identify(
         (F.coalesce(F.col(suffix_col).cast("string"), F.lit("")) if suffix_col else F.lit("")).alias("_suffix"),
     )
     fields = [f for f in evidence.schema.fields if not (drop_text and f.name == text_col)]
-    schema = T.StructType([*fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_known", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_known", T.LongType()), T.StructField("_words", T.BooleanType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     rows = scratch.keep(evidence.mapInArrow(_scored(shipped, k, text_col, drop_text), schema))
     if not k:
@@ -177,12 +201,14 @@ def identify(
     fused = fused.withColumn("_top", F.array_max("_post"))
     odds = F.aggregate(F.transform("_post", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
     confidence = 1 / odds
+    said_or_hosted = F.col("_said").isNotNull() | ((F.col("_host") != "") & F.col("_h").isNotNull())
+    evident = (F.col("_known") > 0) | (F.col("_words") & said_or_hosted)
     return fused.select(
         *[F.col(f"`{c}`") for c in carry],
         F.get(names, _best(F.col("_post")).cast("int")).alias("language"),
         confidence.alias("confidence"),
         F.col("_known").alias("known_features"),
-        ((F.col("_known") > 0) & (confidence >= min_confidence)).alias("accepted"),
+        (evident & (confidence >= min_confidence)).alias("accepted"),
     )
 
 

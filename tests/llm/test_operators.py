@@ -543,6 +543,27 @@ def test_language_id(spark, docs, empty):
     assert (e[0].declared, e[0].host, e[0].suffix, e[0].text.split()) == ("fr", "a.example.fr", "fr", ["le", "chat"]) and e[1].host is None
 
 
+def test_language_id_of_small_languages_and_scripts_without_spaces(spark):
+    """A small language and one without spaces beside a large one, and texts without any known feature."""
+    rng = random.Random(2)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    signs, small = [chr(0x4E00 + i) for i in range(60)], ["ze", "vrouw", "kwam", "thuis", "zou", "worden"]
+    chinese = lambda: "".join(rng.choice(signs) for _ in range(60))
+    rows = [(k, " ".join(rng.sample(vocab, 40)), "en", "a.example") for k in range(600)]
+    rows += [(1000 + k, chinese(), "zh" if k < 20 else None, None) for k in range(30)]
+    rows += [(2000 + k, " ".join(rng.choice(small) for _ in range(12)), "nl" if k < 8 else None, None) for k in range(12)]
+    rows += [(3000, "ωωω ψψψ", "en", None), (3001, "λλλ ξξξ", None, "a.example"), (3002, "σσσ δδδ", None, None), (3003, "", "en", "a.example")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langs, model = language_id.fit(df, "text", "lang", 90, 600)
+    assert langs == ["en", "nl", "zh"] and len(model) <= 600 and set(small) <= set(model)
+    got = {r.doc_id: r for r in language_id.identify(df, sample_rows=90).collect()}
+    assert all(got[k].accepted and got[k].language == "zh" for k in range(1000, 1030))
+    assert all(got[k].accepted and got[k].language == "nl" for k in range(2000, 2012))
+    assert sum(got[k].accepted and got[k].language == "en" for k in range(600)) == 600
+    assert got[3001].known_features == got[3002].known_features == 0
+    assert [got[k].accepted for k in range(3000, 3004)] == [True, True, False, False] and got[3000].language == got[3001].language == "en"
+
+
 def test_url_rules(spark):
     rows = [
         (1, "http://WWW.Example.com/en/1?x", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
