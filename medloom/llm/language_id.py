@@ -68,9 +68,9 @@ def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE
     """(languages, feature -> log-likelihood of each language), on a hashed sample of the labelled rows of each language.
 
     The languages are those of most labelled rows. Each has an equal share of ``sample_rows``,
-    of which it fills what it has, and of ``max_features``.
+    of which it fills what it has, and of ``max_features``. Names differ by more than case.
     """
-    labelled = rows.where(F.coalesce(F.col(lang_col), F.lit("")) != "").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    labelled = rows.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).alias("text")).where("lang != ''")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return [], {}

@@ -564,6 +564,14 @@ def test_language_id_of_small_languages_and_scripts_without_spaces(spark):
     assert [got[k].accepted for k in range(3000, 3004)] == [True, True, False, False] and got[3000].language == got[3001].language == "en"
 
 
+def test_language_id_of_declared_names_in_capitals(spark):
+    rows = [(k, LABELLED[k % 2][1], ["EN", "pt-BR", "en", "pt-br"][k % 4]) for k in range(40)] + [(40, "ωωω ψψψ", "pt-BR")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert all(got[k].accepted and got[k].language == ["en", "pt-br"][k % 2] for k in range(40))
+    assert got[40].accepted and got[40].language == "pt-br"
+
+
 def test_url_rules(spark):
     rows = [
         (1, "http://WWW.Example.com/en/1?x", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
