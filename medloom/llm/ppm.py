@@ -1,29 +1,23 @@
 """Language-model scoring by prediction by partial matching.
 
-A text is coded token by token, a token byte by byte and then its end. Two models of a token
-are mixed in equal parts, token by token.
-
-The first conditions a byte on the bytes of the document before it, over token borders. Its
-contexts are, longest first, the last ``ORDER`` bytes, one less and so on, and none. A context
-that has not seen the byte escapes to the next, and what the longer context has seen is
-excluded there. A byte never seen is uniform. From three bytes on the probability of an
-escape is estimated by how often a context of the same order, place in its token, count and
-number of symbols met something new, each training byte left out in turn; in the shorter
-contexts it is that of method D. All training texts share this model.
-
-The second does not see the token before: its contexts are all bytes of the token so far (a
-trie of the tokens), then two, one and none, with escapes estimated likewise. There is one
-for each class of training texts, such as their languages, and a text's probability is the
-mixture over the classes by their share: no class is used to score.
-
-How it is distributed. Each chunk of documents sends its distinct tokens and its distinct
-(context, byte) pairs with their counts, not their occurrences. The pairs are
-range-partitioned by their last three bytes of context, so every context of three bytes or
-more is whole in one part. The distinct tokens are range-partitioned, so every trie node is
-whole in one part, but for the prefixes of a part's first and last token, whose counts are
-added up across parts (at most 2 * ``DEPTH`` nodes a part). The two-byte contexts have at
-most 2^24 counts whatever the corpus. Those are all that is broadcast. The scores of tokens
-and pairs then go back to the chunks that hold them.
+A text is coded byte by byte: its words, each with the space after it, then one end. The
+contexts of a byte are, longest first, the last ``ORDER`` bytes of the document, one less
+and so on, and none; they run over token borders. A context that has not seen the byte
+escapes to the next, and what the longer context has seen is excluded there. A byte never
+seen is uniform. From three bytes on the probability of an escape is estimated by how often
+a context of the same order, place in its token, count and number of symbols met something
+new, each training byte left out in turn; in the shorter contexts it is that of method D.
+All training texts share one model, which nothing else enters.
+
+How it is distributed. Each chunk of documents sends its distinct (context, byte) pairs and
+its distinct tokens with their training counts, not their occurrences. The pairs are dealt
+into parts by ranges of their last three bytes of context, so every context of three bytes
+or more is whole in one part; the tokens are dealt by their hash. A part merges the rows of
+the chunks as they stream by, so that it holds its distinct pairs only. Counts of two-byte
+contexts are a table of their own, of which each part gets the contexts that end its
+pairs; what all tasks get is the 2^16 counts of pairs of bytes and an escape estimate for
+each of ``CLASSES``. The scores of pairs and the counts of tokens then go back to the
+chunks that hold them.
 """
 
 from __future__ import annotations
@@ -38,26 +32,24 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Bytes of the longest context over token borders.
+#: Bytes of the longest context.
 ORDER = 5
-#: Bytes of text for each part of the (context, byte) pairs, and at most in a chunk, but for one document.
-PART_BYTES, CHUNK_BYTES = 1 << 22, 1 << 24
-#: Texts whose contexts balance the parts.
-SAMPLE_ROWS = 1000
-#: Share of the trie in a token's probability.
-TRIE_SHARE = 0.5
-#: Longest token prefix that is a context of its own.
-DEPTH = 32
-#: Tokens of all chunks for each part of the vocabulary, which has fewer.
-PART_TOKENS = 200_000
+#: Bytes of text in a chunk at most, but for one document, and for each part of the pairs and of the tokens.
+CHUNK_BYTES, PART_BYTES = 1 << 23, 1 << 24
+#: Texts, and characters of each, whose contexts balance the parts; nothing else depends on them.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 10_000
+#: Pairs that a part gathers before it merges them.
+MERGE_PAIRS = 1 << 20
 #: The token that ends each text; no word can contain white space.
 END = b"\n"
 SPACE = 0x20
 
-#: Largest number of classes that have a model of their own; the others share one.
-MAX_CLASSES = 8
+#: Kinds of rows: tokens, pairs, documents.
+WORDS, PAIRS, DOCS = range(3)
+#: What the parts say: their merged counts, the counts of two-byte contexts, tries and escapes of each class, distinct training tokens.
+MERGED, LOW, TRIES, ESCAPES, KINDS = range(5)
 
-PASS = "chunk long, kind int, at int, word binary, n array<long>, doc_id long, held boolean, n_tokens long, payload binary"
+ROWS = "chunk long, kind int, part int, ids array<long>, n array<long>, payload binary"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -65,41 +57,66 @@ def held_out(doc_id: int | None) -> bool:
     return crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of 32-bit values, plane by plane, which compresses well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Values of 4 bytes, plane by plane, compressed."""
+    return _pack(values.astype(kind).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def _from_planes(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(_unpack(raw), np.uint8).reshape(4, -1).T.copy().view(kind).ravel()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending values of up to 63 bits as steps, plane by plane, compressed."""
+    return _pack(np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_unpack(raw), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel())
+
+
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _bundle(*items: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in items)
+
+
+def _items(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z lower-cased, then its end."""
+    return [*(text or "").encode().lower().split(), END]
 
 
 def _keys(stream: np.ndarray) -> np.ndarray:
-    """(last byte << 40 | the one before << 32 .. | byte) of each place after the first ``ORDER``."""
+    """(last byte, the one before, .., byte), most significant first, of each place after the first ``ORDER``."""
     out = stream[ORDER:].astype(np.int64)
     for k in range(1, ORDER + 1):
         out |= stream[ORDER - k : len(stream) - k].astype(np.int64) << 8 * (ORDER + 1 - k)
     return out
 
 
-def _stream(words: list[bytes]) -> bytes:
-    """The coded bytes of a text, after a context of ends: its words end with a space, ``END`` with itself."""
-    return END * ORDER + b" ".join(words)
-
-
 def _document_keys(words: list[bytes]) -> np.ndarray:
-    return _keys(np.frombuffer(_stream(words), np.uint8))
+    """Pairs of a document, after a context of ends: its words end with a space, ``END`` with itself."""
+    return _keys(np.frombuffer(END * ORDER + b" ".join(words), np.uint8))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Ascending 48-bit values as steps, plane by plane."""
-    return np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    steps = np.zeros((len(raw) // 6, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
-    return np.cumsum(steps.view("<i8").ravel())
+def _three(keys: np.ndarray) -> np.ndarray:
+    """The last three bytes of context."""
+    return keys >> 8 * (ORDER - 2)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -115,72 +132,74 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _tokenized(classes: list[str], splitters: np.ndarray) -> Callable:
-    """Chunks: their distinct tokens with training counts by class (kind 0), documents as token numbers (1), and distinct pairs with training counts, by part (2)."""
-    n_classes, class_of = len(classes) + 1, {name: k for k, name in enumerate(classes)}
-
+def _chunk(ids: list, texts: pa.Array, splitters: np.ndarray, word_parts: int) -> Iterator[tuple]:
+    """(kind, part, ids, n, payload) of one chunk: documents as token numbers, then tokens and pairs by part with their training counts."""
+    numbers: dict[bytes, int] = {}
+    docs, sizes, keys, trained = [], [], [], []
+    for doc_id, text in zip(ids, texts):
+        words = _tokens(text.as_py())
+        docs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+        sizes.append(len(words))
+        held = held_out(doc_id)
+        if not held:
+            trained.append(docs[-1])
+        keys.append(_document_keys(words) << 1 | (not held))
+    yield DOCS, 0, ids, sizes, _planes(np.concatenate(docs))
+    n = np.bincount(np.concatenate(trained), minlength=len(numbers)) if trained else np.zeros(len(numbers), np.int64)
+    del docs, trained
+    each = np.concatenate(keys)
+    keys.clear()
+    words = list(numbers)
+    part_of = np.fromiter(map(crc32, words), np.uint32, len(words)) % word_parts
+    order = np.argsort(part_of, kind="stable")
+    cuts = np.searchsorted(part_of[order], np.arange(word_parts + 1))
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            mine = order[a:b]
+            yield WORDS, part, None, None, _bundle(_pack(b" ".join([words[i] for i in mine])), _packed(mine), _planes(n[mine]))
+    each.sort()
+    first = np.flatnonzero(np.diff(each >> 1, prepend=-1))
+    times, pairs = np.add.reduceat(each & 1, first), each[first] >> 1
+    del each
+    cuts = [0, *np.searchsorted(_three(pairs), splitters), len(pairs)]
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            yield PAIRS, part, None, None, _bundle(_packed(pairs[a:b]), _planes(times[a:b]))
+
+
+def _chunks(splitters: np.ndarray, word_parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for lo, hi in _slices(whole.column(1)):
-                batch = whole.slice(lo, hi - lo)
-                numbers: dict[bytes, int] = {}
-                docs: list[tuple] = []
-                trained: list[list[np.ndarray]] = [[] for _ in range(n_classes)]
-                keys: list[np.ndarray] = []
-                for doc_id, text, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    words = (text.as_py() or "").encode().lower().split()
-                    words.append(END)
-                    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-                    held = held_out(doc_id)
-                    if not held:
-                        trained[class_of.get(kind, n_classes - 1)].append(ids)
-                    keys.append(_document_keys(words) << 1 | (not held))
-                    docs.append((doc_id, held, len(words), _planes(ids)))
-                w, d = len(numbers), len(docs)
-                n = np.stack([np.bincount(np.concatenate(t), minlength=w) if t else np.zeros(w, np.int64) for t in trained], axis=1)
-                each = np.concatenate(keys)
-                keys.clear()
-                each.sort()
-                first = np.flatnonzero(np.diff(each >> 1, prepend=-1))
-                times = np.add.reduceat(each & 1, first)
-                pairs = each[first] >> 1
-                del each
-                cuts = [0, *np.searchsorted(pairs, splitters << 24), len(pairs)]
-                sent = [(p, _packed(pairs[a:b]) + _planes(times[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                m = len(sent)
-                ends = pa.array([*range(0, n_classes * w + 1, n_classes), *[n_classes * w] * (d + m)], pa.int32())
-                none = pa.nulls
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * (w + d + m), pa.int64()),
-                        pa.array([0] * w + [1] * d + [2] * m, pa.int32()),
-                        pa.array([*range(w), *range(d), *[x[0] for x in sent]], pa.int32()),
-                        pa.array([*numbers, *[None] * (d + m)], pa.binary()),
-                        pa.ListArray.from_arrays(ends, pa.array(n.ravel(), pa.int64())),
-                        pa.concat_arrays([none(w, pa.int64()), pa.array([x[0] for x in docs], pa.int64()), none(m, pa.int64())]),
-                        pa.concat_arrays([none(w, pa.bool_()), pa.array([x[1] for x in docs], pa.bool_()), none(m, pa.bool_())]),
-                        pa.concat_arrays([none(w, pa.int64()), pa.array([x[2] for x in docs], pa.int64()), none(m, pa.int64())]),
-                        pa.concat_arrays([none(w, pa.binary()), pa.array([x[3] for x in docs] + [x[1] for x in sent], pa.binary())]),
-                    ],
-                    names=["chunk", "kind", "at", "word", "n", "doc_id", "held", "n_tokens", "payload"],
-                )
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        for batch in batches:
+            for lo, hi in _slices(batch.column(1)):
+                rows = [(chunk, *row) for row in _chunk(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo), splitters, word_parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["chunk", "kind", "part", "ids", "n", "payload"])
                 chunk += 1
 
     return run
 
 
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
 class Lower:
-    """The contexts of two bytes, one and none, from counts of (first << 16 | second << 8 | next)."""
+    """The contexts of two bytes, one and none.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    From counts of (first << 16 | second << 8 | next), of the two-byte contexts that are asked for at
+    least, and the counts [second, next] of all of them.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, one: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.counts = keys[order].astype(np.int64), counts[order].astype(float)
+        self.keys, self.counts, self.one = keys[order].astype(np.int64), counts[order].astype(float), one
         q, r, s = self.keys >> 8, self.keys >> 8 & 255, self.keys & 255
-        self.one = np.zeros((256, 256))
-        np.add.at(self.one, (r, s), self.counts)
         self.zero = self.one.sum(axis=0)
         self.q, first = np.unique(q, return_index=True)
         if len(self.q):
@@ -227,150 +246,17 @@ class Lower:
         return out
 
 
-def _class(n: np.ndarray, d: np.ndarray, depth: int) -> np.ndarray:
-    """Contexts that share an escape estimate: by the order of their count, their symbols (up to 3) and depth."""
-    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 20) * 64 + np.minimum(d, 3).astype(np.int64) * 16 + min(depth, 15)
-
-
+#: Contexts share an escape estimate by the order of their count, their symbols (up to 3), their length and how much of it lies in the token.
 CLASSES = 21 * 64
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
-
-
-class Part:
-    """Sorted distinct tokens and their counts by class: one part of the token trie, level by level."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        self.words, self.c = words, counts.astype(float)
-        self.len = np.fromiter(map(len, words), np.int64, len(words))
-        self.is_end = np.fromiter((w == END for w in words), bool, len(words))
-        data = b" " + b" ".join(words) + b" "
-        self.data = np.frombuffer(data, np.uint8).astype(np.int64)
-        self.start = 1 + np.concatenate([[0], np.cumsum(self.len + 1)[:-1]]) if len(words) else np.zeros(0, np.int64)
-        # Bytes that a word shares with the one before, up to DEPTH.
-        self.common = np.zeros(len(words), np.int64)
-        same = np.arange(1, len(words))
-        for depth in range(DEPTH):
-            same = same[(self.len[same] > depth) & (self.len[same - 1] > depth)]
-            same = same[self.data[self.start[same] + depth] == self.data[self.start[same - 1] + depth]]
-            if not len(same):
-                break
-            self.common[same] = depth + 1
-
-    def symbols(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(two-byte context, symbol) at places in the data."""
-        before = self.data[at - 1]
-        two = np.where(before == SPACE, SPACE, self.data[np.maximum(at - 2, 0)])
-        return two << 8 | before, self.data[at]
-
-    def places(self, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(word, place) of every symbol from position ``first`` of each word on; END has one symbol."""
-        sizes = np.maximum(self.len + 1 - self.is_end - first, 0)
-        word = np.repeat(np.arange(len(self.words)), sizes)
-        within = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return word, self.start[word] + first + within
-
-    def pair_counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of class k of (first << 16 | second << 8 | next)."""
-        word, at = self.places()
-        used = self.c[word, k] > 0
-        q, s = self.symbols(at[used])
-        keys, back = np.unique(q << 8 | s, return_inverse=True)
-        return keys, np.bincount(back, self.c[word[used], k], minlength=len(keys))
-
-    def escapes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tries, escapes) of each class of contexts, each training token of class k left out in turn."""
-        tries, new = np.zeros(CLASSES), np.zeros(CLASSES)
-        for depth, on, groups, branches, of, s in self.levels():
-            first = np.searchsorted(of, np.arange(len(groups)))
-            c = np.add.reduceat(self.c[on, k], branches)
-            n, d = np.add.reduceat(c, first), np.add.reduceat((c > 0).astype(float), first)
-            rest = n[of] - 1
-            for once, weight in ((True, (c == 1).astype(float)), (False, np.where(c > 1, c, 0.0))):
-                use = (weight > 0) & (rest > 0)
-                at = _class(rest[use], d[of[use]] - once, depth)
-                tries += np.bincount(at, weight[use], minlength=CLASSES)
-                if once:
-                    new += np.bincount(at, weight[use], minlength=CLASSES)
-        return tries, new
+def _class(n: np.ndarray, d: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 20) * 64 + np.minimum(d, 3).astype(np.int64) * 16 + slot
 
-    def levels(self) -> Iterator[tuple]:
-        """(depth, words, group starts, branch starts, group of each branch) for each depth of the trie."""
-        for depth in range(min(DEPTH, int(self.len.max(initial=-1)) + 1)):
-            on = np.flatnonzero((self.len >= depth) & ~(self.is_end & (depth > 0)))
-            if not len(on):
-                return
-            new = np.ones(len(on), bool)
-            new[1:] = (on[1:] != on[:-1] + 1) | (self.common[on[1:]] < depth)
-            s = self.data[self.start[on] + depth]
-            branch = new.copy()
-            branch[1:] |= s[1:] != s[:-1]
-            groups, branches = np.flatnonzero(new), np.flatnonzero(branch)
-            yield depth, on, groups, branches, np.cumsum(new)[branches] - 1, s
-
-    def _open(self, depth: int, on: np.ndarray, groups: np.ndarray) -> list[int]:
-        """Groups that go beyond this part, perhaps: those of the first and the last word."""
-        out = []
-        if on[0] == 0:
-            out.append(0)
-        if on[-1] == len(self.words) - 1 and len(groups) - 1 not in out:
-            out.append(len(groups) - 1)
-        return out
-
-    def open_counts(self) -> list[tuple[bytes, int, list[int]]]:
-        """(prefix, next byte, counts by class) of the open groups."""
-        out = []
-        for depth, on, groups, branches, of, s in self.levels():
-            for g in self._open(depth, on, groups):
-                for b in np.flatnonzero(of == g):
-                    end = branches[b + 1] if b + 1 < len(branches) else len(on)
-                    sums = self.c[on[branches[b] : end]].sum(axis=0)
-                    if sums.any():
-                        out.append((self.words[on[groups[g]]][:depth], int(s[branches[b]]), [int(x) for x in sums]))
-        return out
 
-    def log_p(self, k: int, lower: Lower, escape: np.ndarray, opened: dict[bytes, dict[int, list[int]]]) -> np.ndarray:
-        """Log probability of each word under the model of class k."""
-        out = np.zeros(len(self.words))
-        for depth, on, groups, branches, of, s in self.levels():
-            q, _ = self.symbols(self.start[on] + depth)
-            first = np.searchsorted(of, np.arange(len(groups)))
-            c = np.add.reduceat(self.c[on, k], branches)
-            seen = (c > 0).astype(float)
-            n, d = np.add.reduceat(c, first), np.add.reduceat(seen, first)
-            excluded = np.add.reduceat(seen * lower.at(q[branches], s[branches]), first)
-            for g in self._open(depth, on, groups):
-                after = {x: ns[k] for x, ns in opened.get(self.words[on[groups[g]]][:depth], {}).items() if ns[k]}
-                n[g], d[g] = sum(after.values()), len(after)
-                mine = np.flatnonzero(of == g)
-                c[mine] = [after.get(int(x), 0) for x in s[branches[mine]]]
-                kinds = np.fromiter(after, np.int64, len(after))
-                excluded[g] = lower.at(np.full(len(kinds), q[groups[g]]), kinds).sum()
-            marks = np.zeros(len(on), np.int64)
-            marks[branches] = 1
-            branch = np.cumsum(marks) - 1
-            cw, group = c[branch], of[branch]
-            goes = escape[_class(n, d, depth)]
-            hit = cw > 0
-            out[on[hit]] += np.log((1 - goes[group[hit]]) * cw[hit] / n[group[hit]])
-            missed = np.flatnonzero(~hit)
-            if len(missed):
-                g = group[missed]
-                n2, d2 = lower.sizes(q[missed])
-                inside = n[g] > 0
-                out[on[missed[inside]]] += np.log(goes[g[inside]])
-                n2, d2 = np.where(inside, n2 - excluded[g], n2), np.where(inside, d2 - d[g], d2)
-                out[on[missed]] += lower.log_p(q[missed], s[missed], n2, d2)
-        word, at = self.places(DEPTH)
-        if len(word):
-            q, s = self.symbols(at)
-            out += np.bincount(word, lower.log_p(q, s, *lower.sizes(q)), minlength=len(out))
-        return out
+def _slot(order: int, within: np.ndarray) -> np.ndarray:
+    """A number under 16 for a context of ``order`` 3 to 5 of whose bytes ``within`` lie in the token."""
+    return np.minimum(within, order) + sum(range(order + 2, ORDER + 2))
 
 
 class Contexts:
@@ -378,7 +264,7 @@ class Contexts:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.c = keys, counts.astype(float)
-        self.q, self.s = (self.keys >> 32 & 255) << 8 | self.keys >> 40, self.keys & 255
+        self.q, self.s = (self.keys >> 8 * (ORDER - 1) & 255) << 8 | self.keys >> 8 * ORDER, self.keys & 255
         #: Bytes of the context since the token began.
         self.within = np.zeros(len(keys), np.int64)
         inside = np.ones(len(keys), bool)
@@ -396,11 +282,10 @@ class Contexts:
             yield k, pair, some_key, context, c, np.bincount(context, c), np.bincount(context, c > 0)
 
     def _class(self, n: np.ndarray, d: np.ndarray, k: int, key: np.ndarray) -> np.ndarray:
-        slot = np.minimum(self.within[key], k) + sum(range(k + 2, ORDER + 2))
-        return _class(n, d, 0) + slot
+        return _class(n, d, _slot(k, self.within[key]))
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of (first << 16 | second << 8 | next)."""
+        """Counts of (first << 16 | second << 8 | next), also of pairs that only texts held out have."""
         keys, back = np.unique(self.q << 8 | self.s, return_inverse=True)
         return keys, np.bincount(back, self.c, len(keys))
 
@@ -465,67 +350,105 @@ class Contexts:
         return out
 
 
-def _part(table: pa.Table) -> Part:
-    words, counts = table.column("word").to_pylist(), table.column("c").combine_chunks()
-    matrix = counts.flatten().to_numpy().reshape(len(words), -1) if words else np.zeros((0, 1))
-    order = sorted(range(len(words)), key=words.__getitem__)
-    return Part([words[i] for i in order], matrix[order])
-
-
-def _statistics(table: pa.Table) -> pa.Table:
-    """(what, class, key, prefix, n): two-byte counts (what 0), tries (1) and escapes (2), counts of bytes after open prefixes (3)."""
-    part, out = _part(table), []
-    opened = [(k, s, prefix, n) for prefix, s, sums in part.open_counts() for k, n in enumerate(sums) if n]
-    for k in range(part.c.shape[1]):
-        tries, new = part.escapes(k)
-        for what, (keys, n) in enumerate([part.pair_counts(k), (np.arange(CLASSES), tries), (np.arange(CLASSES), new)]):
-            some = n > 0
-            out.append(pa.table({"what": np.full(some.sum(), what, np.int32), "class": np.full(some.sum(), k, np.int32), "key": keys[some].astype(np.int64), "prefix": pa.nulls(some.sum(), pa.binary()), "n": n[some].astype(np.int64)}))
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64()]
-    columns = [pa.array([r[i] for r in opened], t) for i, t in enumerate(types)]
-    out.append(pa.table({"what": np.full(len(opened), 3, np.int32), **dict(zip(["class", "key", "prefix", "n"], columns))}))
-    return pa.concat_tables(out)
-
-
-def _word_scores(model) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        lowers, escapes, opened = model.value
-        part = _part(table)
-        scores = np.stack([part.log_p(k, Lower(*lowers[k]), escapes[k], opened) for k in range(part.c.shape[1])], axis=1) / np.log(10)
-        width = scores.shape[1]
-        lists = pa.ListArray.from_arrays(pa.array(range(0, width * len(scores) + 1, width), pa.int32()), pa.array(scores.ravel().astype(np.float32)))
-        return pa.table({"word": pa.array(part.words, pa.binary()), "c": pa.array(part.c.sum(axis=1).astype(np.int64)), "lp": lists})
-
-    return run
-
-
-def _merged(table: pa.Table) -> tuple[list[np.ndarray], Contexts]:
-    """The pairs of each row, and all of them with their counts."""
-    raws = table.column("payload").to_pylist()
-    rows = [_unpacked(raw[: len(raw) // 10 * 6]) for raw in raws]
-    times = np.concatenate([_from_planes(raw[len(raw) // 10 * 6 :]) for raw in raws])
-    keys, back = np.unique(np.concatenate(rows), return_inverse=True)
-    return rows, Contexts(keys, np.bincount(back, times, len(keys)))
-
+class _PairSums:
+    """Merges the pairs of chunks; holds the distinct ones and at most ``MERGE_PAIRS`` or as many again."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, payload: bytes) -> None:
+        keys, n = _items(payload)
+        self.held.append((_unpacked(keys), _from_planes(n)))
+        self.size += len(self.held[-1][0])
+        if self.size > max(MERGE_PAIRS, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, back = np.unique(np.concatenate([self.keys, *(k for k, _ in self.held)]), return_inverse=True)
+        self.n = np.bincount(back, np.concatenate([self.n, *(n for _, n in self.held)]), len(keys))
+        self.keys, self.held, self.size = keys, [], 0
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, part, payload) sorted by part -> (what, kind, part, key, n, payload): what each part has to say."""
+    at, sums, counts = None, _PairSums(), {}
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal sums, counts
+        if at is None:
+            return
+        kind, part = at
+        if kind == WORDS:
+            known = [w for w, n in counts.items() if n]
+            payload = _bundle(_pack(b" ".join(known)), _pack(np.array([counts[w] for w in known], "<i8").tobytes()))
+            said = [(KINDS, np.zeros(1, np.int64), np.array([len(known)]))]
+            counts = {}
+        else:
+            sums.merge()
+            model = Contexts(sums.keys, sums.n)
+            tries, new = model.escapes()
+            every = np.arange(CLASSES)
+            said = [(LOW, *model.pair_counts()), (TRIES, every, tries), (ESCAPES, every, new)]
+            said = [(what, k[(n > 0) | (what == LOW)], n[(n > 0) | (what == LOW)]) for what, k, n in said]
+            payload = _bundle(_packed(sums.keys), _pack(sums.n.astype("<i8").tobytes()))
+            sums = _PairSums()
+        what = np.concatenate([[MERGED], *(np.full(len(k), w) for w, k, _ in said)])
+        key = np.concatenate([[0], *(k for _, k, _ in said)])
+        n = np.concatenate([[0], *(n for _, _, n in said)])
+        payloads = pa.concat_arrays([pa.array([payload], pa.binary()), pa.nulls(len(what) - 1, pa.binary())])
+        columns = [pa.array(what, pa.int32()), pa.array(np.full(len(what), kind), pa.int32()), pa.array(np.full(len(what), part), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(key, pa.int64()), pa.array(n.astype(np.int64)), payloads], names=["what", "kind", "part", "key", "n", "payload"])
+
+    for batch in batches:
+        kinds, parts = batch.column("kind").to_pylist(), batch.column("part").to_pylist()
+        for kind, part, payload in zip(kinds, parts, batch.column("payload")):
+            if (kind, part) != at:
+                yield from close()
+                at = (kind, part)
+            if kind == PAIRS:
+                sums.add(payload.as_py())
+            else:
+                words, _, n = _items(payload.as_py())
+                for w, k in zip(_unpack(words).split(b" "), _from_planes(n).tolist()):
+                    counts[w] = counts.get(w, 0) + k
+    yield from close()
 
-def _pair_statistics(table: pa.Table) -> pa.Table:
-    """(what, key, n): two-byte counts (what 0), tries (1) and escapes (2)."""
-    _, part = _merged(table)
-    tries, new = part.escapes()
-    out = []
-    for what, (keys, n) in enumerate([part.pair_counts(), (np.arange(CLASSES), tries), (np.arange(CLASSES), new)]):
-        some = n > 0
-        out.append(pa.table({"what": np.full(some.sum(), what, np.int32), "key": keys[some].astype(np.int64), "n": n[some].astype(np.int64)}))
-    return pa.concat_tables(out)
 
+def _answers(one: np.ndarray, escape: np.ndarray) -> Callable:
+    """Rows of a part: counts of its two-byte contexts (step 0), its merged counts (1), then rows of chunks (2), which are answered one by one."""
 
-def _pair_scores(model) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        rows, part = _merged(table)
-        keys, counts, escape = model.value
-        lp = (part.log_p(Lower(keys, counts), escape) / np.log(10)).astype("<f4")
-        back = [_packed(row) + lp[np.searchsorted(part.keys, row)].tobytes() for row in rows]
-        return pa.table({"chunk": table.column("chunk"), "at": table.column("part"), "payload": pa.array(back, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, low, model = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("kind", "part", "step", "chunk", "key", "n")]
+            for (kind, part, step, chunk, key, n), payload in zip(zip(*columns), batch.column("payload")):
+                if (kind, part) != at:
+                    at, low, model = (kind, part), [], None
+                if step == 0:
+                    low.append((key, n))
+                elif step == 1:
+                    first, counts = _items(payload.as_py())
+                    counts = np.frombuffer(_unpack(counts), "<i8")
+                    if kind == PAIRS:
+                        some = np.array(low, np.int64).reshape(-1, 2)
+                        some = some[some[:, 1] > 0]
+                        keys = _unpacked(first)
+                        model = keys, Contexts(keys, counts).log_p(Lower(some[:, 0], some[:, 1], one), escape) / np.log(10)
+                    else:
+                        model = dict(zip(_unpack(first).split(b" "), counts.tolist()))
+                elif kind == PAIRS:
+                    keys = _items(payload.as_py())[0]
+                    lp = model[1][np.searchsorted(model[0], _unpacked(keys))]
+                    out.append((chunk, kind, part, _bundle(keys, _planes(lp, "<f4"))))
+                else:
+                    words, numbers, _ = _items(payload.as_py())
+                    known = np.array([model.get(w, 0) for w in _unpack(words).split(b" ")], "<i8")
+                    out.append((chunk, kind, part, _bundle(words, numbers, _pack(known.tobytes()))))
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["chunk", "kind", "part", "payload"])
 
     return run
 
@@ -544,147 +467,110 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.n
     return out
 
 
-def _occurrences(texts: list[np.ndarray], words: list[bytes], keys: np.ndarray, lp: np.ndarray) -> list[np.ndarray]:
-    """Log probabilities of the tokens of each text after the bytes before them."""
-    coded = [[words[i] for i in ids.tolist()] for ids in texts]
-    wanted = [_document_keys(c) for c in coded]
-    each, at, out = _looked_up(keys, lp, np.concatenate(wanted)), 0, []
-    for c, places in zip(coded, wanted):
-        sizes = np.fromiter(map(len, c), np.int64, len(c)) + 1
-        out.append(np.add.reduceat(each[at : at + len(places)], np.cumsum(sizes) - sizes))
-        at += len(places)
-    return out
-
-
-def _document_scores(total: int, kinds: int, shares: np.ndarray) -> Callable:
-    """Rows of a chunk: tokens, then pairs, then documents."""
-    weights, width = np.log10(np.maximum(shares, 1e-300)), len(shares)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = None
-        for batch in batches:
-            out: list[tuple] = []
-            chunks, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(kind) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(chunks)]):
-                if a == b:
-                    continue
-                if chunks[a] != chunk:
-                    chunk, c, lp, words = chunks[a], np.zeros(0), np.zeros((0, width)), []
-                    found: list[tuple] = []
-                    table = None
-                part = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    c = np.concatenate([c, part.column("n").to_numpy(zero_copy_only=False).astype(float)])
-                    lp = np.concatenate([lp, part.column("lp").flatten().to_numpy().reshape(b - a, width)], dtype=float)
-                    words += part.column("word").to_pylist()
-                    continue
-                if kind[a] == 1:
-                    for raw in part.column("payload").to_pylist():
-                        found.append((_unpacked(raw[: len(raw) // 10 * 6]), np.frombuffer(raw[len(raw) // 10 * 6 :], "<f4")))
-                    continue
-                if table is None:
-                    table = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    found = []
-                texts = [_from_planes(raw) for raw in part.column("payload").to_pylist()]
-                afters = (x for k in range(0, len(texts), 64) for x in _occurrences(texts[k : k + 64], words, *table))
-                for doc_id, held, n, ids, after in zip(*(part.column(x).to_pylist() for x in ("doc_id", "held", "n_tokens")), texts, afters):
-                    known = c[ids]
-                    base = float(np.log10(known + 1).sum()) - n * np.log10(total + kinds + 1)
-                    # Sums of powers without underflow: tokens can be long.
-                    after = after[:, None] + np.log10(1 - TRIE_SHARE)
-                    alone = lp[ids] + np.log10(TRIE_SHARE)
-                    top = np.maximum(after, alone)
-                    each = (top + np.log10(1 + 10.0 ** (np.minimum(after, alone) - top))).sum(axis=0) + weights
-                    score = each.max() + np.log10((10.0 ** (each - each.max())).sum())
-                    out.append((doc_id, held, n, int((known > 0).sum()), total, base, float(score)))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
-
-    return run
-
-
-def _splitters(thin: DataFrame) -> np.ndarray:
+def _document_scores(docs: list[np.ndarray], words: list[bytes], keys: np.ndarray, lp: np.ndarray) -> Iterator[float]:
+    """Log10 probability of each document, given as token numbers."""
+    wanted: list[np.ndarray] = []
+    for k, ids in enumerate(docs):
+        wanted.append(_document_keys([words[i] for i in ids.tolist()]))
+        if sum(map(len, wanted)) >= 1 << 19 or k == len(docs) - 1:
+            each, starts = _looked_up(keys, lp, np.concatenate(wanted)), np.cumsum([0, *map(len, wanted[:-1])])
+            yield from np.add.reduceat(each, starts).tolist()
+            wanted = []
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk, sorted: its tokens, its pairs, its documents -> (doc_id, held_out, n_tokens, n_known, log_counts, score)."""
+    chunk = None
+    for batch in batches:
+        out: list[tuple] = []
+        for at, kind, ids, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "ids", "n")), batch.column("payload")):
+            if at != chunk:
+                chunk, words, numbers, known, keys, lps = at, [], [], [], [], []
+            if kind == WORDS:
+                some, places, counts = _items(payload.as_py())
+                words += _unpack(some).split(b" ")
+                numbers.append(_unpacked(places))
+                known.append(np.frombuffer(_unpack(counts), "<i8"))
+            elif kind == PAIRS:
+                some, lp = _items(payload.as_py())
+                keys.append(_unpacked(some))
+                lps.append(_from_planes(lp, "<f4"))
+            else:
+                order = np.argsort(np.concatenate(numbers))
+                words, c = [words[i] for i in order], np.concatenate(known)[order]
+                docs = np.split(_from_planes(payload.as_py()), np.cumsum(sizes)[:-1])
+                scores = _document_scores(docs, words, np.concatenate(keys), np.concatenate(lps))
+                logs = np.log10(c + 1.0)
+                for doc_id, n, tokens, score in zip(ids, sizes, docs, scores):
+                    out.append((doc_id, held_out(doc_id), n, int((c[tokens] > 0).sum()), float(logs[tokens].sum()), score))
+                words, numbers, known, keys, lps = [], [], [], [], []
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+
+
+def _splitters(thin: DataFrame, n_parts: int, n_rows: int) -> np.ndarray:
     """Three-byte contexts that deal the distinct pairs of the texts into even parts, from a few of them."""
-    size = thin.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    n_parts = 1 + (size.bytes or 0) // PART_BYTES
     if n_parts == 1:
         return np.zeros(0, np.int64)
-    one_in = max(1, size.n // SAMPLE_ROWS)
-    texts = thin.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.substring("text", 1, 10_000).alias("text")).limit(2 * SAMPLE_ROWS).collect()
-    keys = [_document_keys([*(r.text or "").encode().lower().split(), END]) for r in texts]
+    one_in = max(1, n_rows // SAMPLE_ROWS)
+    texts = thin.where(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(one_in)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_ROWS).collect()
+    keys = [_document_keys(_tokens(r.text)) for r in texts]
     if not keys:
         return np.zeros(0, np.int64)
-    of_three = np.unique(np.concatenate(keys)) >> 24
+    of_three = _three(np.unique(np.concatenate(keys)))
     return np.unique(of_three[np.arange(1, n_parts) * len(of_three) // n_parts])
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
+def escape_estimates(tries: np.ndarray, escapes: np.ndarray) -> np.ndarray:
+    """Probability of an escape in each class of contexts; one half without any try."""
+    return np.clip((0.5 + escapes) / (1.0 + tries), 1e-9, 0.999)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``.
 
     Tokens are the words of the text with A-Z lower-cased, then one end. Texts whose
-    ``held_out`` is false are learnt from. base_score is the add-one unigram score, score
-    the model's log10 probability, to which the order of the words counts. A null text is empty: one token. A null id counts as
-    an empty string for the split. A repeated row is learnt from again and scored
-    alike. Training texts of the ``MAX_CLASSES`` largest classes have models of their
-    own, the others, with null, share one; without ``class_col`` all do. Without training
-    texts every byte is uniform. An empty table gives an empty result; columns that
-    are not named are not read.
+    ``held_out`` is false are learnt from; the others change nothing. base_score is the
+    add-one unigram score, score the model's log10 probability, to which the order of the
+    words counts. A null text is empty: one token. A null id counts as an empty string
+    for the split. A repeated row is learnt from again and scored alike. Without training
+    texts every byte is uniform. An empty table gives an empty result; columns that are
+    not named are not read. A document is held whole by one task, and so is a chunk.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
-    kind = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), kind.alias("class"))
-    sizes = thin.where("class IS NOT NULL").groupBy("class").count().orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()
-    classes = [r["class"] for r in sizes]
-    width = len(classes) + 1
-    rows = scratch.keep(thin.mapInArrow(_tokenized(classes, _splitters(thin)), PASS))
-    tokens = rows.where("kind = 0").select("chunk", "at", "word", "n")
-    counts = tokens.groupBy("word").agg(F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(width)]).alias("c"))
-    # A part is held in a task's memory: as many parts as the tokens of all chunks need.
-    n_parts = min(1 + tokens.count() // PART_TOKENS, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    vocabulary = counts.repartitionByRange(n_parts, "word").withColumn("part", F.spark_partition_id())
-    vocabulary = scratch.keep(vocabulary)
-    size = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
-    known = vocabulary.select(size.alias("n")).where("n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, kinds = known.n or 0, known.v
-    trained = vocabulary.where(F.col("word") == F.lit(END)).select("c").first()
-    texts_of = np.array(trained.c if trained else [0] * width, float)
-    shares = texts_of / texts_of.sum() if texts_of.sum() else np.full(width, 1 / width)
-
-    parts = vocabulary.groupBy("part")
-    stats = parts.applyInArrow(_statistics, "what int, class int, key long, prefix binary, n long").groupBy("what", "class", "key", "prefix").agg(F.sum("n").alias("n")).toPandas()
-    lowers, escapes = [], []
-    for k in range(width):
-        pairs, tries, new = (stats[(stats["what"] == what) & (stats["class"] == k)] for what in range(3))
-        lowers.append((pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
-        n, m = np.full(CLASSES, 1.0), np.full(CLASSES, 0.5)
-        n[tries["key"]] += tries["n"]
-        m[new["key"]] += new["n"]
-        escapes.append(np.clip(m / n, 1e-9, 0.999))
-    opened: dict[bytes, dict[int, list[int]]] = {}
-    for r in stats[stats["what"] == 3].itertuples(index=False):
-        opened.setdefault(bytes(r.prefix), {}).setdefault(r.key, [0] * width)[r[1]] = r.n
-    model = spark.sparkContext.broadcast((lowers, escapes, opened))
-    scored = parts.applyInArrow(_word_scores(model), "word binary, c long, lp array<float>")
-
-    sent = rows.where("kind = 2").select("chunk", F.col("at").alias("part"), "payload").groupBy("part")
-    counted = sent.applyInArrow(_pair_statistics, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).toPandas()
-    pairs, tries, new = (counted[counted["what"] == what] for what in range(3))
-    n, m = np.full(CLASSES, 1.0), np.full(CLASSES, 0.5)
-    n[tries["key"]] += tries["n"]
-    m[new["key"]] += new["n"]
-    shared = spark.sparkContext.broadcast((pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), np.clip(m / n, 1e-9, 0.999)))
-    after = sent.applyInArrow(_pair_scores(shared), "chunk long, at int, payload binary")
-
-    back = tokens.drop("n").join(scored, "word").select(
-        "chunk", F.lit(0).alias("kind"), "at", "word", F.col("c").alias("n"), "lp", F.lit(None).cast("long").alias("doc_id"),
-        F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("payload"),
-    )
-    none = F.lit(None)
-    texts = rows.where("kind = 1").select("chunk", F.lit(2).alias("kind"), "at", "word", none.cast("long").alias("n"), none.cast("array<float>").alias("lp"), "doc_id", "held", "n_tokens", "payload")
-    after = after.withColumn("kind", F.lit(1))
-    dealt = back.unionByName(after, allowMissingColumns=True).unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.mapInArrow(_document_scores(total, kinds, shares), result)
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = thin.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_parts = 1 + (size.bytes or 0) // PART_BYTES
+    rows = scratch.keep(thin.mapInArrow(_chunks(_splitters(thin, n_parts, size.n), n_parts), ROWS))
+    sent = rows.where(F.col("kind") != DOCS).select("kind", "part", "chunk", "payload")
+    by_part = sent.repartition("kind", "part").sortWithinPartitions("kind", "part")
+    said = scratch.keep(by_part.mapInArrow(_parts, "what int, kind int, part int, key long, n long, payload binary"))
+
+    lows = said.where(F.col("what") == LOW)
+    low = scratch.keep(lows.groupBy("key").agg(F.sum("n").alias("n")))
+    one = np.zeros((256, 256))
+    for r in low.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).where("n > 0").collect():
+        one[r.key >> 8, r.key & 255] = r.n
+    classes = np.zeros((2, CLASSES))
+    for r in said.where(F.col("what").isin(TRIES, ESCAPES)).groupBy("what", "key").agg(F.sum("n").alias("n")).collect():
+        classes[r.what - TRIES, r.key] = r.n
+    kinds = said.where(F.col("what") == KINDS).agg(F.sum("n")).first()[0] or 0
+
+    # The two-byte contexts that end a part's pairs, with all that follows them anywhere.
+    ends = lows.select("part", F.shiftright("key", 8).alias("q")).distinct()
+    of_part = ends.join(low.withColumn("q", F.shiftright("key", 8)), "q").select(F.lit(PAIRS).alias("kind"), "part", F.lit(0).alias("step"), "key", "n")
+    merged = said.where(F.col("what") == MERGED).select("kind", "part", F.lit(1).alias("step"), "payload")
+    asked = of_part.unionByName(merged, allowMissingColumns=True).unionByName(sent.withColumn("step", F.lit(2)), allowMissingColumns=True)
+    asked = asked.repartition("kind", "part").sortWithinPartitions("kind", "part", "step")
+    answers = asked.mapInArrow(_answers(one, escape_estimates(*classes)), "chunk long, kind int, part int, payload binary")
+
+    texts = rows.where(F.col("kind") == DOCS)
+    back = answers.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    scored = back.mapInArrow(_scored, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
+    total = rows.where(F.col("kind") == DOCS).select(F.explode(F.arrays_zip("ids", "n")).alias("d"))
+    held = F.pmod(F.crc32(F.coalesce(F.col("d.ids").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    total = total.where(~held).agg(F.sum("d.n")).first()[0] or 0
+    base = F.col("log_counts") - F.col("n_tokens") * float(np.log10(total + kinds + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

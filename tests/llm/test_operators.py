@@ -359,121 +359,76 @@ def test_ppm_contract(docs, rows, empty):
     assert ppm.score_documents(empty).count() == 0
 
 
-def brute_ppm(counts, part):
-    """The model of one class token by token, from plain dictionaries."""
-    seen, two = defaultdict(Counter), defaultdict(Counter)
-    for w, c in counts.items():
-        for i, s in enumerate(w if w == ppm.END else w + b" "):
-            seen[w[:i]][s] += c
-            prev = b" " + w[:i]
-            two[prev[-2:] if i else b"  "][s] += c
-    one, zero = defaultdict(Counter), Counter()
-    for q, after in two.items():
-        one[q[-1:]].update(after)
-        zero.update(after)
-    tries, new = part.escapes(0)
-    escape = np.clip((0.5 + new) / (1.0 + tries), 1e-9, 0.999)
-
-    def log_p(w):
-        total = 0.0
-        for i, s in enumerate(w if w == ppm.END else w + b" "):
-            p, excluded = 1.0, set()
-            trie = seen.get(w[:i], Counter()) if i < ppm.DEPTH else Counter()
-            if trie:
-                e = escape[ppm._class(np.array([sum(trie.values())]), np.array([len(trie)]), i)[0]]
-                if s in trie:
-                    total += math.log((1 - e) * trie[s] / sum(trie.values()))
-                    continue
-                p, excluded = e, set(trie)
-            prev = b" " + w[:i]
-            for context in (two.get(prev[-2:] if i else b"  "), one.get(prev[-1:]), zero):
-                left = {x: c for x, c in (context or {}).items() if x not in excluded}
-                if left:
-                    if s in left:
-                        p *= (left[s] - 0.5) / sum(left.values())
-                        break
-                    p *= 0.5 * len(left) / sum(left.values())
-                    excluded |= set(left)
-            else:
-                p /= 256 - len(zero)
-            total += math.log(p)
-        return total
-
-    return log_p
-
-
-def test_ppm_model_is_exact_across_parts():
-    """Scores of words in parts with shared prefixes equal those of a plain model of the whole."""
-    rng = random.Random(8)
-    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))).encode() for _ in range(300)} | {b"x" * 90, ppm.END})
-    counts = {w: rng.choice([0, 0, 1, 1, 2, 9]) for w in words}
-    counts[ppm.END] = 20
-    whole = ppm.Part(words, np.array([[counts[w]] for w in words]))
-    keys, n = whole.pair_counts(0)
-    lower = ppm.Lower(keys, n)
-    tries, new = whole.escapes(0)
-    escape = np.clip((0.5 + new) / (1.0 + tries), 1e-9, 0.999)
-    plain = brute_ppm({w: c for w, c in counts.items() if c}, whole)
-    want = [plain(w) for w in words]
-    for cuts in ([0, len(words)], [0, 1, 40, 41, 100, 200, len(words)]):
-        parts = [ppm.Part(words[a:b], np.array([[counts[w]] for w in words[a:b]])) for a, b in zip(cuts, cuts[1:])]
-        opened = defaultdict(dict)
-        for p in parts:
-            for prefix, s, c in p.open_counts():
-                opened[prefix][s] = [opened[prefix].get(s, [0])[0] + c[0]]
-        got = np.concatenate([p.log_p(0, lower, escape, opened) for p in parts])
-        assert np.allclose(got, want)
-
-
-def brute_contexts(texts, escape):
-    """Log10 probability of each token of a text after the bytes before it, from plain dictionaries."""
-    coded = lambda text: ppm.END * ppm.ORDER + b"".join(w + b" " for w in text) + ppm.END
-    seen = defaultdict(Counter)
-    for text in texts:
-        data = coded(text)
-        for i in range(ppm.ORDER, len(data)):
+class PlainPpm:
+    """The contexts of a few texts in plain dictionaries, byte by byte."""
+
+    def __init__(self, texts):
+        self.seen = defaultdict(Counter)
+        for text in texts:
+            self.count(self.coded(text), 1)
+        self.escape = np.full(ppm.CLASSES, 0.5)
+
+    @staticmethod
+    def coded(words):
+        return ppm.END * ppm.ORDER + b"".join(w + b" " for w in words) + ppm.END
+
+    def count(self, data, n, places=None):
+        for i in places or range(ppm.ORDER, len(data)):
             for k in range(ppm.ORDER + 1):
-                seen[data[i - k : i]][data[i]] += 1
+                self.seen[data[i - k : i]][data[i]] += n
 
-    def byte(data, i):
-        p, excluded = 1.0, set()
+    def levels(self, data, i):
+        """(order, class of the escape, what is not excluded, whether the byte is in it), longest first, until it is."""
+        excluded = set()
         for k in range(ppm.ORDER, -1, -1):
             context = data[i - k : i]
-            left = {s: c for s, c in seen.get(context, {}).items() if s not in excluded}
-            if not left:
-                continue
-            n, d, hit = sum(left.values()), len(left), left.get(data[i], 0)
-            if k > 2:
+            left = {s: c for s, c in self.seen.get(context, {}).items() if c and s not in excluded}
+            if left:
+                n, d = sum(left.values()), len(left)
                 within = len(context) - 1 - max(context.rfind(b" "), context.rfind(ppm.END))
-                e = escape[ppm._class(np.array([n]), np.array([d]), 0)[0] + within + {5: 0, 4: 6, 3: 11}[k]]
-                hit, e = (1 - e) * hit / n, e
-            else:
-                hit, e = (hit and hit - 0.5) / n, 0.5 * d / n
+                at = ppm._class(np.array([n]), np.array([d]), 0)[0] + within + {5: 0, 4: 6, 3: 11}.get(k, 0)
+                yield k, at, left, data[i] in left
+                if data[i] in left:
+                    return
+                excluded |= set(left)
+
+    def log_p(self, data, i):
+        p = 1.0
+        for k, at, left, hit in self.levels(data, i):
+            n, d = sum(left.values()), len(left)
+            e = self.escape[at] if k > 2 else 0.5 * d / n
+            p *= ((1 - e) * left[data[i]] if k > 2 else left[data[i]] - 0.5) / n if hit else e
             if hit:
-                return p * hit
-            p, excluded = p * e, excluded | set(left)
-        return p / (256 - len(seen[b""]))
-
-    def tokens(text):
-        data, at, out = coded(text), ppm.ORDER, []
-        for w in [*text, b""]:
-            out.append(sum(math.log10(byte(data, i)) for i in range(at, at + len(w) + 1)))
-            at += len(w) + 1
-        return out
-
-    return tokens
+                return math.log10(p)
+        return math.log10(p / (256 - sum(1 for c in self.seen[b""].values() if c)))
+
+    def estimate(self, texts):
+        """Escapes of each class, each byte of the texts taken out, coded and put back."""
+        tries, escapes = np.zeros(ppm.CLASSES), np.zeros(ppm.CLASSES)
+        for data in map(self.coded, texts):
+            for i in range(ppm.ORDER, len(data)):
+                self.count(data, -1, [i])
+                for k, at, _, hit in self.levels(data, i):
+                    if k > 2:
+                        tries[at] += 1
+                        escapes[at] += not hit
+                self.count(data, 1, [i])
+        self.escape = np.clip((0.5 + escapes) / (1.0 + tries), 1e-9, 0.999)
+        return tries, escapes
 
 
 def test_ppm_contexts_are_exact_across_parts():
-    """Contexts run over token borders, and scores from parts equal those of a plain model of the whole."""
+    """Contexts run over token borders, and scores and escapes from parts equal those of a plain model of the whole."""
     rng = random.Random(6)
     vocab = [b"ab", b"abcab", b"c", b"bca", "é".encode(), b"abcabcabcabc"]
     texts = [[rng.choice(vocab) for _ in range(rng.randint(0, 9))] for _ in range(40)]
     new = [[rng.choice([*vocab, b"zz", b"cab"]) for _ in range(6)] for _ in range(10)]
     each = [ppm._document_keys([*t, ppm.END]) for t in texts]
     keys = np.unique(np.concatenate([*each, *(ppm._document_keys([*t, ppm.END]) for t in new)]))
-    assert np.array_equal(ppm._unpacked(ppm._packed(keys)), keys)
+    assert np.array_equal(ppm._unpacked(ppm._packed(keys)), keys) and len(ppm._unpacked(ppm._packed(keys[:0]))) == 0
     counts = (np.concatenate(each)[:, None] == keys).sum(axis=0)
+    plain = PlainPpm(texts)
+    want = plain.estimate(texts)
     borders = np.unique(keys >> 24)
     for splitters in ([], borders[[1, 5, 6, 20]]):
         cuts = [0, *np.searchsorted(keys, np.array(splitters, np.int64) << 24), len(keys)]
@@ -482,18 +437,48 @@ def test_ppm_contexts_are_exact_across_parts():
         for p in parts:
             for q, n in zip(*p.pair_counts()):
                 two[int(q)] += n
-        two = {q: n for q, n in two.items() if n}
-        lower = ppm.Lower(np.array([*two]), np.array([*two.values()]))
-        tries, escaped = np.sum([p.escapes() for p in parts], axis=0)
-        assert (escaped <= tries).all() and escaped.sum() > 0
-        escape = np.clip((0.5 + escaped) / (1.0 + tries), 1e-9, 0.999)
-        lp = np.concatenate([p.log_p(lower, escape) for p in parts]) / np.log(10)
-        plain = brute_contexts(texts, escape)
+        one = np.zeros((256, 256))
+        for q, n in two.items():
+            one[q >> 8 & 255, q & 255] += n
+        estimated = np.sum([p.escapes() for p in parts], axis=0)
+        assert np.array_equal(estimated, want) and estimated[1].sum() > 0
+        lp = []
+        for p in parts:
+            mine = {q: n for q, n in two.items() if n and q >> 8 in set(p.q.tolist())}
+            lower = ppm.Lower(np.array([*mine], np.int64), np.array([*mine.values()]), one)
+            lp.append(p.log_p(lower, ppm.escape_estimates(*estimated)) / np.log(10))
         for text in texts + new:
             coded = [*text, ppm.END]
             numbers = {w: k for k, w in enumerate(dict.fromkeys(coded))}
-            twice = ppm._occurrences([np.array([numbers[w] for w in coded])] * 2, [*numbers], keys, lp)
-            assert all(np.allclose(got, plain(text)) for got in twice)
+            twice = ppm._document_scores([np.array([numbers[w] for w in coded])] * 2, [*numbers], keys, np.concatenate(lp))
+            data = plain.coded(text)
+            assert np.allclose([*twice], sum(plain.log_p(data, i) for i in range(ppm.ORDER, len(data))))
+
+
+def test_ppm_scores_equal_a_plain_model(spark, monkeypatch):
+    """Whole documents through all jobs, with many chunks and parts; held-out texts change nothing."""
+    rng = random.Random(12)
+    vocab = ["stone", "River", "cloud", "été", "house", "a", "an", "and", "日本"]
+    rows = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 25)))) for k in range(70)] + [(None, None), (70, " \n\t"), (3, "stone stone")]
+    tokens = [[w.encode() for w in WORDS.findall(ascii_lower(t))] for _, t in rows]
+    learnt = [t for (k, _), t in zip(rows, tokens) if not ppm.held_out(k)]
+    plain = PlainPpm(learnt)
+    plain.estimate(learnt)
+    want = Counter()
+    for (k, _), t in zip(rows, tokens):
+        data = plain.coded(t)
+        want[k, round(sum(plain.log_p(data, i) for i in range(ppm.ORDER, len(data))), 3)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, round(r.score, 3)) for r in ppm.score_documents(df).collect()) == want
+    monkeypatch.setattr(ppm, "PART_BYTES", 600)
+    for size in (300, 1 << 23):
+        monkeypatch.setattr(ppm, "CHUNK_BYTES", size)
+        got = ppm.score_documents(df.repartition(3)).collect()
+        assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want
+    other = [(k, f"{t} never seen zzz" if ppm.held_out(k) else t) for k, t in rows]
+    again = ppm.score_documents(spark.createDataFrame(other, "doc_id long, text string")).collect()
+    learnt_only = lambda out: Counter((r.doc_id, round(r.score, 3), r.train_tokens) for r in out if not r.held_out)
+    assert learnt_only(again) == learnt_only(got) and any(r.held_out for r in got)
 
 
 def test_ppm_scores_word_order(spark):
@@ -511,7 +496,7 @@ def test_ppm_scores_word_order(spark):
         rows += [(a, " ".join(words)), (b, " ".join(mixed))]
         pairs.append((a, b))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in ppm.score_documents(df, class_col=None).collect()}
+    got = {r.doc_id: r for r in ppm.score_documents(df).collect()}
     for a, b in pairs:
         assert math.isclose(got[a].base_score, got[b].base_score) and got[a].score > got[b].score + 5
 
