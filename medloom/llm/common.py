@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,12 +19,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, it is a temporary folder of this process.
+    Where that is unset, a session on one machine gets a temporary folder. On a cluster
+    that is an error: executors would not see what others wrote.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (root or _own_root()).rstrip("/")
 
 
 @cache
@@ -29,6 +35,29 @@ def _own_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="medloom-")
 
 
+#: Name of the struct that holds a user's columns, and bytes of an Arrow batch of whole texts.
+USER, BATCH_BYTES = "user", 8 << 20
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """``df`` as one struct column ``USER``, so that none of its names meets one of ours, and columns of ours."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(USER), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: Column | str) -> DataFrame:
+    """The user's columns out of ``USER``, then others."""
+    return df.select(*[mine(c).alias(c) for c in columns], *more)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def mine(name: str) -> Column:
+    """A column of the user inside ``USER``."""
+    return F.col(f"{USER}.{quoted(name)}")
+
+
 class Scratch:
     """Intermediate tables of one operator call in the shared folder.
 
@@ -36,13 +65,15 @@ class Scratch:
     the lineage is cut, and a lost executor costs a read, not a recomputation.
     """
 
-    #: Folders of all calls that are not released yet.
-    folders: list[str] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        Scratch.folders.append(self.path)
+        for made in _listening:
+            made.append(self.path)
+        # Arrow batches end at so many rows; long texts need a bound in bytes as well.
+        bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(spark.conf.get(bound, None) or 1 << 31) > BATCH_BYTES:
+            spark.conf.set(bound, str(BATCH_BYTES))
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -61,13 +92,27 @@ class Scratch:
         release(self.spark, [path])
 
 
+#: Lists that get the folder of each call, see ``scratch_folders``.
+_listening: list[list[str]] = []
+
+
+@contextmanager
+def scratch_folders() -> Iterator[list[str]]:
+    """The folders of all operator calls inside the ``with`` block, for ``release`` once their result is written."""
+    made: list[str] = []
+    _listening.append(made)
+    try:
+        yield made
+    finally:
+        # By identity: two lists can be equal.
+        _listening[:] = [x for x in _listening if x is not made]
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders of intermediate tables, once nothing reads them any more."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in Scratch.folders:
-            Scratch.folders.remove(path)
 
 
 def worker_cache(owner: str) -> dict:
@@ -114,3 +159,23 @@ def ranked(scratch: Scratch, df: DataFrame, *order: Column | str, within: str |
         on = F.col("_part") == F.col("_p")
     out = dealt.join(F.broadcast(starts.withColumnRenamed("_part", "_p")), on)
     return out.withColumn(name, F.col("_start") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_p", "_within", "_start", "_first")
+
+
+#: A key is hot if it has more than this share of the rows of all keys, so that at most its inverse is broadcast.
+HOT_SHARE = 1e-4
+
+
+def with_known(rows: DataFrame, known: DataFrame, on: list[str], count: str, spread: Column) -> DataFrame:
+    """``rows`` with ``known``: whether ``known``, a kept table with one row for each key, has their key.
+
+    ``count`` tells how many rows a key of ``known`` has, about. Keys that are hot by it are few,
+    and are broadcast; rows that they take are dealt out by the long ``spread`` in the join of
+    the other keys, so no task gets all rows of a key.
+    """
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > HOT_SHARE * total
+    first = rows.join(F.broadcast(known.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
+    first = first.withColumn("_key", F.when(F.col("_hot"), spread).otherwise(F.col(on[0])))
+    rest = known.where(~hot).select(F.col(on[0]).alias("_key"), *on[1:], F.lit(True).alias("_cold"))
+    out = first.join(rest, ["_key", *on[1:]], "left")
+    return out.select(*rows.columns, F.coalesce("_hot", "_cold", F.lit(False)).alias("known"))

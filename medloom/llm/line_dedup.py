@@ -6,24 +6,26 @@ to be frequent already, and adds what is left as a run of its own. When a level
 ``fanout`` runs they are merged into one run of the next level. All runs have the
 same buckets, so a batch meets them without moving them.
 
-A line is identified by two 64-bit hashes of its key. DataFrame functions only.
+Documents are dealt into batches by a hash of their id, whatever files they come in. A
+line is identified by two 64-bit hashes of its key. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Scratch, lower_ascii
+from .common import SPACE_CHARS, USER, Scratch, lower_ascii, mine, packed, unpacked, with_known
 
-#: Copies of each frequent hash in the join that finds its lines. A frequent line is in
-#: at least ``min_docs`` documents, so these copies are no more rows than the lines.
-SALT = 8
-#: Runs of a level that are merged into one of the next.
-FANOUT = 3
+#: Batches that a table is dealt into; runs of a level that are merged into one of the next.
+BATCHES, FANOUT = 12, 3
+#: Rows of all runs for each bucket.
+BUCKET_ROWS = 1_500_000
 HASH = ["h1", "h2"]
+RESULT = ["n_lines", "n_dropped", "kept_text"]
 
 
 def line_keys(lines: Column) -> Column:
@@ -42,16 +44,17 @@ def _hashes(key: Column) -> Column:
 class LineRuns:
     """Runs of (h1, h2, n): in how many documents a line hash was found."""
 
-    def __init__(self, scratch: Scratch, saturation: int, fanout: int = FANOUT):
-        self.scratch, self.saturation, self.fanout = scratch, saturation, fanout
+    def __init__(self, scratch: Scratch, saturation: int, buckets: int, fanout: int = FANOUT):
+        self.scratch, self.saturation, self.fanout, self.buckets = scratch, saturation, fanout, buckets
         self.spark = scratch.spark
-        # A run is smaller than the texts it comes from: fewer and larger files than shuffle partitions.
-        self.buckets = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
         self.levels: list[list[str]] = []
+        #: Runs that batches have added, and levels of the merges so far.
+        self.added, self.merges = 0, []
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
-        run = run.repartition(self.buckets, *HASH).coalesce(self.buckets)
+        # One file for each bucket, also where Spark was told to deal rows out wider.
+        run = run.coalesce(self.buckets)
         run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{self.scratch.path}/{name}").saveAsTable(name)
         return name
 
@@ -65,14 +68,20 @@ class LineRuns:
         can leave the exchange out and the hash in several rows.
         """
         files = self.spark.read.schema("h1 long, h2 long, n long").parquet(*[f"{self.scratch.path}/{name}" for name in names])
-        return files.groupBy(*HASH).agg(F.sum("n").alias("n"))
+        return files.repartition(self.buckets, *HASH).groupBy(*HASH).agg(F.sum("n").alias("n"))
 
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch: one row (h1, h2) for each distinct line of each of its documents."""
-        run = lines.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"))
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """The rows (h1, h2, n) of ``batch`` whose hash no run has as frequent: a merge join with each run."""
+        batch = batch.repartition(self.buckets, *HASH)
         for name in self._runs():
-            run = run.join(self.spark.table(name).where(F.col("n") >= self.saturation), HASH, "left_anti")
-        name, level = self._write(run), 0
+            known = self.spark.table(name).where(F.col("n") >= self.saturation).select(*HASH)
+            batch = batch.join(known.hint("merge"), HASH, "left_anti")
+        return batch
+
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch (h1, h2, n): its distinct lines and the number of its documents that have them."""
+        name, level = self._write(self.unknown(batch)), 0
+        self.added += 1
         while True:
             if len(self.levels) <= level:
                 self.levels.append([])
@@ -84,14 +93,15 @@ class LineRuns:
             self.levels[level] = []
             self._forget(old)
             level += 1
+            self.merges.append(level)
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) found in at least ``saturation`` documents of all batches."""
-        return self._merged(self._runs()).where(F.col("n") >= self.saturation).select(*HASH)
+        """(h1, h2, n) found in at least ``saturation`` documents of all batches; n counts no more once a run has that many."""
+        return self._merged(self._runs()).where(F.col("n") >= self.saturation)
 
     def _forget(self, names: list[str]) -> None:
         for name in names:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self.scratch.delete(f"{self.scratch.path}/{name}")
 
     def close(self) -> None:
@@ -99,51 +109,60 @@ class LineRuns:
         self.levels = []
 
 
-def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """The files of a Parquet-backed table dealt into up to ``n`` batches; other tables are one batch."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    spark, out = docs.sparkSession, []
-    for k in range(min(n, len(files))):
-        out.append(spark.read.schema(docs.schema).parquet(*files[k :: min(n, len(files))]))
-    return out
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: list[DataFrame] | None = None, fanout: int = FANOUT) -> DataFrame:
+def frequent_lines(scratch: Scratch, batches: list[DataFrame], text_col: str, min_docs: int, fanout: int = FANOUT) -> DataFrame:
+    """(h1, h2, n) of the lines of at least ``min_docs`` rows, as a kept table. ``batches``: tables with a column ``_batch``, dealt by it."""
+    keys = F.array_distinct(F.filter(line_keys(_lines(mine(text_col))), lambda k: k != ""))
+    lines = reduce(DataFrame.union, [b.select("_batch", F.explode(F.transform(keys, _hashes)).alias("h")) for b in batches])
+    lines = lines.select("_batch", "h.h1", "h.h2").groupBy("_batch", *HASH).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{scratch.path}/batches"
+    # In few files: the rows of all batches lie together by their hash.
+    lines.repartition(4, *HASH).coalesce(4).write.partitionBy("_batch").parquet(path)
+    dealt = scratch.spark.read.schema("h1 long, h2 long, n long, _batch int").parquet(path)
+    sizes = {r["_batch"]: r["count"] for r in dealt.groupBy("_batch").count().collect()}
+    most = int(scratch.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    runs = LineRuns(scratch, min_docs, min(most, max(4, -(-sum(sizes.values()) // BUCKET_ROWS))), fanout)
+    try:
+        for k in sorted(sizes):
+            runs.add(dealt.where(F.col("_batch") == k).select(*HASH, "n"))
+        if not sizes:
+            return scratch.keep(dealt.select(*HASH, "n"))
+        return scratch.keep(runs.frequent())
+    finally:
+        runs.close()
+        scratch.delete(path)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: list[DataFrame] | int | None = None, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with its columns and n_lines, n_dropped, kept_text.
 
     Lines (split at ``\\n``; a null or empty text is one empty line) whose key has a
-    character and is found in at least ``min_docs`` rows of all ``batches`` (together
-    the rows of ``docs``; default: one) lose all their occurrences in every document.
-    The other lines stay in their order, joined by ``\\n``. Each row counts as a
-    document, so a repeated row counts again. An empty table gives an empty result.
+    character and is found in at least ``min_docs`` rows of all batches lose all their
+    occurrences in every document. The other lines stay in their order, joined by ``\\n``.
+    ``batches`` is their number (``BATCHES``), or the tables that together are ``docs``. Each row
+    counts as a document, so a repeated row counts again. Columns of ``docs`` may have any
+    name; those named like the three results are replaced. An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    runs = LineRuns(scratch, min_docs, fanout)
-    for batch in batches or [docs]:
-        keys = F.array_distinct(F.filter(line_keys(_lines(F.col(text_col))), lambda k: k != ""))
-        runs.add(batch.select(F.explode(F.transform(keys, _hashes)).alias("h")).select("h.h1", "h.h2"))
-    frequent = scratch.keep(runs.frequent())
-    runs.close()
-
-    # Which lines of which row go. A row is known by a hash of its id and text: two
-    # rows under one hash would share only positions of the same text.
-    row = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
+    if not isinstance(batches, list):
+        turns = [packed(docs, F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches or BATCHES)).cast("int").alias("_batch"))]
+    else:
+        turns = [packed(b, F.lit(k).alias("_batch")) for k, b in enumerate(batches)]
+    frequent = frequent_lines(scratch, turns, text_col, min_docs, fanout)
+
+    # Which lines of which row go. A row is known by 128 bits of hash of its id and text:
+    # rows under one hash are copies, of which the same positions go.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit(7), F.col(id_col), text).alias("r2"))
     # The row's hash is made before the lines are dealt out, not once more for each of them.
-    at = docs.select(row.alias("_row"), F.transform(line_keys(_lines(F.col(text_col))), _hashes).alias("_h"))
-    at = at.select("_row", F.posexplode("_h").alias("_pos", "_h"))
-    at = at.select("_row", "_pos", "_h.h1", "_h.h2", F.pmod("_row", F.lit(SALT)).alias("_salt"))
-    salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    gone = at.join(salted, [*HASH, "_salt"], "left_semi").groupBy("_row").agg(F.collect_set("_pos").alias("_gone"))
-    gone = scratch.keep(gone)
-
-    out = docs.withColumn("_key", row).join(gone.withColumnRenamed("_row", "_key").hint("merge"), "_key", "left")
-    lines = _lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return (
-        out.withColumn("_lines", lines)
-        .withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "kept_text": kept})
-        .select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")], "n_lines", "n_dropped", "kept_text")
-    )
+    at = docs.select(row.alias("row"), F.transform(line_keys(_lines(F.col(text_col))), _hashes).alias("h")).select("row", F.posexplode("h").alias("pos", "h"))
+    at = with_known(at.select("row.r1", "row.r2", "pos", "h.h1", "h.h2"), frequent, HASH, "n", F.col("r1"))
+    gone = scratch.keep(at.where("known").groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")))
+
+    out = packed(docs, row.alias("row")).select(USER, "row.r1", "row.r2").join(gone.hint("merge"), ["r1", "r2"], "left")
+    out = out.withColumn("lines", _lines(mine(text_col)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce(mine(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    results = [F.size("lines").cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long"), kept]
+    return unpacked(out, [c for c in docs.columns if c.lower() not in RESULT], *[x.alias(name) for x, name in zip(results, RESULT)])
+

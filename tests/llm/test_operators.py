@@ -198,7 +198,7 @@ def test_quality_rules(docs, rows, empty):
     assert any(not r.kept and not r.base_failed for r in got) and quality_rules.quality_rules(empty).count() == 0
 
 
-def test_line_dedup(spark, docs, rows, empty, tmp_path):
+def test_line_dedup(spark, docs, rows, empty):
     counts = Counter()
     key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
     for r in rows:
@@ -213,9 +213,30 @@ def test_line_dedup(spark, docs, rows, empty, tmp_path):
         assert set(docs.columns) < set(out.columns)
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out.collect()) == want
     assert any(k[2] for k in want) and line_dedup.dedup_lines(empty).count() == 0
-    docs.repartition(5).write.parquet(f"{tmp_path}/d")
-    files = line_dedup.batches_of(spark.read.parquet(f"{tmp_path}/d"), 3)
-    assert len(files) == 3 and sum(b.count() for b in files) == len(rows)
+
+
+def test_line_runs_of_the_query(spark, monkeypatch):
+    """The registered query on a table of one file: twelve batches, two levels of merges, merge joins with the runs, no table left."""
+    made, plans = [], []
+
+    class Watched(line_dedup.LineRuns):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def unknown(self, batch):
+            out = super().unknown(batch)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Watched)
+    assert catalog.QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001").count() > 0
+    assert made[0].added == line_dedup.BATCHES == 12 and made[0].merges == [1, 1, 1, 2, 1]
+    joined = [p.count("SortMergeJoin") for p in plans]
+    assert joined == [0, 1, 2, 1, 2, 3, 2, 3, 4, 1, 2, 3] and not any("BroadcastHashJoin" in p for p in plans)
+    # The runs lie in their buckets: only the batch itself is dealt out.
+    assert all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 def test_sharding(docs, rows, empty, spark):
