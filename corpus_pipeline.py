@@ -12,23 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medloom.llm import bpe, exact_dedup, language_id, mixing, simhash
-from medloom.llm.common import Scratch, release
+from medloom.llm.common import Scratch, release, scratch_folders
 
 
-#: Folders of the intermediate tables of the stage before.
-_used: list[str] = []
+#: Folders of intermediate tables by session.
+_left: dict[int, list[str]] = {}
 
 
 def _stage(work):
-    """A stage that starts by deleting what the stage before left: its result is written by then."""
+    """A stage that begins by deleting what the stage before it left for the same session: its result is written by then."""
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _used)
-        _used.clear()
-        before = list(Scratch.folders)
-        out = work(spark, docs, sf_dir)
-        _used.extend(path for path in Scratch.folders if path not in before)
+        release(spark, _left.pop(id(spark), []))
+        with scratch_folders() as made:
+            out = work(spark, docs, sf_dir)
+        _left[id(spark)] = made
         return out
 
     return run_stage
