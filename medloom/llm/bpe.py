@@ -3,12 +3,15 @@
 A token sequence is the BPE encoding of its bytes if and only if each of its tokens
 and each pair of neighbours encode to themselves. So every prefix of a piece has one
 last token: the one that ends there, starts at a prefix whose own last token it may
-follow, and is its own encoding. A state of the transducer is the set of starts from
-which a token may still be under way, each with the tokens since the last one
-emitted. A transition reads a byte, finds the last token of the longer prefix, drops
-starts that no token can reach from, and emits the tokens that all live starts have
-in common. That happens after bounded lookahead, the longest token, and state and
-transition are made when they are first met.
+follow, and is its own encoding.
+
+The nondeterministic transducer starts a token at every byte, follows the bytes of all
+tokens and may end one. A state of the determinised one is the set of starts from
+which a token may still be under way, that is, the longest suffix read that begins a
+token. It knows the tokens that end there; a window of last tokens, one for each live
+start, says which of them may follow. States and transitions are made when they are
+first met, at most one for each token prefix. Whatever all live starts have in common
+is emitted, after a lookahead of at most the longest token unless they keep apart.
 
 Decoding streams: tokens go through an incremental UTF-8 state machine that carries
 at most three bytes from one token to the next.
@@ -26,12 +29,10 @@ from pyspark.sql import types as T
 
 from .common import worker_cache
 
-#: States and distinct pieces that a Python worker remembers. Beyond, no states are made, and pieces are learnt anew.
-MAX_STATES, MAX_PIECES = 90_000, 160_000
-#: Up to this many possible tokens a start is known by the set of them, not by the token before it.
-SMALL_SET = 16
-#: Longest piece in bytes that may be walked.
-WALKED = 64
+#: Pairs of tokens and distinct pieces that a Python worker remembers; beyond, they are worked out anew.
+MAX_PAIRS, MAX_PIECES = 200_000, 200_000
+#: Bytes of a piece after which the window is looked through for tokens to emit.
+WINDOW = 1024
 #: Documents in one Arrow batch of results.
 OUT_ROWS = 1000
 
@@ -46,36 +47,29 @@ _NEVER = 1 << 60
 
 
 class _State:
-    """Live starts, earliest first: (bytes read since the start, tokens up to it that are not emitted,
-
-    and if there are none: the last token and None, or None and the set of the tokens that may be under way).
-    """
+    """The bytes of the earliest token under way, (size, token, what it may follow) of the tokens that end here, longest first, and the transitions met."""
 
-    __slots__ = ("starts", "window", "next")
+    __slots__ = ("under_way", "ends", "next")
 
-    def __init__(self, starts: tuple, window: bytes):
-        self.starts, self.window = starts, window
-        self.next: dict[int, tuple[_State, tuple[int, ...]] | bool] = {}
+    def __init__(self, under_way: bytes, ends: tuple[tuple[int, int, dict[int, bool]], ...]):
+        self.under_way, self.ends = under_way, ends
+        self.next: dict[int, _State] = {}
 
 
 class Transducer:
     """Encodes one piece at a time; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_pairs: int = MAX_PAIRS):
+        self.ranks, self.max_pairs = ranks, max_pairs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        #: Prefix -> the tokens that are longer.
-        self.longer: dict[bytes, list[int]] = {}
-        for token, rank in ranks.items():
-            for n in range(len(token)):
-                self.longer.setdefault(token[:n], []).append(rank)
-        self.opens: dict[tuple, tuple | None] = {}
+        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
         self.whole: dict[int, bool] = {}
-        self.follows: dict[tuple[int | None, int], bool] = {}
-        self.longest = max(map(len, ranks), default=0)
+        #: Token -> last token, or -1 at the start of a piece -> whether it may follow; and how many pairs there are.
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.edges: dict[tuple[int, int], list | None] = {}
-        self.start = _State(((0, (), (None, None)),), b"")
-        self.states = {(self.start.starts, b""): self.start}
+        self.start = _State(b"", ())
+        self.states = {b"": self.start}
 
     def _merged(self, data: bytes) -> list[int]:
         """The merges one by one, for single tokens and pairs."""
@@ -128,118 +122,91 @@ class Transducer:
             else:
                 j += 1
 
-    def _may_follow(self, last: int | None, token: int) -> bool:
-        if last is None:
-            if token not in self.whole:
-                self.whole[token] = self._merged(self.bytes_of[token]) == [token]
-            return self.whole[token]
-        return self._may_follow(None, token) and not self._merges_across(last, token)
-
-    def _open(self, last: int | None, under_way: bytes) -> tuple | None:
-        """The guard of a start: None and the set of the tokens beyond ``under_way`` that may follow ``last``,
-
-        or ``last`` and None where those tokens are many; None if no token may.
-        """
-        key = (last, under_way)
-        if key not in self.opens:
-            longer = self.longer.get(under_way, ())
-            if len(longer) > SMALL_SET:
-                self.opens[key] = (last, None)
-            else:
-                some = frozenset(t for t in longer if self._may_follow(last, t))
-                self.opens[key] = (None, some) if some else None
-        return self.opens[key]
-
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        window = state.window + bytes((byte,))
-        size, path, live = len(window), None, []
-        for back, tokens, guard in state.starts:
-            under_way = window[size - back - 1 :]
-            if path is None:
-                token = self.ranks.get(under_way)
-                if token is not None and (self._may_follow(tokens[-1] if tokens else guard[0], token) if tokens or guard[1] is None else token in guard[1]):
-                    path = (*tokens, token)
-            if under_way in self.longer and (tokens or guard[1] is None or any(t in guard[1] for t in self.longer[under_way])):
-                last = tokens[-1] if tokens else guard[0]
-                again = guard if not tokens and guard[1] is not None else self._open(last, under_way)
-                if again is not None:
-                    if again is guard:
-                        again = None, guard[1].intersection(self.longer[under_way])
-                    live.append((back + 1, tokens, again))
-        live.append((0, path, (path[-1], None)))
-        # Emit what all live starts have in common.
-        common, first = 0, live[0][1]
-        while all(len(p) > common and p[common] == first[common] for _, p, _ in live):
-            common += 1
-        starts = tuple((back, p[common:], None if len(p) > common else guard) for back, p, guard in live)
-        key = (starts, window[size - starts[0][0] :])
-        after = self.states.get(key)
+    def _whole(self, token: int) -> bool:
+        """Whether a token is its own encoding."""
+        if token not in self.whole:
+            self.whole[token] = self._merged(self.bytes_of[token]) == [token]
+        return self.whole[token]
+
+    def _learn(self, last: int, token: int) -> bool:
+        """Whether the token may follow the one before it."""
+        if self.n_pairs >= self.max_pairs:
+            for known in self.follows.values():
+                known.clear()
+            self.edges.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        fits = self.follows[token][last] = last < 0 or not self._merges_across(last, token)
+        return fits
+
+    def _step(self, state: _State, byte: int) -> _State:
+        """The state after one more byte, made if it is new."""
+        under_way = state.under_way + bytes((byte,))
+        while under_way not in self.prefixes:
+            under_way = under_way[1:]
+            if not under_way:
+                raise ValueError(f"no token has the byte {byte}")
+        after = self.states.get(under_way)
         if after is None:
-            after = _State(*key)
-            if len(self.states) < self.max_states:
-                self.states[key] = after
-            elif self.opens:
-                self.opens.clear()
-        step = (after, first[:common])
-        if len(self.states) < self.max_states:
-            state.next[byte] = step
-        return step
-
-    def _walk(self, data: bytes) -> list[int]:
-        """Tokens of a piece by the transducer before it is determinised: the last token of each prefix, then back."""
-        ranks, follows, longest = self.ranks, self.follows, self.longest
-        if len(follows) > 2 * self.max_states:
-            follows.clear()
-        last: list[int | None] = [None]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None:
-                    pair = (last[start], token)
-                    fits = follows.get(pair)
-                    if fits is None:
-                        fits = follows[pair] = self._may_follow(*pair)
-                    if fits:
-                        last.append(token)
-                        break
-        out, end = [], len(data)
+            found = ((len(under_way) - k, self.ranks.get(under_way[k:])) for k in range(len(under_way)))
+            ends = tuple((size, token, self.follows.setdefault(token, {})) for size, token in found if token is not None and self._whole(token))
+            after = self.states[under_way] = _State(under_way, ends)
+        state.next[byte] = after
+        return after
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """Tokens from the window's start to ``end``."""
+        out = []
         while end:
-            out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
+            token = last[end]
+            out.append(token)
+            end -= len(self.bytes_of[token])
         return out[::-1]
 
-    def encode(self, data: bytes) -> list[int]:
-        """Tokens of one piece. A piece that is a token is that token.
+    def _settled(self, last: list[int], live: int) -> int:
+        """The last place in the window at which a token ends whatever of the ``live`` last places comes to be used."""
+        shared: set[int] | None = None
+        for end in range(len(last) - 1, len(last) - 2 - live, -1):
+            places = {end}
+            while end:
+                end -= len(self.bytes_of[last[end]])
+                places.add(end)
+            shared = places if shared is None else shared & places
+        return max(shared or {0})
 
-        A transition is made when it is needed for the second time, as long as there is
-        room for states; a short piece that finds none is walked without it.
-        """
+    def encode(self, data: bytes) -> list[int]:
+        """Tokens of one piece. A piece that is a token is that token."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        state, out = self.start, []
+        # The window: for each place the last token of what is before it; -1 at the start of the piece.
+        state, last, out = self.start, [-1], []
         for byte in data:
-            step = state.next.get(byte)
-            if not step:
-                if len(data) <= WALKED and (step is None or len(self.states) >= self.max_states):
-                    state.next[byte] = False
-                    return self._walk(data)
-                step = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += state.starts[-1][1]
-        return out
+            state = state.next.get(byte) or self._step(state, byte)
+            here = len(last)
+            for size, token, known in state.ends:
+                before = last[here - size]
+                fits = known.get(before)
+                if fits is None:
+                    fits = self._learn(before, token)
+                if fits:
+                    last.append(token)
+                    break
+            if here % WINDOW == 0:
+                place = self._settled(last, len(state.under_way))
+                out += self._back(last, place)
+                last = last[place:]
+        return out + self._back(last, len(last) - 1)
 
 
 class Encoder:
     """Splits texts by a pattern and encodes each piece on its own; remembers pieces it has met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pairs: int = MAX_PAIRS, max_pieces: int = MAX_PIECES):
         import regex
 
-        self.pieces = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks, max_states)
+        self.pieces = regex.compile(pattern).finditer
+        self.transducer = Transducer(ranks, max_pairs)
         # Pieces met lately, and those met before them: what is met again moves up, the rest is forgotten.
         self.known: dict[str, array] = {}
         self.older: dict[str, array] = {}
@@ -247,7 +214,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> array:
         out, known = array("i"), self.known
-        for piece in self.pieces(text or ""):
+        for match in self.pieces(text or ""):
+            piece = match.group()
             ids = known.get(piece)
             if ids is None:
                 ids = self.older.get(piece)

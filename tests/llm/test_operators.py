@@ -328,14 +328,24 @@ def test_transducer(ranks):
     rng = random.Random(4)
     alphabet = list("abcdefghij  tingousxyz\n\t12.,éß中ñÁ🤦‍♂️'") + ["the", "ing", "tion", "<|endoftext|>"]
     samples = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    samples += ["a" * 3000, "ab" * 700, " " * 300, "\n" * 90, "th" * 2000, "", "x" * 65 + "tion" * 30]
-    for states in (90_000, 50):
-        mine, back = bpe.Encoder(table, ranks[1], max_states=states, max_pieces=40), bpe.Decoder(table)
+    samples += ["a" * 3000, "ab" * 700, " " * 300, "\n" * 90, "th" * 2000, "", "x" * 65 + "tion" * 30, "".join(rng.choice("etaoinshr") for _ in range(5000))]
+    for pairs in (200_000, 50):
+        mine, back = bpe.Encoder(table, ranks[1], max_pairs=pairs, max_pieces=40), bpe.Decoder(table)
         for s in samples + samples[:500]:
             ids = list(mine.encode(s))
             assert ids == theirs.encode_ordinary(s)
             assert "".join(back.decode(ids)) == s
-        assert len(mine.transducer.states) <= states
+        assert mine.transducer.n_pairs <= pairs and len(mine.transducer.states) <= 1 + len(mine.transducer.prefixes)
+
+
+def test_transducer_emits_before_the_end(ranks):
+    """In a long piece, what all live starts share is settled and leaves the window."""
+    machine = bpe.Transducer(bpe.read_ranks(ranks[0]))
+    rng, places = random.Random(7), []
+    settled = machine._settled
+    machine._settled = lambda last, live: places.append((len(last), settled(last, live))) or places[-1][1]
+    machine.encode("".join(rng.choice("etaoinshr") for _ in range(20_000)).encode())
+    assert len(places) >= 19 and all(n <= bpe.WINDOW + 64 and p > n - 64 for n, p in places)
 
 
 def test_utf8_machine():
