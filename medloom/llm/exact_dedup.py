@@ -17,10 +17,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, Scratch, worker_cache
+from .common import USER, Scratch, quoted, unpacked, worker_cache
 
 #: Bytes that the first split looks at, and how much wider each next block is.
 FIRST_BLOCK, WIDENING = 32, 8
@@ -29,13 +30,13 @@ LOCAL = "row long, doc_id long, rep long, text_sha256 string, norm binary, rep_r
 
 
 def _local_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies inside each batch: the first of them represents the others and carries the normalised text."""
+    """Copies inside each batch: the first of them represents the others and carries the normalised text. Columns after id and text go along."""
     from pyspark import TaskContext
 
     worker_cache("exact_dedup")
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         first: dict[bytes, int] = {}
         rep, sha, norms, best, rows = [], [], [], {}, {}
         for i, text in enumerate(texts):
@@ -60,8 +61,9 @@ def _local_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array([-k[0] for k in keys], pa.int64()),
                 pa.array([ids[k[3]] for k in keys], pa.int64()),
                 pa.array([row + k[3] for k in keys], pa.int64()),
+                *batch.columns[2:],
             ],
-            names=[c.split()[0] for c in LOCAL.split(", ")],
+            names=[*(c.split()[0] for c in LOCAL.split(", ")), *batch.schema.names[2:]],
         )
         row += len(ids)
 
@@ -94,6 +96,24 @@ def _groups(scratch: Scratch, reps: DataFrame, first: int, widening: int) -> Dat
     return out
 
 
+def _kept_rows(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, first_block: int, widening: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``LOCAL`` and ``more``; rep, best_row, group_id, group_row, size of the representatives that have a copy)."""
+    rows = scratch.keep(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *more).mapInArrow(_local_groups, _schema(docs, *more)))
+    reps = rows.where("row = rep")
+    groups = _groups(scratch, reps.select("rep", "norm"), first_block, widening)
+
+    # min() of this struct is the keeper: null ids last, ties to the first row.
+    key = F.struct(-F.col("best_points"), F.col("best_id").isNull(), F.col("best_id"), F.col("best_row").alias("row"))
+    members = groups.join(reps.select("rep", "rep_rows", "best_row", key.alias("key")), "rep")
+    best = members.groupBy("group").agg(F.min("key").alias("key"), F.sum("rep_rows").alias("size"))
+    of_rep = members.select("rep", "group", "best_row").join(best, "group")
+    return rows, scratch.keep(of_rep.select("rep", "best_row", F.col("key.best_id").alias("group_id"), F.col("key.row").alias("group_row"), "size"))
+
+
+def _schema(docs: DataFrame, *more: Column) -> T.StructType:
+    return T.StructType([*T._parse_datatype_string(LOCAL).fields, *docs.select(*more).schema.fields])
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_block: int = FIRST_BLOCK, widening: int = WIDENING) -> DataFrame:
     """Each row of ``docs`` with the copy of it that stays.
 
@@ -104,43 +124,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is an empty one, and empty texts are equal. An empty table gives an empty result.
     Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(thin.mapInArrow(_local_groups, LOCAL))
-    reps = rows.where("row = rep")
-    groups = _groups(scratch, reps.select("rep", "norm"), first_block, widening)
-
-    # min() of this struct is the keeper: null ids last, ties to the first row.
-    key = F.struct(-F.col("best_points"), F.col("best_id").isNull(), F.col("best_id"), F.col("best_row").alias("row"))
-    members = groups.join(reps.select("rep", "rep_rows", key.alias("key")), "rep")
-    best = members.groupBy("group").agg(F.min("key").alias("key"), F.sum("rep_rows").alias("size"))
-    of_rep = scratch.keep(groups.join(best, "group").select("rep", F.col("key.best_id").alias("group_id"), F.col("key.row").alias("group_row"), "size"))
+    rows, of_rep = _kept_rows(Scratch(docs.sparkSession, "exact"), docs, id_col, text_col, first_block, widening)
     alone = F.col("size").isNull()
     return (
-        rows.select("row", "doc_id", "rep", "text_sha256", "rep_rows", "best_id", "best_row")
-        .join(of_rep, "rep", "left")
+        rows.select("row", "doc_id", "rep", "text_sha256", "rep_rows", "best_id", F.col("best_row").alias("best"))
+        .join(of_rep.drop("best_row"), "rep", "left")
         .select(
             "doc_id",
             F.when(alone, F.col("best_id")).otherwise(F.col("group_id")).alias("keep_id"),
             F.coalesce("size", "rep_rows").alias("group_size"),
-            (F.col("row") == F.coalesce("group_row", "best_row")).alias("kept"),
+            (F.col("row") == F.coalesce("group_row", "best")).alias("kept"),
             "text_sha256",
         )
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``exact_groups``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_block: int = FIRST_BLOCK, widening: int = WIDENING) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; see ``exact_groups``.
 
-    A row is found again by its doc_id and normalised text; of rows that repeat both,
-    one stays.
+    Rows are told apart by their numbers in the scan, so one stays of rows that repeat each other.
     """
-    # Keys without nulls, so that the join and the window share one exchange.
-    key = {"_id": F.coalesce(F.col("_from").cast("long"), F.lit(0)), "_none": F.col("_from").isNull()}
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_from"), F.col("text_sha256").alias("_hex"))
-    norm = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_CHARS, "")
-    marked = docs.withColumns({"_from": F.col(id_col), "_hex": F.sha2(norm, 256)}).withColumns(key)
-    found = marked.join(kept.withColumns(key), ["_id", "_none", "_hex"], "left_semi")
-    longest = Window.partitionBy("_id", "_none", "_hex").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    return found.withColumn("_n", F.row_number().over(longest)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    user = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(USER)
+    rows, of_rep = _kept_rows(Scratch(docs.sparkSession, "exact"), docs, id_col, text_col, first_block, widening, user)
+    # Only the best row of each batch's copies can stay, and few of those go: their numbers alone are joined.
+    gone = of_rep.where("best_row <> group_row").select(F.col("best_row").alias("row"))
+    return unpacked(rows.where("row = best_row").select("row", USER).join(gone, "row", "left_anti"), docs.columns)

@@ -4,11 +4,12 @@
 
 The text likelihood is naive Bayes over whole words, word endings and, in scripts without
 spaces and long words, pairs of characters, tempered so that no text counts for more than
-``EFFECTIVE`` independent features. Each language has its own share of the sample and of
-the features, so that a large one does not displace a small one. The reliability of
-the declared language and the host priors are grouped aggregates over all rows: a
-host's counts are smoothed towards those of its address suffix, and these towards
-those of the corpus. A row's own vote is taken out of its prior.
+``EFFECTIVE`` independent features. Each language has its own share of the sample, so that
+a large one does not displace a small one. The reliability of the declared language is
+measured on rows that the classifier was not fitted on, and it and the host priors are
+grouped aggregates over all of them: a host's counts are smoothed towards those of its
+address suffix, and these towards those of the corpus. A row's own vote is taken out of
+its prior.
 """
 
 from __future__ import annotations
@@ -18,21 +19,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, worker_cache
+from .common import USER, Scratch, quoted, spread_join, unpacked, worker_cache
 
-#: The classifier is fitted on about this many rows with a declared language ...
+#: The classifier is fitted on about this many distinct texts with a declared language ...
 SAMPLE_ROWS = 20_000
-#: ... and keeps this many features and languages: bounds of what is collected and broadcast.
-MAX_FEATURES, MAX_LANGUAGES = 40_000, 64
+#: ... and keeps the features that it finds this often in a language. A language is a declared
+#: name of more than this share of the rows that declare one: so many names at most.
+MIN_COUNT, MIN_SHARE = 3, 1e-5
 #: Features that a text counts for at most; pseudo-counts of the smoothing levels.
 EFFECTIVE, ADD, HOST_STRENGTH, SUFFIX_STRENGTH = 60.0, 0.5, 20.0, 20.0
-#: A host table of up to this many rows is broadcast, a larger one is joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+#: Rows, and right ones among them, that the declared language begins with.
+TRUST_ROWS, TRUST_RIGHT = 10.0, 9.0
 MIN_CONFIDENCE = 0.5
+#: Rows in one Arrow batch of results.
+OUT_ROWS = 1000
 
 
 def features(text: str | None) -> Counter:
@@ -64,31 +69,51 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, scratch: Scratch | None = None) -> tuple[list[str], dict[str, np.ndarray]]:
-    """(languages, feature -> log-likelihood of each language), on a hashed sample of the labelled rows of each language.
+class Model:
+    """Languages, and for each feature its log-likelihood in each of them."""
 
-    The languages are those of most labelled rows. Each has an equal share of ``sample_rows``,
-    of which it fills what it has, and of ``max_features``. Names differ by more than case.
+    def __init__(self, languages: list[str], features: list[str], logs: np.ndarray):
+        self.languages, self.logs = languages, logs
+        self.at = {f: k for k, f in enumerate(features)}
+
+    def log_likelihoods(self, counts: Counter) -> tuple[np.ndarray, int]:
+        """(log-likelihood of each language, 0 at most; occurrences of known features)."""
+        found = [(self.at[f], n) for f, n in counts.items() if f in self.at]
+        if not found:
+            return np.zeros(len(self.languages)), 0
+        rows, times = zip(*found)
+        ll = np.array(times, float) @ self.logs[list(rows)] * min(1.0, EFFECTIVE / sum(times))
+        return ll - ll.max(), sum(times)
+
+
+def _drawn(one_in: dict[str, int], lang: Column, text: Column) -> Column:
+    """Whether a row is in the sample that the classifier is fitted on."""
+    if not one_in:
+        return F.lit(False)
+    rate = F.create_map(*[F.lit(x) for pair in one_in.items() for x in pair])[lang]
+    return F.coalesce(F.pmod(F.xxhash64(lang, text), rate) == 0, F.lit(False))
+
+
+def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT, scratch: Scratch | None = None) -> tuple[Model, dict[str, int]]:
+    """(model, language -> one in how many of its rows is drawn), on a hashed sample of the labelled rows of each language.
+
+    Each language has an equal share of ``sample_rows``, of which it fills what it has. A
+    text that rows repeat is drawn once. Names differ by more than case.
     """
-    labelled = rows.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).alias("text")).where("lang != ''")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return [], {}
-    langs = sorted(r.lang for r in sizes)
-    at = {lang: k for k, lang in enumerate(langs)}
+    labelled = rows.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang != ''")
+    sizes = (scratch or Scratch(rows.sparkSession, "langid")).keep(labelled.groupBy("lang").count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    found = {r["lang"]: r["count"] for r in sizes.where(F.col("count") > MIN_SHARE * total).collect()}
+    langs = sorted(found)
+    if not langs:
+        return Model([], [], np.zeros((0, 0))), {}
     quota = max(1, sample_rows // len(langs))
-    one_in = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], -(-r["count"] // quota))])[F.col("lang")]
-    sample = labelled.where(F.col("lang").isin(langs)).where(F.pmod(F.xxhash64("lang", "text"), one_in) == 0)
-    counts = sample.mapInArrow(_counted, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
-    counts = (scratch or Scratch(rows.sparkSession, "langid")).keep(counts)
-    share = max(1, max_features // len(langs))
-    best: set[str] = set()
-    for lang in langs:
-        best.update(r.feature for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "feature").limit(share).select("feature").collect())
-    kept = rows.sparkSession.createDataFrame([(f,) for f in sorted(best)], "feature string")
-    by_feature = counts.join(F.broadcast(kept), "feature").groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("per"))
-    top = by_feature.collect()
-    table = np.zeros((len(top), len(langs)))
+    one_in = {lang: -(-found[lang] // quota) for lang in langs}
+    sample = labelled.where(_drawn(one_in, F.col("lang"), F.col("text"))).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    counts = sample.select("lang", "text").mapInArrow(_counted, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    per = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("per"), F.max("n").alias("most")).where(F.col("most") >= min_count)
+    top = sorted(per.select("feature", "per").collect(), key=lambda r: r.feature)
+    table, at = np.zeros((len(top), len(langs))), {lang: k for k, lang in enumerate(langs)}
     for i, r in enumerate(top):
         for lang, n in r.per.items():
             table[i, at[lang]] += n
@@ -96,28 +121,28 @@ def fit(rows: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE
     sums = table.sum(axis=0)
     table += ADD * np.maximum(sums, 1) / max(1, sums.max(initial=0))
     logs = np.log(table / table.sum(axis=0)) if len(top) else table
-    return langs, {r.feature: logs[i] for i, r in enumerate(top)}
+    return Model(langs, [r.feature for r in top], logs), one_in
+
 
+def _scored(model, n_langs: int, text_col: str | None) -> Callable:
+    """Adds ll, n_known and has_words to batches of (user, text, ..); the text is that of ``user`` if ``text_col`` names it."""
 
-def _scored(model, n_langs: int, text_col: str, drop_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("language_id")
-        logs = model.value
-        for batch in batches:
-            lls, known, words = np.zeros((batch.num_rows, n_langs)), [], []
-            for i, text in enumerate(batch.column(text_col)):
-                each = features(text.as_py())
-                found = [(logs[f], n) for f, n in each.items() if f in logs]
-                total = sum(n for _, n in found)
-                if found:
-                    rows, counts = np.array([r for r, _ in found]), np.array([n for _, n in found], float)
-                    ll = counts @ rows * min(1.0, EFFECTIVE / total)
-                    lls[i] = ll - ll.max()
-                known.append(total)
-                words.append(bool(each))
-            lists = pa.ListArray.from_arrays(pa.array(range(0, n_langs * batch.num_rows + 1, n_langs), pa.int32()) if n_langs else pa.array([0] * (batch.num_rows + 1), pa.int32()), pa.array(lls.ravel()))
-            names = [n for n in batch.schema.names if not (drop_text and n == text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists, pa.array(known, pa.int64()), pa.array(words, pa.bool_())], names=[*names, "_ll", "_known", "_words"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(start, OUT_ROWS)
+                texts = pc.struct_field(batch.column(USER), text_col) if text_col else batch.column("text")
+                lls, known, words = np.zeros((batch.num_rows, n_langs)), [], []
+                for i, text in enumerate(texts):
+                    each = features(text.as_py())
+                    lls[i], n = model.value.log_likelihoods(each)
+                    known.append(n)
+                    words.append(bool(each))
+                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * n_langs
+                names = [n for n in batch.schema.names if n != "text"]
+                found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(lls.ravel())), pa.array(known, pa.int64()), pa.array(words, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], names=[*names, "ll", "n_known", "has_words"])
 
     return run
 
@@ -127,89 +152,93 @@ def _best(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)) - 1
 
 
-def identify(
-    docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None,
-    carry: list[str] = ("doc_id",), sample_rows: int = SAMPLE_ROWS, min_confidence: float = MIN_CONFIDENCE,
-) -> DataFrame:
-    """A row for each row of ``docs``: the columns ``carry``, then language, confidence, known_features, accepted.
+def _suffix(host: Column) -> Column:
+    """The last part of a host name; null for a name without a dot."""
+    return F.when(host.contains("."), F.substring_index(host, ".", -1))
 
-    Rejected are texts without any word (null, empty, digits), those without any known
-    feature whose declared language and host say nothing either, and those whose best
-    language has under ``min_confidence``. A null
-    declared language, host or suffix is no evidence of that kind. Without any
-    labelled row every text is rejected, with a null language. Ties go to the first
-    language in code-point order; a repeated row counts again in the priors.
-    """
+
+def _identified(
+    docs: DataFrame, text_col: str, declared_col: str, host_col: str, suffix_col: str | None, carry: list[str], sample_rows: int, min_confidence: float, min_count: int
+) -> DataFrame:
+    """(user, language, confidence, known_features, accepted); ``user`` has the columns ``carry``."""
     scratch = Scratch(docs.sparkSession, "langid")
-    langs, model = fit(docs, text_col, declared_col, sample_rows, scratch=scratch)
-    k = len(langs)
-    drop_text = text_col not in carry
-    needed = list(dict.fromkeys([*carry, text_col]))
+    model, one_in = fit(docs, text_col, declared_col, sample_rows, min_count, scratch)
+    langs, k = model.languages, len(model.languages)
+    declared, host, text = F.lower(F.col(declared_col).cast("string")), F.col(host_col).cast("string"), F.col(text_col).cast("string")
+    suffix = F.col(suffix_col).cast("string") if suffix_col else _suffix(host)
+    inside = text_col in carry and dict(docs.dtypes)[text_col] == "string"
     evidence = docs.select(
-        *[F.col(f"`{c}`") for c in needed],
-        F.lower(F.col(declared_col).cast("string")).alias("_declared"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"),
-        (F.coalesce(F.col(suffix_col).cast("string"), F.lit("")) if suffix_col else F.lit("")).alias("_suffix"),
-    )
-    fields = [f for f in evidence.schema.fields if not (drop_text and f.name == text_col)]
-    schema = T.StructType([*fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_known", T.LongType()), T.StructField("_words", T.BooleanType())])
+        F.struct(*[F.col(quoted(c)) for c in carry]).alias(USER), *([] if inside else [text.alias("text")]), declared.alias("declared"),
+        F.when(host != "", host).alias("host"), F.when(suffix != "", suffix).alias("suffix"), _drawn(one_in, declared, text).alias("drawn"),
+    )
+    schema = T.StructType([f for f in evidence.schema.fields if f.name != "text"])
+    schema = schema.add("ll", T.ArrayType(T.DoubleType())).add("n_known", T.LongType()).add("has_words", T.BooleanType())
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = scratch.keep(evidence.mapInArrow(_scored(shipped, k, text_col, drop_text), schema))
+    rows = scratch.keep(evidence.mapInArrow(_scored(shipped, k, text_col if inside else None), schema))
+    shipped.destroy()
     if not k:
-        return rows.select(*[F.col(f"`{c}`") for c in carry], F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.col("_known").alias("known_features"), F.lit(False).alias("accepted"))
+        return rows.select(USER, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.col("n_known").alias("known_features"), F.lit(False).alias("accepted"))
 
     names = F.array(*[F.lit(x) for x in langs])
-    said = F.array_position(names, F.coalesce("_declared", F.lit(""))) - 1
-    text_best = F.when(F.col("_known") > 0, _best(F.col("_ll")))
-    marked = rows.withColumns({"_said": F.when(said >= 0, said), "_text": text_best})
-    # How often the declared language is that of the text.
-    both = marked.where("_said IS NOT NULL AND _text IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_said") == F.col("_text")).cast("long")).alias("same")).first()
-    trust = ((both.same or 0) + 9.0) / (both.n + 10.0)
+    said = F.array_position(names, F.coalesce("declared", F.lit(""))) - 1
+    rows = rows.withColumns({"said": F.when(said >= 0, said), "text_best": F.when(F.col("n_known") > 0, _best(F.col("ll")))})
+    # How often the declared language is that of the text, where the text was not learnt from.
+    both = rows.where("NOT drawn AND said IS NOT NULL AND text_best IS NOT NULL")
+    both = both.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("said") == F.col("text_best")).cast("long")).alias("same")).first()
+    trust = ((both.same or 0) + TRUST_RIGHT) / (both.n + TRUST_ROWS)
     other = (1 - trust) / max(1, k - 1)
-    declared_log = lambda i: F.when(F.col("_said").isNull(), F.lit(0.0)).when(F.col("_said") == i, F.log(F.lit(trust))).otherwise(F.log(F.lit(max(other, 1e-9))))
-    with_declared = F.transform(F.col("_ll"), lambda x, i: x + declared_log(i))
-    marked = marked.withColumn("_two", with_declared)
-    voted = F.when((F.col("_known") > 0) | F.col("_said").isNotNull(), _best(F.col("_two")))
-    marked = marked.withColumn("_vote", voted)
+    declared_log = lambda i: F.when(F.col("said").isNull(), F.lit(0.0)).when(F.col("said") == i, F.log(F.lit(trust))).otherwise(F.log(F.lit(max(other, 1e-9))))
+    rows = rows.withColumn("two", F.transform("ll", lambda x, i: x + declared_log(i)))
+    rows = rows.withColumn("vote", F.when((F.col("n_known") > 0) | F.col("said").isNotNull(), _best(F.col("two"))))
 
     # Host within suffix within corpus: counts of the votes.
-    votes = [F.sum((F.col("_vote") == i).cast("double")) for i in range(k)]
-    hosts = marked.where("_vote IS NOT NULL").groupBy("_host", "_suffix").agg(F.array(*votes).alias("_h"))
-    hosts = scratch.keep(hosts)
-    total = lambda column, by: hosts.groupBy(*by).agg(F.array(*[F.sum(F.get(F.col("_h"), F.lit(i))) for i in range(k)]).alias(column))
-    suffixes = total("_s", ["_suffix"])
-    corpus = total("_c", []).first()._c
-    corpus_n = [(c or 0.0) for c in corpus] if corpus else [0.0] * k
-    n_all = sum(corpus_n)
-    prior = F.array(*[F.lit((c + 1) / (n_all + k)) for c in corpus_n])
-    levels = hosts.join(suffixes, "_suffix").select(F.col("_host").alias("_h2"), F.col("_suffix").alias("_s2"), "_h", "_s")
-    n_hosts = hosts.count()
-    levels = F.broadcast(levels) if n_hosts <= BROADCAST_HOSTS else levels
-    fused = marked.join(levels, (F.col("_host") == F.col("_h2")) & (F.col("_suffix") == F.col("_s2")), "left")
+    votes = [F.sum((F.col("vote") == i).cast("double")) for i in range(k)]
+    counted = scratch.keep(rows.where("vote IS NOT NULL").groupBy("host", "suffix").agg(F.array(*votes).alias("h"), F.count(F.lit(1)).alias("n")))
+    total = lambda by, name: counted.groupBy(*by).agg(F.array(*[F.sum(F.get(F.col("h"), F.lit(i))) for i in range(k)]).alias(name), F.sum("n").alias("n"))
+    corpus = total([], "c").first()
+    of_corpus = corpus.c if corpus.n else [0.0] * k
+    prior = F.array(*[F.lit((c + 1) / (sum(of_corpus) + k)) for c in of_corpus])
+    suffixes = scratch.keep(total(["suffix"], "s").where("suffix IS NOT NULL"))
+    hosts = scratch.keep(counted.where("host IS NOT NULL").select("host", F.coalesce("suffix", F.lit("")).alias("at"), "h", "n"))
+    rows = rows.withColumns({"spread": F.monotonically_increasing_id(), "at": F.coalesce("suffix", F.lit(""))})
+    fused = spread_join(rows, suffixes, ["suffix"], "n", F.col("spread")).withColumn("s", F.col("found.s")).drop("found")
+    fused = spread_join(fused, hosts, ["host", "at"], "n", F.col("spread")).withColumn("h", F.col("found.h")).drop("found")
 
     def share(counts: str, up: Column, strength: float) -> Column:
         """Counts without the row's own vote, smoothed towards the level above."""
-        mine = lambda x, i: F.coalesce(x, F.lit(0.0)) - F.coalesce((F.col("_vote") == i).cast("double"), F.lit(0.0))
-        known = F.coalesce(F.col(counts), F.array(*[F.lit(0.0)] * k))
-        size = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) - F.when(F.col("_vote").isNull() | F.col(counts).isNull(), 0.0).otherwise(1.0)
-        out = F.zip_with(F.transform(known, mine), up, lambda x, p: F.greatest(x, F.lit(0.0)) + strength * p)
-        return F.transform(out, lambda x: x / (size + strength))
-
-    fused = fused.withColumn("_of_suffix", share("_s", prior, SUFFIX_STRENGTH))
-    fused = fused.withColumn("_of_host", share("_h", F.col("_of_suffix"), HOST_STRENGTH))
-    fused = fused.withColumn("_post", F.zip_with("_two", "_of_host", lambda a, p: a + F.log(F.greatest(p, F.lit(1e-12)))))
-    fused = fused.withColumn("_top", F.array_max("_post"))
-    odds = F.aggregate(F.transform("_post", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    confidence = 1 / odds
-    said_or_hosted = F.col("_said").isNotNull() | ((F.col("_host") != "") & F.col("_h").isNotNull())
-    evident = (F.col("_known") > 0) | (F.col("_words") & said_or_hosted)
+        others = lambda x, i: x - F.coalesce((F.col("vote") == i).cast("double"), F.lit(0.0))
+        size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) - F.col("vote").isNotNull().cast("double")
+        out = F.zip_with(F.transform(counts, others), up, lambda x, p: (x + strength * p) / (size + strength))
+        return F.when(F.col(counts).isNull(), up).otherwise(out)
+
+    fused = fused.withColumn("of_suffix", share("s", prior, SUFFIX_STRENGTH))
+    fused = fused.withColumn("of_host", share("h", F.col("of_suffix"), HOST_STRENGTH))
+    fused = fused.withColumn("post", F.zip_with("two", "of_host", lambda a, p: a + F.log(F.greatest(p, F.lit(1e-12)))))
+    fused = fused.withColumn("top", F.array_max("post"))
+    confidence = 1 / F.aggregate(F.transform("post", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    evident = (F.col("n_known") > 0) | (F.col("has_words") & (F.col("said").isNotNull() | F.col("h").isNotNull()))
     return fused.select(
-        *[F.col(f"`{c}`") for c in carry],
-        F.get(names, _best(F.col("_post")).cast("int")).alias("language"),
-        confidence.alias("confidence"),
-        F.col("_known").alias("known_features"),
-        (evident & (confidence >= min_confidence)).alias("accepted"),
-    )
+        USER, F.get(names, _best(F.col("post")).cast("int")).alias("language"), confidence.alias("confidence"),
+        F.col("n_known").alias("known_features"), (evident & (confidence >= min_confidence)).alias("accepted"),
+    )
+
+
+def identify(
+    docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None,
+    carry: list[str] = ("doc_id",), sample_rows: int = SAMPLE_ROWS, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT,
+) -> DataFrame:
+    """A row for each row of ``docs``: the columns ``carry``, then language, confidence, known_features, accepted.
+
+    Rejected are texts without any word (null, empty, digits), those without any known
+    feature whose declared language and host say nothing either, and those whose best
+    language has under ``min_confidence``. A null or empty declared language, host or
+    suffix is no evidence of that kind; without ``suffix_col`` the suffix is that of the
+    host, if it has a dot. Without any labelled row every text is rejected, with a null
+    language. Ties go to the first language in code-point order; a repeated row counts
+    again in the priors. An empty table gives an empty result.
+    """
+    found = _identified(docs, text_col, declared_col, host_col, suffix_col, list(carry), sample_rows, min_confidence, min_count)
+    return unpacked(found, list(carry), "language", "confidence", "known_features", "accepted")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -230,6 +259,6 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` whose text is accepted, with all their columns."""
-    found = identify(docs, text_col, declared_col, host_col, None, list(docs.columns))
-    return found.where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose text is accepted (see ``identify``), with all their columns, whatever their names."""
+    found = _identified(docs, text_col, declared_col, host_col, None, list(docs.columns), SAMPLE_ROWS, MIN_CONFIDENCE, MIN_COUNT)
+    return unpacked(found.where("accepted"), docs.columns)

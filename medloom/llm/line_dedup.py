@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, USER, Scratch, lower_ascii, mine, packed, unpacked, with_known
+from .common import SPACE_CHARS, USER, Scratch, lower_ascii, mine, packed, spread_join, unpacked
 
 #: Batches that a table is dealt into; runs of a level that are merged into one of the next.
 BATCHES, FANOUT = 12, 3
@@ -156,8 +156,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.struct(F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit(7), F.col(id_col), text).alias("r2"))
     # The row's hash is made before the lines are dealt out, not once more for each of them.
     at = docs.select(row.alias("row"), F.transform(line_keys(_lines(F.col(text_col))), _hashes).alias("h")).select("row", F.posexplode("h").alias("pos", "h"))
-    at = with_known(at.select("row.r1", "row.r2", "pos", "h.h1", "h.h2"), frequent, HASH, "n", F.col("r1"))
-    gone = scratch.keep(at.where("known").groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")))
+    at = spread_join(at.select("row.r1", "row.r2", "pos", "h.h1", "h.h2"), frequent, HASH, "n", F.col("r1"))
+    gone = scratch.keep(at.where("found IS NOT NULL").groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")))
 
     out = packed(docs, row.alias("row")).select(USER, "row.r1", "row.r2").join(gone.hint("merge"), ["r1", "r2"], "left")
     out = out.withColumn("lines", _lines(mine(text_col)))

@@ -570,8 +570,8 @@ def test_language_id_of_small_languages_and_scripts_without_spaces(spark):
     rows += [(2000 + k, " ".join(rng.choice(small) for _ in range(12)), "nl" if k < 8 else None, None) for k in range(12)]
     rows += [(3000, "ωωω ψψψ", "en", None), (3001, "λλλ ξξξ", None, "a.example"), (3002, "σσσ δδδ", None, None), (3003, "", "en", "a.example")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    langs, model = language_id.fit(df, "text", "lang", 90, 600)
-    assert langs == ["en", "nl", "zh"] and len(model) <= 600 and set(small) <= set(model)
+    model, one_in = language_id.fit(df, "text", "lang", 90, 2)
+    assert model.languages == ["en", "nl", "zh"] and set(small) <= set(model.at) and one_in == {"en": 21, "nl": 1, "zh": 1}
     got = {r.doc_id: r for r in language_id.identify(df, sample_rows=90).collect()}
     assert all(got[k].accepted and got[k].language == "zh" for k in range(1000, 1030))
     assert all(got[k].accepted and got[k].language == "nl" for k in range(2000, 2012))
@@ -580,6 +580,70 @@ def test_language_id_of_small_languages_and_scripts_without_spaces(spark):
     assert [got[k].accepted for k in range(3000, 3004)] == [True, True, False, False] and got[3000].language == got[3001].language == "en"
 
 
+def plain_language_id(rows, min_count=3):
+    """{doc_id: (language, confidence)} of few rows, all learnt from, and the trust that no row outside the fit has changed."""
+    said = {r[0]: (r[2] or "").lower() for r in rows}
+    langs = sorted({x for x in said.values() if x})
+    per = {x: Counter() for x in langs}
+    for lang, text in {(said[r[0]], r[1]) for r in rows if said[r[0]]}:
+        per[lang].update(language_id.features(text))
+    known = {f for c in per.values() for f, n in c.items() if n >= min_count}
+    sums = {x: sum(per[x][f] for f in known) for x in langs}
+    add = {x: 0.5 * max(sums[x], 1) / max(1, max(sums.values())) for x in langs}
+    log = {x: {f: math.log((per[x][f] + add[x]) / (sums[x] + add[x] * len(known))) for f in known} for x in langs}
+    trust = language_id.TRUST_RIGHT / language_id.TRUST_ROWS
+    two, vote = {}, {}
+    for k, text, _, _ in rows:
+        found = {f: n for f, n in language_id.features(text).items() if f in known}
+        n = sum(found.values())
+        two[k] = {x: sum(log[x][f] * m for f, m in found.items()) * min(1.0, 60 / n) if n else 0.0 for x in langs}
+        for x in langs:
+            two[k][x] += 0 if said[k] not in langs else math.log(trust if x == said[k] else (1 - trust) / (len(langs) - 1))
+        vote[k] = min(langs, key=lambda x: (-round(two[k][x], 9), x)) if n or said[k] in langs else None
+    at = {k: (host or None, (host or "").rpartition(".")[2] if "." in (host or "") else None) for k, _, _, host in rows}
+    corpus = {x: (sum(v == x for v in vote.values()) + 1) / (sum(v is not None for v in vote.values()) + len(langs)) for x in langs}
+    out = {}
+    for k, *_ in rows:
+        prior = corpus
+        for level in (1, 0):
+            mates = [j for j in at if at[k][level] is not None and (at[j] if level == 0 else at[j][1]) == (at[k] if level == 0 else at[k][1]) and vote[j]]
+            if mates:
+                n = len(mates) - (vote[k] is not None)
+                prior = {x: (sum(vote[j] == x for j in mates) - (vote[k] == x) + 20 * prior[x]) / (n + 20) for x in langs}
+        post = {x: two[k][x] + math.log(prior[x]) for x in langs}
+        best = min(langs, key=lambda x: (-round(post[x], 9), x))
+        out[k] = best, 1 / sum(math.exp(p - post[best]) for p in post.values())
+    return out
+
+
+def test_language_id_equals_a_plain_version(spark):
+    """Likelihood, declared language, host, suffix and corpus, and a row's own vote left out."""
+    rng = random.Random(15)
+    vocab = {"en": "the of and house river stone", "fr": "le la et maison stone rue", "de": "der die und haus fluss stone"}
+    hosts = ["a.example.com", "b.example.fr", "c.example.fr", "plain", None, ""]
+    rows = []
+    for k in range(150):
+        lang = ["en", "fr", "de"][k % 3]
+        words = vocab[lang].split() + ["stone", "qqq"]
+        said = [lang, None, "", rng.choice(["en", "fr", "de"]), lang.upper()][k % 5]
+        rows.append((k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 9, 90]))), said, rng.choice(hosts)))
+    want = plain_language_id(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language_id.identify(df.repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.language == want[r.doc_id][0] and math.isclose(r.confidence, want[r.doc_id][1], rel_tol=1e-6), r
+    assert len({round(r.confidence, 3) for r in got}) > 20
+
+
+def test_trust_is_measured_outside_the_fit(spark):
+    """Declared languages that are wrong in half of the rows are trusted less where there are more rows than the sample takes."""
+    rows = [(k, LABELLED[k % 2][1] + f" w{k}", LABELLED[(k + k // 2) % 2][0], None) for k in range(400)] + [(1000, "ωωω", "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sure = {n: language_id.identify(df.where("doc_id = 1000 OR doc_id < 400"), sample_rows=n).where("doc_id = 1000").first().confidence for n in (60, 4000)}
+    assert sure[60] < 0.65 and sure[4000] > 0.8
+
+
 def test_language_id_of_declared_names_in_capitals(spark):
     rows = [(k, LABELLED[k % 2][1], ["EN", "pt-BR", "en", "pt-br"][k % 4]) for k in range(40)] + [(40, "ωωω ψψψ", "pt-BR")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
