@@ -6,7 +6,8 @@ That is the entropy-balancing solution under bounds; one dual per source makes t
 expected words of the source equal its target. The duals of all sources are solved
 together by distributed Newton iterations on grouped sums, over the counts of the
 distinct (source, size) pairs. The rates are then rounded into copies with one hashed
-threshold per source, found by a distributed histogram search.
+threshold per source, found by a distributed histogram search. Rows that repeat a
+document are numbered, so that each is rounded on its own.
 
 DataFrame functions only. Every sum over documents is a partial aggregate, so one
 source may hold any share of the rows. The per-source tables are broadcast only
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, ranked
+from .common import SPACE, USER, Scratch, packed, quoted, ranked, spread_join, unpacked
 
 #: A per-source table is broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
@@ -28,6 +29,10 @@ TOLERANCE, MAX_NEWTON = 1e-9, 60
 BUCKETS, ROUNDS = 1024, 3
 #: Times that shorter documents fill what the rounding left of each source's target.
 FILLS = 2
+#: Newton steps in one job.
+STEPS = 3
+#: What tells documents apart.
+KEY = ["doc_id", "source", "size", "nth"]
 
 
 def n_words(text: F.Column) -> F.Column:
@@ -88,7 +93,8 @@ def solve_duals(scratch: Scratch, sizes: DataFrame, targets: DataFrame, cap: int
         )
     )
     key = F.col("source").eqNullSafe(F.col("_s"))
-    for _ in range(MAX_NEWTON):
+
+    def step(at: DataFrame) -> DataFrame:
         rate = _rate(cap)
         words = F.col("size") * F.col("n")
         sums = (
@@ -107,17 +113,22 @@ def solve_duals(scratch: Scratch, sizes: DataFrame, targets: DataFrame, cap: int
         middle = F.when(low == -1e4, F.least(2 * F.col("dual"), F.lit(-1.0))).when(high == 1e4, F.greatest(2 * F.col("dual"), F.lit(1.0))).otherwise((low + high) / 2)
         inside = (newton > low) & (newton < high) & (F.abs(newton - F.col("dual")) < 20)
         met = F.col("full") | (F.col("source_size") == 0) | (F.abs(miss) <= TOLERANCE * F.col("target"))
-        step = (
+        return (
             at.join(_small(sums, n_sources), key)
             .withColumns({"met": met, "low2": low, "high2": high, "next": F.when(met, F.col("dual")).when(inside, newton).otherwise(middle)})
             .select("source", "source_size", "target", "mean", "full", F.col("next").alias("dual"), F.col("low2").alias("low"), F.col("high2").alias("high"), "met")
         )
-        step = scratch.keep(step)
+
+    for _ in range(MAX_NEWTON // STEPS):
+        after = at
+        for _ in range(STEPS):
+            after = step(after.drop("met"))
+        after = scratch.keep(after)
         scratch.drop(at)
-        at = step.drop("met")
-        at._scratch_path = step._scratch_path
-        if step.where("not met").isEmpty():
+        at = after
+        if at.where("not met").isEmpty():
             break
+    at = at.drop("met")
     # Sums of doubles differ in their last digits from run to run; the rates must not.
     return at.withColumn("dual", F.round("dual", 9))
 
@@ -161,8 +172,30 @@ def _search(scratch: Scratch, steps: DataFrame, spans: DataFrame, n_sources: int
 
 
 def _uniform(seed: int) -> F.Column:
-    """Uniform in [0, 1): 53 bits of a hash of the document and its source."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source"), 11) / F.lit(float(2**53))
+    """Uniform in [0, 1): 53 bits of a hash of the document, its source and its number among equal rows."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "nth"), 11) / F.lit(float(2**53))
+
+
+def numbered(scratch: Scratch, thin: DataFrame) -> DataFrame:
+    """``thin`` = (row, doc_id, source, size) with nth: the number from 0 of a row among those that repeat it in all but row, as a kept table.
+
+    Only rows that have such company are ranked, in ranges that cut it.
+    """
+    key = F.struct("doc_id", "source", "size")
+    hashed = thin.withColumn("h", F.xxhash64(key))
+    shared = scratch.keep(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    marked = scratch.keep(spread_join(hashed, shared, ["h"], "n", F.col("row")))
+    alone = marked.where("found IS NULL").withColumn("nth", F.lit(0).cast("long"))
+    crowd = ranked(scratch, marked.where("found IS NOT NULL"), key, F.col("row"))
+    first = scratch.keep(crowd.groupBy("doc_id", "source", "size").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"), F.min("h").alias("h")))
+    first = first.select("h", F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "first", "n")
+    # A hash that several keys share has several firsts: those of a row's own key count.
+    firsts = scratch.keep(first.groupBy("h").agg(F.collect_list(F.struct("d", "s", "z", "first")).alias("firsts"), F.sum("n").alias("n")))
+    found = spread_join(crowd.drop("found"), firsts, ["h"], "n", F.col("row"))
+    own = F.filter(F.col("found.firsts"), lambda x: x["d"].eqNullSafe(F.col("doc_id")) & x["s"].eqNullSafe(F.col("source")) & (x["z"] == F.col("size")))
+    nth = found.withColumn("nth", F.col("rank") - F.get(own, F.lit(0))["first"])
+    columns = ["row", "doc_id", "source", "size", "nth"]
+    return scratch.keep(alone.select(columns).unionByName(nth.select(columns)))
 
 
 def _rounded(scratch: Scratch, rated: DataFrame, n_sources: int, cap: int) -> DataFrame:
@@ -222,13 +255,34 @@ def _settled(rows: DataFrame, n_sources: int, cap: int) -> DataFrame:
     fits = (F.col("copies") + sign).between(0, cap) & (F.col("size") > 0) & (left < F.abs("miss"))
     best = (
         rows.join(_small(_missing(rows), n_sources), key).where(fits)
-        .groupBy("_s").agg(F.min_by(F.struct("doc_id", sign.alias("sign")), F.struct(left, "doc_id")).alias("best"))
+        .groupBy("_s").agg(F.min_by(F.struct("doc_id", "size", "nth", sign.alias("sign")), F.struct(left, "doc_id", "nth")).alias("best"))
     )
-    moved = F.when(F.col("best").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") > 0), F.col("best.sign")).otherwise(F.lit(0))
+    this = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") == F.col("best.size")) & (F.col("nth") == F.col("best.nth"))
+    moved = F.when(F.col("best").isNotNull() & this, F.col("best.sign")).otherwise(F.lit(0))
     moved = F.least(F.greatest(F.col("copies") + moved, F.lit(0)), F.lit(cap)).cast("long")
     return rows.join(_small(best, n_sources), key, "left").withColumn("copies", moved).drop("_s", "best")
 
 
+def _mixed(scratch: Scratch, thin: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """``mix`` of the kept table ``thin`` = (row, doc_id, source, size), with its rows."""
+    sizes = scratch.keep(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    targets = scratch.keep(source_targets(scratch, sizes, weights, cap))
+    n_sources = targets.count()
+    duals = scratch.keep(solve_duals(scratch, sizes, targets, cap))
+    key = F.col("source").eqNullSafe(F.col("_s"))
+    rated = numbered(scratch, thin).join(_small(duals.withColumnRenamed("source", "_s"), n_sources), key)
+    rated = scratch.keep(rated.select("row", *KEY, "source_size", "target", _rate(cap).alias("rate")))
+    rows = scratch.keep(_rounded(scratch, rated, n_sources, cap))
+    for seed in range(1, 1 + FILLS):
+        rows = scratch.keep(_filled(scratch, rows, n_sources, cap, seed))
+    return _settled(rows, n_sources, cap).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _thin(id_col: str, text_col: str, source_col: str) -> list[F.Column]:
+    named = (F.col(quoted(c)) for c in (id_col, source_col, text_col))
+    return [F.monotonically_increasing_id().alias("row"), next(named).cast("long").alias("doc_id"), next(named).cast("string").alias("source"), n_words(next(named)).alias("size")]
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
 ) -> DataFrame:
@@ -237,34 +291,18 @@ def mix(
     Returns one row for each row of ``docs``: doc_id, source, size, source_size,
     target, rate, copies, taken = copies * size. Null text has size 0; a null source
     is a source, the last. Documents without words take no words (one copy). Rows that
-    repeat a doc_id are rounded alike. The copies depend on the rows alone, so reruns
-    agree. An empty table gives an empty result.
+    repeat each other are rounded each on its own. The copies depend on the rows alone,
+    so reruns agree. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    thin = scratch.keep(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    )
-    sizes = scratch.keep(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    targets = scratch.keep(source_targets(scratch, sizes, weights, cap))
-    n_sources = targets.count()
-    duals = solve_duals(scratch, sizes, targets, cap)
-    key = F.col("source").eqNullSafe(F.col("_s"))
-    rated = thin.join(_small(duals.withColumnRenamed("source", "_s"), n_sources), key)
-    rated = scratch.keep(rated.select("doc_id", "source", "size", "source_size", "target", _rate(cap).alias("rate")))
-    rows = scratch.keep(_rounded(scratch, rated, n_sources, cap))
-    for seed in range(1, 1 + FILLS):
-        rows = scratch.keep(_filled(scratch, rows, n_sources, cap, seed))
-    return _settled(rows, n_sources, cap).withColumn("taken", F.col("copies") * F.col("size"))
+    out = _mixed(scratch, scratch.keep(docs.select(*_thin(id_col, text_col, source_col))), weights, cap)
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (see ``mix``), with all their columns.
-
-    Rows that repeat a doc_id and source with the same size share one decision.
-    """
-    copies = mix(docs, id_col, text_col, source_col, weights, cap).where("copies > 0")
-    copies = copies.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_copies")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (n_words(F.col(text_col)) == F.col("_n"))
-    out = docs.join(copies, on)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it (see ``mix``), with all their columns, whatever their names."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = scratch.keep(packed(docs, *_thin(id_col, text_col, source_col)))
+    copies = _mixed(scratch, rows.drop(USER), weights, cap).where("copies > 0").select("row", "copies")
+    out = rows.select("row", USER).join(copies, "row").select(USER, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked(out, docs.columns)

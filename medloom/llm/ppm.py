@@ -35,7 +35,7 @@ from .common import Scratch
 #: Bytes of the longest context.
 ORDER = 5
 #: Bytes of text in a chunk at most, but for one document, and for each part of the pairs and of the tokens.
-CHUNK_BYTES, PART_BYTES = 1 << 23, 1 << 24
+CHUNK_BYTES, PART_BYTES = 1 << 23, 1 << 22
 #: Texts, and characters of each, whose contexts balance the parts; nothing else depends on them.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 10_000
 #: Pairs that a part gathers before it merges them.

@@ -18,14 +18,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, worker_cache
+from .common import USER, Scratch, packed, quoted, spread_join, unpacked, worker_cache
 from .graph import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Near copies that ``near_dedup`` drops: shingles of five words, and as many differing bits as its tables allow.
+NEAR_RADIUS, NEAR_SHINGLE = 6, 5
 MAX_BUCKET = 4096
+#: Shingles whose bits are counted at a time, and rows in one Arrow batch of results.
+BLOCK, OUT_ROWS = 1 << 14, 1000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -39,23 +45,35 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     n = max(1, len(words) - shingle + 1)
-    starts, stops = (ends - sizes)[:n].tolist(), ends[-n:].tolist()
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)])
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(n, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).tobytes())
+    starts, stops = ends - sizes, ends[-n:]
+    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    for k in range(0, n, BLOCK):
+        some = zip(starts[k : min(k + BLOCK, n)].tolist(), stops[k : k + BLOCK].tolist())
+        raw = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in some]), np.uint8)
+        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes())
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprints(shingle: int) -> Callable:
+def _fingerprints(shingle: int, text_at: Callable) -> Callable:
+    """Adds row (a number) and fp to the columns of a batch but its column text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         worker_cache("simhash")
-        for batch in batches:
-            prints = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        row = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for start in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(start, OUT_ROWS)
+                prints = [_signed(fingerprint(t.as_py(), shingle)) for t in text_at(batch)]
+                names = [n for n in batch.schema.names if n != "text"]
+                numbers = pa.array(range(row, row + batch.num_rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), numbers, pa.array(prints, pa.int64())], names=[*names, "row", "fp"])
+                row += batch.num_rows
 
     return run
 
@@ -167,6 +185,12 @@ def near_links(scratch: Scratch, prints: DataFrame, radius: int = RADIUS, max_bu
         tables = finer.select(F.col("a").alias("mask"), F.col("b").alias("fp"))
 
 
+def _rooted(scratch: Scratch, rows: DataFrame, radius: int, max_bucket: int) -> DataFrame:
+    """(fp, root) of the fingerprints that are linked to another, for ``rows`` with fp."""
+    roots = components(scratch, near_links(scratch, scratch.keep(rows.select("fp").distinct()), radius, max_bucket))
+    return roots.withColumnRenamed("node", "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp (long), component_id of each row of ``docs``.
 
@@ -177,26 +201,37 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(thin.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+    thin = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    rows = scratch.keep(thin.mapInArrow(_fingerprints(shingle, lambda batch: batch.column("text")), "doc_id long, row long, fp long").drop("row"))
     first = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(scratch, near_links(scratch, first.select("fp"), radius, max_bucket))
-    linked = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = first.join(_rooted(scratch, first, radius, max_bucket), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = scratch.keep(linked)
     smallest = scratch.keep(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     of_print = scratch.keep(linked.join(smallest, "root").select("fp", "component_id"))
     return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component of ``docs``: the one with its smallest doc_id, with all its columns.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS, shingle: int = NEAR_SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns, whatever their names.
 
-    Rows that repeat that doc_id and its text are one row. Rows with a null doc_id stay if
-    some component has no other id.
+    It is the one with the smallest doc_id, null last, and of these the first that the
+    scan meets. Nulls, empty and short texts are as in ``simhash_components``. An empty
+    table gives an empty result.
     """
-    # Keys without nulls, so that the join and the window share one exchange.
-    key = {"_id": F.coalesce(F.col("_from").cast("long"), F.lit(0)), "_none": F.col("_from").isNull()}
-    kept = simhash_components(docs, id_col, text_col, radius, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_from")).distinct()
-    found = docs.withColumns({"_from": F.col(id_col), "_text": F.xxhash64(text_col)}).withColumns(key).join(kept.withColumns(key), ["_id", "_none"], "left_semi")
-    one = Window.partitionBy("_id", "_none", "_text").orderBy("_text")
-    return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "simhash")
+    key = F.col(quoted(id_col)).cast("long").alias("id")
+    inside = dict(docs.dtypes)[text_col] == "string"
+    thin = packed(docs, key, *([] if inside else [F.col(quoted(text_col)).cast("string").alias("text")]))
+    text_at = (lambda batch: pc.struct_field(batch.column(USER), text_col)) if inside else (lambda batch: batch.column("text"))
+    schema = T.StructType([f for f in thin.schema.fields if f.name != "text"]).add("row", T.LongType()).add("fp", T.LongType())
+    rows = scratch.keep(thin.mapInArrow(_fingerprints(shingle, text_at), schema))
+    # min() of this struct is the row that stays.
+    best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
+    prints = scratch.keep(rows.groupBy("fp").agg(best, F.count(F.lit(1)).alias("n")))
+    linked = prints.join(_rooted(scratch, prints, radius, max_bucket), "fp", "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root"))
+    linked = scratch.keep(linked)
+    stays = linked.groupBy("root").agg(F.min("best").alias("stays"), F.sum("n").alias("of_root")).where("of_root > 1")
+    # Few prints have company, and few of their rows stay: only the numbers of those that go meet the texts.
+    crowded = scratch.keep(linked.join(stays, "root").select("fp", F.col("stays.row").alias("stays"), "n"))
+    gone = spread_join(rows.select("fp", "row"), crowded, ["fp"], "n", F.col("row")).where("found.stays <> row").select("row")
+    return unpacked(rows.select("row", USER).join(scratch.keep(gone), "row", "left_anti"), docs.columns)

@@ -85,9 +85,9 @@ def test_exact_groups(docs, rows, empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
 
 
-def brute_print(text):
+def brute_print(text, n=3):
     words = WORDS.findall(ascii_lower(text))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -136,11 +136,26 @@ def test_simhash(docs, rows, empty):
         p = brute_print(text_of[r.doc_id])
         assert r.fp & (1 << 64) - 1 == p
         assert r.component_id == min(first.get(roots[p], []), default=None)
-    left = simhash.near_dedup(docs)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} >= {min(ids) for ids in first.values()}
+    assert simhash.fingerprint("a b c d e " * 9000) == brute_print("a b c d e " * 9000)
     assert simhash.simhash_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("shingle,radius", [(3, 3), (5, 6)])
+def test_near_dedup(docs, rows, empty, shingle, radius):
+    """One row of each component, also of rows that repeat an id or have none."""
+    near = rows + [(900 + k, " ".join(f"w{i}" if i != k * 20 else "other" for i in range(300)), None, None, None, "x", "y", "z") for k in range(4)]
+    prints = [brute_print(r[1], shingle) for r in near]
+    roots, best = brute_components(prints, radius), {}
+    for r, p in zip(near, prints):
+        key = (r[0] is None, r[0] or 0)
+        best[roots[p]] = min(best.get(roots[p], (True, 1 << 60)), key)
+    left = simhash.near_dedup(docs.sparkSession.createDataFrame(near, SCHEMA).repartition(3), radius=radius, shingle=shingle)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(best.values())
+    assert len(got) < len(near) and simhash.near_dedup(empty).count() == 0
+
+
 def test_heavy_buckets_lose_no_link(spark):
     rng = random.Random(3)
     prints = set()
@@ -301,6 +316,25 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows that repeat each other are taken one by one: targets are met within a document."""
+    rows = [(1, "w " * 10, "a")] * 30 + [(k, "w " * 10, "b") for k in range(40)] + [(k, "w " * 7, None) for k in (5, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df.repartition(3)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
+    assert len({r.copies for r in got if r.source == "a"}) > 1
+    thin = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    scratch = Scratch(spark, "t")
+    nth = defaultdict(list)
+    for r in mixing.numbered(scratch, scratch.keep(thin)).collect():
+        nth[r.doc_id, r.source, r["size"]].append(r.nth)
+    assert all(sorted(x) == list(range(len(x))) for x in nth.values()) and len(nth[1, "a", 10]) == 30
+
+
 def test_targets_that_are_capped(spark):
     rows = [(k, "w " * n, s) for k, (s, n) in enumerate([("a", 1)] * 3 + [("b", 100)] * 5 + [("c", 2)] * 3 + [("d", 90)] * 4)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
         best[norm(r.text)] = min(best.get(norm(r.text), (1, 0)), (-len(r.text), r.doc_id))
     assert Counter(r.doc_id for r in outputs[1]) == Counter(i for _, i in best.values())
 
-    prints, kept, seen = {r.doc_id: simhash.fingerprint(r.text) for r in inputs[2]}, set(), set()
+    prints, kept, seen = {r.doc_id: simhash.fingerprint(r.text, 5) for r in inputs[2]}, set(), set()
     for i in sorted(prints):
         if i not in seen:
             kept.add(i)
@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
             while todo:
                 x = todo.pop()
                 seen.add(x)
-                todo += [j for j in prints if j not in seen and (prints[j] ^ prints[x]).bit_count() <= 3]
+                todo += [j for j in prints if j not in seen and (prints[j] ^ prints[x]).bit_count() <= simhash.NEAR_RADIUS]
     assert Counter(r.doc_id for r in outputs[2]) == Counter(kept)
 
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(f"{tmp_path}/2")).collect() if r.copies}
