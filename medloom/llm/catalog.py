@@ -86,7 +86,7 @@ QUERIES = {
 ORACLES = {
     "op5_quality_rules": r"""
         WITH t AS (
-            SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+            SELECT doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS text,
                    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                    string_split(coalesce(text, ''), chr(10)) AS lines
             FROM documents

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, Scratch, lower_ascii, words
+from .common import SPACE, SPACE_CHARS, Scratch, lower_ascii, mine, packed, quoted, spread_join, unpacked, words
 
 #: Words of a window, and the share of words in repeated windows (percent) that fails.
 WINDOW, MAX_REPEAT_PERCENT, MIN_WORDS = 5, 20, 10
@@ -18,8 +18,7 @@ WINDOW, MAX_REPEAT_PERCENT, MIN_WORDS = 5, 20, 10
 MAX_LINE_DOCS = 50
 #: A document is depleted if less than this share of its words, or too few words, are left.
 MIN_LEFT = 0.2
-#: Copies of each boilerplate line in the join that finds it, at most as many as its documents.
-SALT = 16
+ROW = ["r1", "r2"]
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
@@ -49,16 +48,16 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, _row, the counts of its text, base_failed."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    one = docs.select(F.col(id_col).alias("doc_id"), _row(id_col, text_col).alias("_row"), text.alias("_text"))
+    """One row for each row of ``docs``: doc_id, r1, r2, the counts of its text, base_failed."""
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    one = docs.select(F.col(quoted(id_col)).alias("doc_id"), _row(id_col, text_col).alias("row"), text.alias("_text")).select("doc_id", "row.*", "_text")
     one = one.withColumn("_words", words(F.col("_text")))
     with_word = F.filter(F.split("_text", "\n"), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
     one = one.withColumn("_with_word", with_word)
     one = _repeats(one)
     return one.select(
         "doc_id",
-        "_row",
+        *ROW,
         F.size("_words").cast("long").alias("n_words"),
         F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -68,27 +67,34 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _row(id_col: str, text_col: str) -> Column:
-    """Hash of the id and text of a row; rows that repeat both get the same verdict."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """128 bits of hash of the id and text of a row; rows that repeat both get the same verdict."""
+    key = F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(*key).alias("r1"), F.xxhash64(F.lit(7), *key).alias("r2"))
 
 
-def left_after_boilerplate(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, host_col: str, max_line_docs: int) -> DataFrame:
-    """(_row, left): the share of a document's words outside the boilerplate lines of its host, for documents that hold some."""
+def boilerplate(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, host_col: str, max_line_docs: int) -> DataFrame:
+    """(r1, r2, n_gone, gone): the words in the boilerplate lines of a document's host, and the positions of these lines, for documents that hold some."""
     trimmed = lambda x: F.btrim(x, F.lit(SPACE_CHARS))
     n_words = lambda x: F.regexp_count(x, F.lit(SPACE.replace("[", "[^") + "+"))
-    parts = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), trimmed)
-    parts = F.transform(F.filter(parts, lambda x: x != ""), lower_ascii)
-    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    hashed = F.transform(parts, lambda x: F.struct(F.xxhash64(host, x).alias("h"), n_words(x).alias("n")))
+    parts = F.transform(F.split(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), "\n"), trimmed)
+    parts = F.transform(parts, lower_ascii)
+    # A null host has the hash of no value, an empty one that of an empty value.
+    host = F.xxhash64(F.col(quoted(host_col)).cast("string"))
+    hashed = F.transform(parts, lambda x, i: F.struct(F.xxhash64(host, x).alias("h"), n_words(x).alias("n"), i.alias("at")))
     # The row's hash is made before the lines are dealt out, not once more for each of them.
-    rows = docs.select(_row(id_col, text_col).alias("_row"), hashed.alias("_h")).select("_row", F.posexplode("_h").alias("at", "l")).select("_row", "at", "l.h", "l.n")
+    rows = docs.select(_row(id_col, text_col).alias("row"), F.filter(hashed, lambda x: x["n"] > 0).alias("l"))
+    rows = rows.select("row", F.explode("l").alias("l")).select("row.*", "l.h", "l.n", "l.at")
     # A repeated row counts once, and so does a line that its document repeats.
-    rows = scratch.keep(rows.distinct().groupBy("_row", "h").agg(F.sum("n").alias("n")))
-    frequent = rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs).select("h")
-    frequent = scratch.keep(frequent)
-    salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    gone = rows.withColumn("_salt", F.pmod("_row", F.lit(SALT).cast("long"))).join(salted, ["h", "_salt"], "left_semi")
-    return gone.groupBy("_row").agg(F.sum("n").alias("n_gone"))
+    rows = rows.groupBy(*ROW, "h").agg(F.collect_set(F.struct("at", "n")).alias("lines"))
+    rows = scratch.keep(rows)
+    frequent = scratch.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs))
+    found = spread_join(rows, frequent, ["h"], "docs", F.col("r1")).where("found IS NOT NULL").groupBy(*ROW).agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    n_gone = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return found.select(*ROW, n_gone.alias("n_gone"), F.col("lines.at").alias("gone"))
+
+
+def _depleted(max_left: Column, n_words: Column, min_left: float) -> Column:
+    return (max_left < MIN_WORDS) | (max_left < min_left * n_words)
 
 
 def quality_rules(
@@ -99,13 +105,35 @@ def quality_rules(
     A normalised line (white space stripped at its ends, A-Z lower-cased) that more than
     ``max_line_docs`` documents of one host hold is boilerplate. A document is
     depleted if its boilerplate lines leave it under ``min_left`` of its words or under
-    ten words. Null texts are empty and fail the base rules; a null host is one host.
-    Rows that repeat id and text are one document and get the same verdict. Columns of
+    ten words. Null texts are empty and fail the base rules; null is a host, and not the
+    empty one. Rows that repeat id and text are one document and get the same verdict. Columns of
     ``docs`` that are not named are not read; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    gone = left_after_boilerplate(scratch, docs, id_col, text_col, host_col, max_line_docs)
-    base = base_counts(docs, id_col, text_col).join(gone, "_row", "left")
+    gone = boilerplate(scratch, docs, id_col, text_col, host_col, max_line_docs)
+    base = base_counts(docs, id_col, text_col).join(gone.drop("gone"), ROW, "left")
     left = F.greatest(F.col("n_words") - F.coalesce("n_gone", F.lit(0)), F.lit(0).cast("long"))
-    depleted = F.col("n_gone").isNotNull() & ((F.col("n_left_words") < MIN_WORDS) | (F.col("n_left_words") < min_left * F.col("n_words")))
-    return base.withColumn("n_left_words", left).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_row", "n_gone")
+    depleted = F.col("n_gone").isNotNull() & _depleted(F.col("n_left_words"), F.col("n_words"), min_left)
+    return base.withColumn("n_left_words", left).withColumn("kept", ~F.col("base_failed") & ~depleted).drop(*ROW, "n_gone")
+
+
+def cleaned_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, their texts without boilerplate lines.
+
+    The lines that stay are joined by ``\\n`` in their order.
+    """
+    scratch = Scratch(docs.sparkSession, "rules")
+    gone = scratch.keep(boilerplate(scratch, docs, id_col, text_col, host_col, max_line_docs))
+    base = base_counts(docs, id_col, text_col).join(gone.drop("gone"), ROW, "left")
+    left = F.col("n_words") - F.coalesce("n_gone", F.lit(0))
+    # Written first: a filter on what is computed here would compute it once for each mention.
+    verdicts = scratch.keep(base.select(*ROW, (F.col("base_failed") | F.col("n_gone").isNotNull() & _depleted(left, F.col("n_words"), min_left)).alias("failed")))
+    good = verdicts.where("NOT failed").select(*ROW).distinct()
+    rows = packed(docs, _row(id_col, text_col).alias("row")).select("user", "row.*")
+    rows = rows.join(good, ROW, "left_semi").join(gone.select(*ROW, "gone"), ROW, "left")
+    lines = F.filter(F.split(mine(text_col).cast("string"), "\n"), lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), mine(text_col).cast("string")).otherwise(F.array_join(lines, "\n"))
+    out = unpacked(rows.withColumn("user", F.col("user").withField(quoted(text_col), text)), docs.columns)
+    return out

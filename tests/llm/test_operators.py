@@ -211,6 +211,22 @@ def test_quality_rules(docs, rows, empty):
         g = by_id[r[0]][0]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed, g.n_left_words, g.kept) == want, r[0]
     assert any(not r.kept and not r.base_failed for r in got) and quality_rules.quality_rules(empty).count() == 0
+    kept = Counter((r.doc_id, r.n_left_words) for r in got if r.kept)
+    out = quality_rules.cleaned_documents(docs, max_line_docs=6)
+    assert out.columns == docs.columns and quality_rules.cleaned_documents(empty).count() == 0
+    texts_of, cleaned = {r[0]: r for r in rows}, out.collect()
+    assert Counter((r.doc_id, len(WORDS.findall(r.text))) for r in cleaned) == kept
+    for r in cleaned:
+        _, text, _, host, *rest = texts_of[r.doc_id]
+        stay = [x for x in text.split("\n") if len(per[host, ascii_lower(x.strip(" \t\n\x0b\x0c\r"))]) <= 6]
+        assert r.text == "\n".join(stay) and (r.source, r.row) == (host, "clash")
+
+
+def test_null_and_empty_hosts_are_two(spark):
+    rows = [(k, f"shared line of many words\n{' '.join(f'w{k}x{i}' for i in range(20))}", None if k % 2 else "") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = lambda n: {r.n_left_words for r in quality_rules.quality_rules(df, max_line_docs=n).collect()}
+    assert left(5) == left(4) == {25} and left(3) == {20}
 
 
 def test_line_dedup(spark, docs, rows, empty):
@@ -720,14 +736,73 @@ def test_url_model_learns(spark):
     got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).where("rule IS NULL").collect()
     right = sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got)
     assert right / len(got) > 0.95
+
+
+def plain_grams(urls):
     counts = Counter()
-    for h in ("abc", "abd"):
-        data = url_filter._symbols(h, "/")
+    for url in urls:
+        data = url_filter._symbols(*url)
         for end in range(2, len(data) + 1):
             for start in range(max(0, end - 1 - url_filter.ORDER), end):
                 counts[data[start:end]] += 1
-    model = url_filter.MarkovModel(counts)
-    assert abs(sum(math.exp(model.log_p(b"\x01ab", bytes([b]))) for b in range(256)) - 1) < 1e-9
+    return counts
+
+
+def plain_markov(urls):
+    """Log probability of a byte after its context, from plain dictionaries."""
+    grams, total, kinds = plain_grams(urls), Counter(), Counter()
+    for gram, n in grams.items():
+        total[gram[:-1]] += n
+        kinds[gram[:-1]] += 1
+
+    def log_p(context, byte):
+        p = 1 / 256
+        for n in range(len(context) + 1):
+            c = context[len(context) - n :]
+            if not total[c]:
+                break
+            p = (grams[c + byte] + kinds[c] * p) / (total[c] + kinds[c])
+        return math.log(p)
+
+    return log_p
+
+
+def test_url_model_is_a_distribution():
+    counts = plain_grams([("abc", "/"), ("abd", "/é")])
+    keys = np.array([int.from_bytes(bytes([len(g)]) + g, "big") for g in counts])
+    model = url_filter.MarkovModel(keys, np.array([*counts.values()]))
+    data = np.array([x for b in range(256) for x in (1, 97, 98, b)])
+    p = model.p(data, np.tile(np.arange(4), 256))[3::4]
+    plain = plain_markov([("abc", "/"), ("abd", "/é")])
+    assert abs(p.sum() - 1) < 1e-9 and np.allclose(np.log(p), [plain(b"\x01ab", bytes([b])) for b in range(256)])
+
+
+def test_url_scores_and_verdicts_equal_a_plain_version(spark):
+    """Score, threshold and verdict of every URL without a rule, from the URLs that the rules judge and that are not held out."""
+    rng = random.Random(21)
+    rows = [(k, f"http://{rng.choice('abcdef')}{rng.choice(['shop', 'blog', 'wiki'])}.{rng.choice(['example', 'site'])}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'fr', 'es', 'de'])}/é{rng.randrange(99)}") for k in range(500)]
+    rows += [(500, None), (501, "no scheme"), (502, "x://"), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.filter_urls(df.repartition(3)).collect()
+    draw = {(r.page_id, r.host, r.path): (r.d >> 20) % url_filter.HELD_OUT == 0 for r in df.select("page_id", *[c.alias(n) for c, n in zip(url_filter.split_url(F.col("url")), ("host", "path"))]).withColumn("d", F.xxhash64("page_id", "host", "path")).collect()}
+    verdict_of = dict(url_filter.RULES and [(rule, verdict) for verdict, rule in url_filter.RULES])
+    judged = {(r.page_id, r.host, r.path): verdict_of[r.rule] for r in got if r.rule}
+    models = [plain_markov([k[1:] for k, v in judged.items() if v == verdict and not draw[k]]) for verdict in ("allow", "block")]
+
+    def score(host, path):
+        data = url_filter._symbols(host, path)
+        a, b = (sum(m(data[max(0, i - url_filter.ORDER) : i], data[i : i + 1]) for i in range(1, len(data))) for m in models)
+        return (a - b) / (len(data) - 1)
+
+    bins = {v: [math.floor(min(max(score(r.host, r.path), -4), 4) * url_filter.BINS / 8) for r in got if r.rule and verdict_of[r.rule] == v and draw[r.page_id, r.host, r.path]] for v in ("allow", "block")}
+    half, step = url_filter.BINS // 2, 8 / url_filter.BINS
+    error = lambda cut: sum(x < cut for x in bins["allow"]) / len(bins["allow"]) + sum(x >= cut for x in bins["block"]) / len(bins["block"])
+    threshold = min(range(-half, half + 2), key=lambda cut: (round(error(cut), 12), abs(cut), cut)) * step
+    free = [r for r in got if not r.rule]
+    assert len(got) == len(rows) and len(free) > 100 and {r.verdict for r in free} == {"allow", "block"}
+    for r in free:
+        want = score(r.host, r.path)
+        assert math.isclose(r.llr, want, abs_tol=1e-9) and (abs(want - threshold) < 1e-6 or r.verdict == ("allow" if want >= threshold else "block"))
 
 
 def test_queries_have_their_columns(spark):
