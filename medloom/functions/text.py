@@ -47,8 +47,8 @@ def name_tokens(col: Column) -> Column:
 
 
 def mentions(question: Column, name: Column) -> Column:
-    """Whether the lower-cased question contains a part of the name. A name without parts never matches."""
-    return F.exists(name_tokens(name), lambda part: F.contains(F.lower(question), part))
+    """Whether the question, lower-cased already, contains a part of the name. A name without parts never matches."""
+    return F.exists(name_tokens(name), lambda part: F.contains(question, part))
 
 
 def fragment_key(test_name: Column, name: Column) -> Column:

@@ -21,32 +21,45 @@ def nonblank_questions(questions: DataFrame) -> DataFrame:
     return questions.withColumn("text", fx.nonblank(F.col("text"))).where("text <> ''")
 
 
-def winning_markers(tests: DataFrame, markers: DataFrame, prefer: str = "oldest") -> DataFrame:
-    """user_id, test_name, name, value, unit, reference_range: the row that holds each user's key.
+def _age(prefer: str) -> F.Column:
+    at = F.unix_micros(F.col("date").cast("timestamp"))
+    return -at if prefer == "oldest" else at
+
+
+def winning_markers(tests: DataFrame, markers: DataFrame, prefer: str = "oldest", users: DataFrame | None = None) -> DataFrame:
+    """user_id, test_name, name, value, unit, reference_range, age, test_id, pos: the row that holds each user's key.
 
     Tests are gone through newest first and later ones replace earlier ones, so the
     oldest holds; ties go to the larger test_id, then the larger pos. A question picks
-    by the name alone, so this is done once per user and before any question.
+    by the name alone, so this is done once per user and before any question. Only the
+    ``users`` (user_id) are looked at, if given.
     """
-    at = F.unix_micros(F.col("date").cast("timestamp"))
-    age = -at if prefer == "oldest" else at
-    mine = tests.where("user_id IS NOT NULL").select("test_id", "user_id", "test_name", "date")
-    rows = markers.select("test_id", "pos", "name", "value", "unit", "reference_range").join(mine, "test_id")
-    last = F.max_by(F.struct("value", "unit", "reference_range"), F.struct(age, "test_id", "pos"))
-    return rows.groupBy("user_id", "test_name", "name").agg(last.alias("m")).select("user_id", "test_name", "name", "m.*")
+    own = tests.where("user_id IS NOT NULL").select("test_id", "user_id", "test_name", "date")
+    if users is not None:
+        own = own.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    rows = markers.select("test_id", "pos", "name", "value", "unit", "reference_range").join(own, "test_id")
+    order = F.struct(_age(prefer).alias("age"), "test_id", "pos")
+    last = F.max_by(F.struct("value", "unit", "reference_range", order.alias("order")), order)
+    return rows.groupBy("user_id", "test_name", "name").agg(last.alias("m")).select("user_id", "test_name", "name", "m.value", "m.unit", "m.reference_range", "m.order.*")
 
 
 def context_match(questions: DataFrame, named: DataFrame) -> DataFrame:
     """Pairs of a question and a row of ``named`` (user_id, name, ..) of its user that it mentions."""
-    asked = questions.where("user_id IS NOT NULL").select("question_id", "user_id", F.col("text").alias("question"))
+    asked = questions.where("user_id IS NOT NULL").select("question_id", "user_id", F.lower("text").alias("question"))
     return asked.join(named, "user_id").where(fx.mentions(F.col("question"), F.col("name")))
 
 
 def context_fragments(questions: DataFrame, tests: DataFrame, markers: DataFrame, prefer: str = "oldest") -> DataFrame:
-    """question_id, key, value: what each question's user has stored about it."""
-    hits = context_match(questions, winning_markers(tests, markers, prefer))
-    key, value = fx.fragment_key(F.col("test_name"), F.col("name")), fx.fragment_value(F.col("value"), F.col("unit"), F.col("reference_range"))
-    return hits.select("question_id", key.alias("key"), value.alias("value"))
+    """question_id, key, value: what each question's user has stored about it, one row for each key.
+
+    Different pairs of a test and a marker can make the same key; the order of the tests
+    decides between them as well. Null names and values count as empty.
+    """
+    hits = context_match(questions, winning_markers(tests, markers, prefer, questions.where("user_id IS NOT NULL")))
+    named = [F.coalesce(c, F.lit("")) for c in ("test_name", "name", "value")]
+    key, value = fx.fragment_key(*named[:2]), fx.fragment_value(named[2], F.col("unit"), F.col("reference_range"))
+    last = F.max_by(value, F.struct("age", "test_id", "pos"))
+    return hits.groupBy("question_id", key.alias("key")).agg(last.alias("value"))
 
 
 def fragment_prompt(questions: DataFrame, fragments: DataFrame, system_prompt: str = CONSULT_PROMPT) -> DataFrame:
@@ -70,7 +83,7 @@ def consult_requests(prompts: DataFrame, model: str = "default", temperature: fl
 
 def parse_reply(responses: DataFrame) -> DataFrame:
     """``responses`` with status, error_text and reply, the text of the first choice, which may be empty."""
-    out = extract.first_choice(extract.response_status(responses))
+    out = extract.answered(responses)
     return out.withColumn("reply", F.when(F.col("status") == "ok", F.col("content"))).drop("content")
 
 

@@ -23,24 +23,28 @@ def extraction_requests(docs: DataFrame, model: str = "default", prompt: str = E
     return docs.select("doc_id", request_payload(model, F.lit(prompt), F.col("text"), temperature).alias("payload"))
 
 
-def _content(body: Column) -> tuple[Column, Column]:
-    """(the content of the first choice, whether the body has that shape)."""
-    root = F.try_parse_json(body)
-    content = F.try_variant_get(root, "$.choices[0].message.content", "string")
-    kind = F.schema_of_variant(F.try_variant_get(root, "$.choices[0].message.content", "variant"))
-    return content, F.coalesce(kind == "STRING", F.lit(False))
+_CONTENT = "$.choices[0].message.content"
+
+
+def _parsed(responses: DataFrame) -> DataFrame:
+    """``responses`` with _root, the body as a variant: a step of its own, so that it is parsed once."""
+    return responses.withColumn("_root", F.try_parse_json("body"))
+
+
+def _choice(parsed: DataFrame) -> DataFrame:
+    """``_parsed`` with content, null unless the first choice's message has a text."""
+    kind = F.schema_of_variant(F.try_variant_get("_root", _CONTENT, "variant"))
+    return parsed.withColumn("content", F.when(kind == "STRING", F.try_variant_get("_root", _CONTENT, "string"))).drop("_root")
 
 
 def first_choice(responses: DataFrame) -> DataFrame:
     """``responses`` with content, null unless the first choice's message has a text."""
-    content, shaped = _content(F.col("body"))
-    return responses.withColumn("content", F.when(shaped, content))
+    return _choice(_parsed(responses))
 
 
-def response_status(responses: DataFrame) -> DataFrame:
-    """``responses`` with status and error_text (null if ok)."""
-    _, shaped = _content(F.col("body"))
-    code = F.col("http_status")
+def _status(chosen: DataFrame) -> DataFrame:
+    """``first_choice`` with status and error_text."""
+    code, shaped = F.col("http_status"), F.col("content").isNotNull()
     # Texts of the errors.
     text = (
         F.when(code == 401, "401 Unauthorized — check your API key.")
@@ -50,7 +54,17 @@ def response_status(responses: DataFrame) -> DataFrame:
         .when(~shaped, "Could not parse API response.")
     )
     status = F.when(code.isNull(), "invalid").when(code != 200, "http_error").when(~shaped, "unparseable").otherwise("ok")
-    return responses.withColumns({"status": status, "error_text": F.when(code.isNull(), "Invalid response from server.").otherwise(text)})
+    return chosen.withColumns({"status": status, "error_text": F.when(code.isNull(), "Invalid response from server.").otherwise(text)})
+
+
+def response_status(responses: DataFrame) -> DataFrame:
+    """``responses`` with status and error_text (null if ok)."""
+    return _status(first_choice(responses)).select(*responses.columns, "status", "error_text")
+
+
+def answered(responses: DataFrame) -> DataFrame:
+    """``responses`` with content, status and error_text."""
+    return _status(first_choice(responses))
 
 
 def parse_markers(responses: DataFrame) -> DataFrame:
@@ -59,7 +73,7 @@ def parse_markers(responses: DataFrame) -> DataFrame:
     Strict: text around the JSON, a missing or non-string name or value, an optional
     field of another kind, or one bad marker fails the document. An empty list is valid.
     """
-    shaped = first_choice(response_status(responses))
+    shaped = answered(responses)
     root = F.try_parse_json(F.concat(F.lit("["), F.col("content"), F.lit("]")))
     shaped = shaped.withColumn("_v", F.when(F.col("status") == "ok", root))
     variant = lambda path: F.try_variant_get("_v", path, "variant")

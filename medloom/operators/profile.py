@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions.text import parse_measure
-from medloom.operators.vault import broadcast_small
 
 LANGUAGES = ("English", "Русский")
 FIELDS = ("full_name", "birth_date", "gender", "blood_type", "height", "weight", "preferred_language")
@@ -46,5 +45,5 @@ def localize(df: DataFrame, strings: DataFrame, key: str, lang: str, out: str =
     """
     one = strings.groupBy(F.col("lang").alias("_lang"), F.col("key").alias("_key")).agg(F.min("text").alias("_text"))
     shown = F.when(F.col(lang).isin(*LANGUAGES), F.col(lang)).otherwise("English")
-    found = df.join(broadcast_small(one), (shown == F.col("_lang")) & (F.col(key) == F.col("_key")), "left")
+    found = df.join(one, (shown == F.col("_lang")) & (F.col(key) == F.col("_key")), "left")
     return found.withColumn(out, F.coalesce("_text", F.col(key))).drop("_lang", "_key", "_text")

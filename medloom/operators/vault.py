@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from medloom.functions import text as fx
 
-#: Tables of up to this many rows are broadcast; larger ones are left to the optimizer's joins.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint, if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def vault_listing(tests: DataFrame) -> DataFrame:
     """user_id, test_id, test_name, day, rank: each user's tests, newest first, ties by test_id."""
@@ -48,12 +40,12 @@ def marker_display(markers: DataFrame) -> DataFrame:
 
 def delete_tests(tests: DataFrame, markers: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the tests in ``ids`` (test_id) and their markers."""
-    gone = broadcast_small(ids.select("test_id").where("test_id IS NOT NULL").distinct())
+    gone = ids.select("test_id").where("test_id IS NOT NULL").distinct()
     return tests.join(gone, "test_id", "left_anti"), markers.join(gone, "test_id", "left_anti")
 
 
 def delete_profiles(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Profiles and their child tables without the users in ``ids``; tests do not belong to a profile and stay."""
-    gone = broadcast_small(ids.select("user_id").where("user_id IS NOT NULL").distinct())
+    gone = ids.select("user_id").where("user_id IS NOT NULL").distinct()
     owned = ("profiles", "allergies", "conditions", "weight_history")
     return {name: df.join(gone, "user_id", "left_anti") if name in owned else df for name, df in tables.items()}

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from medloom.operators.vault import broadcast_small
-
 KEY = ["doc_id", "pos"]
 
 
@@ -50,14 +48,14 @@ def _unique(dictionary: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def loinc_map(markers: DataFrame, loinc: DataFrame) -> DataFrame:
     """``markers`` with loinc_code by the lower-cased name without outer spaces; unknown names have none."""
-    codes = broadcast_small(_unique(loinc, ["name_norm"], "loinc_code"))
+    codes = _unique(loinc, ["name_norm"], "loinc_code")
     named = markers.drop("loinc_code").withColumn("name_norm", F.lower(F.trim("name")))
     return named.join(codes, "name_norm", "left").drop("name_norm")
 
 
 def lab_standard_map(markers: DataFrame, alias: DataFrame) -> DataFrame:
     """``markers`` (with provider) with lab_standard_id, which makes names of different labs comparable."""
-    ids = broadcast_small(_unique(alias, ["provider", "name"], "lab_standard_id"))
+    ids = _unique(alias, ["provider", "name"], "lab_standard_id")
     return markers.drop("lab_standard_id").join(ids, ["provider", "name"], "left")
 
 
@@ -76,8 +74,23 @@ def to_lab_tests(docs: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFr
     return tests, rows
 
 
+def _saved(tests: DataFrame, path: str) -> DataFrame | None:
+    """(test_id) of the tests below ``path``; None if there is no table yet."""
+    spark = tests.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(tests.select("test_id").schema).parquet(path)
+
+
 def save_tests(tests: DataFrame, markers: DataFrame, path: str) -> None:
-    """Append both tables below ``path``, partitioned by the year of the test."""
-    years = tests.select("test_id", F.year("date").alias("year"))
-    tests.withColumn("year", F.year("date")).write.mode("append").partitionBy("year").parquet(f"{path}/lab_tests")
-    markers.join(years, "test_id").write.mode("append").partitionBy("year").parquet(f"{path}/lab_markers")
+    """Append both tables below ``path``, partitioned by the year of the test; what is there already is not added again.
+
+    Markers are written first: a run that ends between the two tables is made good by the next.
+    """
+    years = tests.withColumn("year", F.year("date"))
+    rows = markers.join(years.select("test_id", "year"), "test_id")
+    for table, name in ((rows, "lab_markers"), (years, "lab_tests")):
+        there = _saved(tests, f"{path}/{name}")
+        new = table if there is None else table.join(there.distinct(), "test_id", "left_anti")
+        new.write.mode("append").partitionBy("year").parquet(f"{path}/{name}")

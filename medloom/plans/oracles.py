@@ -107,16 +107,19 @@ VIEWS = {
         SELECT name_norm, 'L-' || upper(name_norm[1:3]) || length(name_norm)::VARCHAR AS loinc_code
         FROM (SELECT DISTINCT lower(p_name) AS name_norm FROM part) WHERE length(name_norm) % 3 <> 0""",
     "winners": """
-        SELECT user_id, test_name, name, value, unit, reference_range
+        SELECT user_id, test_name, name, value, unit, reference_range, date, test_id, pos
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, test_name, name ORDER BY date, test_id DESC, pos DESC) AS rn
               FROM lab_markers JOIN lab_tests USING (test_id)) WHERE rn = 1""",
     "matched": """
-        SELECT question_id, q.user_id, w.test_name, w.name, w.value, w.unit, w.reference_range
+        SELECT question_id, q.user_id, w.test_name, w.name, w.value, w.unit, w.reference_range, w.date, w.test_id, w.pos
         FROM questions q JOIN winners w ON q.user_id = w.user_id
          AND len(list_filter(string_split(lower(w.name), ' '), lambda t: t <> '' AND contains(lower(q.text), t))) > 0""",
     "frags": """
-        SELECT question_id, test_name || ' — ' || name AS key,
-               value || ' ' || coalesce(unit, '') || ' (ref: ' || coalesce(reference_range, 'n/a') || ')' AS value FROM matched""",
+        SELECT question_id, key, value
+        FROM (SELECT *, row_number() OVER (PARTITION BY question_id, key ORDER BY date, test_id DESC, pos DESC) AS rn
+              FROM (SELECT question_id, coalesce(test_name, '') || ' — ' || coalesce(name, '') AS key, date, test_id, pos,
+                           coalesce(value, '') || ' ' || coalesce(unit, '') || ' (ref: ' || coalesce(reference_range, 'n/a') || ')' AS value FROM matched))
+        WHERE rn = 1""",
     "prompts": f"""
         SELECT question_id, user_id, text, coalesce(n, 0)::INT AS n_fragments,
                CASE WHEN n > 0 THEN {_q(CONSULT_PROMPT)} || chr(10) || chr(10) || {_q(HEADER)} || chr(10) || lines || chr(10) || {_q(FOOTER)}

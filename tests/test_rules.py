@@ -188,6 +188,24 @@ def test_codes_and_save(spark, lab, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/lab_markers")
     assert back.count() == 5 and {r.year for r in back.select("year").distinct().collect()} == {2020, 2021}
     assert back.where("loinc_code IS NULL AND NOT is_critical AND lab_standard_id IS NULL").count() == 5
+    # A rerun adds nothing; new tests are added to what is there.
+    verify.save_tests(saved, rows, str(tmp_path))
+    more = [df.withColumn("test_id", F.concat(F.lit("new "), "test_id")) for df in (saved, rows)]
+    verify.save_tests(saved.unionByName(more[0]), rows.unionByName(more[1]), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/lab_markers").count() == 10
+    assert spark.read.parquet(f"{tmp_path}/lab_tests").count() == 2 * saved.count()
+
+
+def test_pairs_that_make_one_key(spark):
+    """A name with the sign between test and marker in it: the oldest test's value holds. Nulls count as empty."""
+    day = lambda n: dt.datetime(2020, 1, n)
+    tests = spark.createDataFrame([("t1", 1, day(2), "p", "A — B", None, None), ("t2", 1, day(1), "p", "A", None, None), ("t3", 1, day(3), "p", None, None, None)], schemas.LAB_TESTS)
+    rows = [("t1", 0, "C", "1"), ("t2", 0, "B — C", "2"), ("t3", 0, "C", None)]
+    markers = spark.createDataFrame(rows, "test_id string, pos int, name string, value string").withColumns({c: F.lit(None).cast("string") for c in ("unit", "reference_range")})
+    questions = spark.createDataFrame([(7, 1, "what of C and b?")], "question_id long, user_id long, text string")
+    for prefer, value in (("oldest", "2"), ("latest", "1")):
+        got = consult.context_fragments(questions, tests, markers, prefer).orderBy("key").collect()
+        assert [(r.key, r.value) for r in got] == [(" — C", "  (ref: n/a)"), ("A — B — C", f"{value}  (ref: n/a)")]
 
 
 def test_profiles(spark):
