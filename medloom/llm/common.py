@@ -45,8 +45,10 @@ def packed(df: DataFrame, *more: Column) -> DataFrame:
 
 
 def unpacked(df: DataFrame, columns: list[str], *more: Column | str) -> DataFrame:
-    """The user's columns out of ``USER``, then others."""
-    return df.select(*[mine(c).alias(c) for c in columns], *more)
+    """The user's columns out of ``USER``, then others, which are made first: names of the user mean nothing in them."""
+    if more:
+        df = df.select(USER, *more)
+    return df.select(*[mine(c).alias(c) for c in columns], *[F.col(quoted(c)) for c in df.columns[1:] if more])
 
 
 def quoted(name: str) -> str:

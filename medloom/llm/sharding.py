@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, packed, quoted, ranked, unpacked
 
 #: Bits that one round resolves, of each of the two 64-bit parts of the key.
 ROUND_BITS = 8
@@ -100,19 +100,24 @@ def shard(rows: DataFrame, n_shards: int = 8, group_col: str = "group", id_col:
     never cut. A null id sorts as the smallest. An empty table gives an empty result.
     """
     scratch = Scratch(rows.sparkSession, "shards")
-    key = {"_group": F.coalesce(F.col(group_col), F.lit(0)).cast("long"), "_id": F.coalesce(F.col(id_col), F.lit(_TOP)).cast("long")}
-    thin = scratch.keep(rows.select(key["_group"].alias("_group"), key["_id"].alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).alias("size")))
+    group, at = F.coalesce(F.col(quoted(group_col)), F.lit(0)).cast("long"), F.coalesce(F.col(quoted(id_col)), F.lit(_TOP)).cast("long")
+    thin = scratch.keep(rows.select(group.alias("_group"), at.alias("_id"), F.coalesce(F.col(quoted(size_col)), F.lit(0)).alias("size")))
     cuts = splitters(thin, n_shards, tolerance)
     scratch.drop(thin)
     after = F.lit(0)
-    for group, at in cuts:
-        after = after + ((F.col("_group") > group) | (F.col("_group") == group) & (F.col("_id") >= at)).cast("int")
-    out = rows.withColumns(key).withColumn("shard", after)
-    return ranked(scratch, out, F.col("_group"), F.col("_id"), within="shard", name="slot").drop("_group", "_id")
+    for cut_group, cut_id in cuts:
+        after = after + ((F.col("_group") > cut_group) | (F.col("_group") == cut_group) & (F.col("_id") >= cut_id)).cast("int")
+    out = packed(rows, group.alias("_group"), at.alias("_id")).withColumn("shard", after)
+    out = ranked(scratch, out, F.col("_group"), F.col("_id"), within="shard", name="slot")
+    return unpacked(out, [c for c in rows.columns if c.lower() not in ("shard", "slot")], "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns and size (UTF-8 bytes of the text plus 1), group, shard, slot. Null text: no bytes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "group": F.xxhash64(text)})
+    """``docs`` with its columns and size (UTF-8 bytes of the text plus 1), group, shard, slot. Null text: no bytes.
+
+    Columns of ``docs`` may have any name; those named like these four are replaced.
+    """
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in ("size", "group")]
+    rows = docs.select(*kept, (F.octet_length(text).cast("long") + 1).alias("size"), F.xxhash64(text).alias("group"))
     return shard(rows, n_shards, "group", id_col, "size")
