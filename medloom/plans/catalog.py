@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from medloom import schemas
 from medloom.functions import text as fx
 from medloom.operators import consult, extract, ingest, profile, textprep, vault, verify
 from medloom.plans.oracles import ORACLES  # noqa: F401
+from medloom.sources import tables
 from medloom.sources.standin import StandIn
 from medloom.sources.strings import strings
 
@@ -21,21 +24,32 @@ def query(build: Callable[[StandIn], DataFrame]) -> Callable[[StandIn], DataFram
     return build
 
 
+def _read_back(df: DataFrame, name: str, schema: T.StructType, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """``df`` written to files of the schema and read by ``read``, in the types of ``df``."""
+    path = tables.landing(df.sparkSession, name)
+    tables.as_schema(df, schema).write.parquet(path)
+    return read(df.sparkSession, path).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema])
+
+
 @query
 def read_ocr_pages(s: StandIn) -> DataFrame:
-    return ingest.page_texts(s.ocr_pages)
+    return _read_back(s.ocr_pages, "ocr_pages", schemas.OCR_PAGES, tables.read_ocr_pages)
 
 
 @query
 def read_llm_responses(s: StandIn) -> DataFrame:
-    return s.llm_responses
+    return _read_back(s.llm_responses, "llm_responses", schemas.LLM_RESPONSES, tables.read_llm_responses)
 
 
 @query
 def save_tests(s: StandIn) -> DataFrame:
+    """Saved twice: the rerun adds nothing."""
     docs = s.lab_tests.withColumnRenamed("test_id", "doc_id")
     tests, markers = verify.to_lab_tests(docs, s.markers_by_doc)
-    return markers.join(tests.select("test_id", F.year("date").alias("year")), "test_id")
+    path = tables.landing(s.spark, "vault")
+    for _ in range(2):
+        verify.save_tests(tests, markers, path)
+    return tables.read_table(s.spark, f"{path}/lab_markers", T.StructType([*markers.schema.fields, T.StructField("year", T.IntegerType())]))
 
 
 @query

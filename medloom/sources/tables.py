@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medloom import schemas
@@ -27,3 +31,16 @@ def read_llm_responses(spark: SparkSession, path: str, fmt: str = "parquet") ->
 
 def write_requests(requests: DataFrame, path: str, fmt: str = "parquet") -> None:
     requests.write.mode("append").format(fmt).save(path)
+
+
+def landing(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one for a session on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='medloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``df`` that the schema names, in its types."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns])
