@@ -54,7 +54,7 @@ def test_stretches_do_not_touch(codec):
     for text in texts():
         whole = PieceCodec._marked(text)
         if whole:
-            assert codec.merged(whole) == list(codec.encode(text))[1:-1]
+            assert codec.merged(whole) == codec.merged_short(whole) == list(codec.encode(text))[1:-1]
 
 
 def test_forgotten_stretches_are_worked_out_anew(library):
@@ -101,6 +101,15 @@ def test_a_difference_is_not_kept(codec):
         codec.check(["some text", "another"], ids)
     with pytest.raises(Mismatch):
         codec.check(["some text"], ids[:1], ["some texts"])
+    with open(MODEL, "rb") as file:
+        wrong = PieceCodec(file.read())
+    wrong.encode("a  few words ▁ \n  ")
+    wrong.check_new()
+    assert wrong.stretches.new == []
+    wrong.scores = {piece: score for piece, score in wrong.scores.items() if len(piece) <= 2}
+    wrong.encode("words worth")
+    with pytest.raises(Mismatch):
+        wrong.check_new()
 
 
 def test_query(spark, library, tmp_path):
