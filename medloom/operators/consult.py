@@ -14,6 +14,8 @@ DISCLAIMER = "This is a data summary, not medical advice. Consult a licensed phy
 CONSULT_PROMPT = f'You organise health data. Use the fragments only, never diagnose, and always add: "{DISCLAIMER}"'
 #: Words of a diagnosis or a prescription.
 STOP_WORDS = ["diagnos", "you have", "prescri", "диагноз"]
+#: Talk of causes, and the wording that it needs.
+CAUSES, WORDINGS = ["cause", "причин"], ["possible cause", "возможные причины", "возможных причин", "возможная причина", "возможной причин"]
 
 
 def nonblank_questions(questions: DataFrame) -> DataFrame:
@@ -49,6 +51,55 @@ def context_match(questions: DataFrame, named: DataFrame) -> DataFrame:
     return asked.join(named, "user_id").where(fx.mentions(F.col("question"), F.col("name")))
 
 
+#: Characters of a gram of the index; shorter parts of names are grams themselves.
+GRAM = 3
+
+
+def question_grams(questions: DataFrame) -> DataFrame:
+    """question_id, user_id, gram: the distinct substrings of up to ``GRAM`` characters of each lower-cased question."""
+    low = F.lower("text")
+    of_size = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.char_length(low)), lambda i: i <= F.char_length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*[of_size(n) for n in range(1, GRAM + 1)]))
+    return questions.where("user_id IS NOT NULL AND text <> ''").select("question_id", "user_id", F.explode(grams).alias("gram"))
+
+
+def name_postings(named: DataFrame, grams: DataFrame) -> DataFrame:
+    """user_id, name, part, gram: each part of a user's names under the gram of it that the fewest questions have. Parts with a gram that no question has are left out."""
+    names = named.where("user_id IS NOT NULL").select("user_id", "name").distinct()
+    parts = names.select("user_id", "name", F.explode(F.array_distinct(fx.name_tokens(F.col("name")))).alias("part"))
+    size = F.least(F.char_length("part"), F.lit(GRAM))
+    cut = F.transform(F.sequence(F.lit(1), F.char_length("part") - size + 1), lambda i: F.substring(F.col("part"), i, size))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = parts.select("part").distinct().select("part", F.explode(F.array_distinct(cut)).alias("gram")).join(counts, "gram", "left")
+    best = own.groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).where("best.n > 0")
+    return parts.join(best.select("part", "best.gram"), "part").select("user_id", "name", "part", "gram")
+
+
+def match_candidates(questions: DataFrame, named: DataFrame) -> DataFrame:
+    """question_id, user_id, name, part, matched: pairs of a question and a part of a name of its user that share the part's rarest gram, and whether the part is there."""
+    grams = question_grams(questions)
+    met = grams.join(name_postings(named, grams), ["user_id", "gram"]).select("question_id", "user_id", "name", "part")
+    asked = questions.select("question_id", F.lower("text").alias("_question")).groupBy("question_id").agg(F.min("_question").alias("_question"))
+    return met.join(asked, "question_id").withColumn("matched", F.contains("_question", F.col("part"))).drop("_question")
+
+
+def indexed_match(questions: DataFrame, named: DataFrame) -> DataFrame:
+    """As ``context_match``, by an index of grams: rows of ``named`` with the question_id that mentions them.
+
+    Questions and names meet on user and gram instead of the user alone, so an account
+    that many people share, with many names and questions, is dealt out over many keys.
+    What meets is verified. A question_id stands for one question.
+    """
+    hits = match_candidates(questions, named).where("matched").select("question_id", "user_id", "name").distinct()
+    return hits.join(named, ["user_id", "name"])
+
+
+def match_report(questions: DataFrame, named: DataFrame) -> DataFrame:
+    """part, n_candidates, n_matches: how often each part of a name was met and found; short parts are found in most questions."""
+    found = F.count_if("matched").alias("n_matches")
+    return match_candidates(questions, named).groupBy("part").agg(F.count(F.lit(1)).alias("n_candidates"), found)
+
+
 def context_fragments(questions: DataFrame, tests: DataFrame, markers: DataFrame, prefer: str = "oldest") -> DataFrame:
     """question_id, key, value: what each question's user has stored about it, one row for each key.
 
@@ -100,8 +151,15 @@ def chat_log(questions: DataFrame, replies: DataFrame, welcome: DataFrame) -> Da
 
 
 def reply_compliance(replies: DataFrame, stop_words: list[str] | None = None, disclaimer: str = DISCLAIMER, text: str = "text") -> DataFrame:
-    """``replies`` with has_stop_word, has_disclaimer and compliant."""
-    low = F.lower(F.col(text))
+    """``replies`` with has_stop_word, has_disclaimer, careful and compliant.
+
+    A reply is careful if it names no causes, or names them as possible ones each time that it
+    does. It complies if it is careful, has the disclaimer and no stop word. A null reply
+    has nothing and does not comply.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    times = lambda words: sum((F.regexp_count(low, F.lit(w)) for w in words), F.lit(0))
     stops = F.exists(F.array(*[F.lit(w) for w in (stop_words or STOP_WORDS)]), lambda w: F.contains(low, w))
-    has = F.contains(F.col(text), F.lit(disclaimer))
-    return replies.withColumns({"has_stop_word": stops, "has_disclaimer": has}).withColumn("compliant", ~F.col("has_stop_word") & F.col("has_disclaimer"))
+    has = F.contains(F.coalesce(F.col(text), F.lit("")), F.lit(disclaimer))
+    out = replies.withColumns({"has_stop_word": stops, "has_disclaimer": has, "careful": times(CAUSES) <= times(WORDINGS)})
+    return out.withColumn("compliant", ~F.col("has_stop_word") & F.col("has_disclaimer") & F.col("careful"))

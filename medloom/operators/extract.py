@@ -112,12 +112,25 @@ def marker_rows(parsed: DataFrame, keep_empty: bool = False) -> DataFrame:
     return parsed.select("doc_id", explode("markers").alias("pos", "m")).select("doc_id", "pos", "m.name", "m.value", "m.unit", "m.reference_range", "m.flag")
 
 
+def one_answer(parsed: DataFrame) -> DataFrame:
+    """doc_id, markers, error_text: one row for each document of ``parse_markers``.
+
+    A decoded response goes before a failed one, a larger request_id before a smaller, so a
+    retry that worked replaces the failure.
+    """
+    request = F.col("request_id") if "request_id" in parsed.columns else F.lit("")
+    order = F.struct(F.col("markers").isNotNull(), request, F.xxhash64("markers", "error_text"))
+    last = F.max_by(F.struct("markers", "error_text"), order)
+    return parsed.groupBy("doc_id").agg(last.alias("a")).select("doc_id", "a.*")
+
+
 def extraction_outcome(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     """Each document with its markers; a failed one has none, and its error before its original text.
 
-    A document without a response failed too.
+    A document without a response failed too. Of several responses of one document one is
+    taken, see ``one_answer``.
     """
-    answers = parsed.select("doc_id", "markers", "error_text", F.lit(True).alias("_answered"))
+    answers = one_answer(parsed).withColumn("_answered", F.lit(True))
     out = docs.join(answers, "doc_id", "left")
     error = F.when(F.col("_answered").isNull(), "Invalid response from server.").otherwise(F.col("error_text"))
     # The lines around the error and the text.

@@ -53,3 +53,9 @@ def assemble_pages(pages: DataFrame, kind: str = "image") -> DataFrame:
 def nonempty_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with a text that is not empty; white space counts as text."""
     return docs.where(F.length(text) > 0)
+
+
+def page_report(pages: DataFrame, max_pages: int = 500, max_chars: int = 5_000_000) -> DataFrame:
+    """doc_id, n_pages, n_chars, oversize: what ``assemble_pages`` would put together for each document. Nothing is left out for its size; oversize ones may be looked at first."""
+    sizes = page_texts(pages).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.char_length("text")).alias("n_chars"))
+    return sizes.withColumn("oversize", (F.col("n_pages") > max_pages) | (F.col("n_chars") > max_chars))

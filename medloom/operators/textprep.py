@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medloom.operators import names
+
 #: Frequent words of each language; the first language wins a tie.
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "with", "for", "was"],
@@ -59,12 +61,14 @@ def redact(col: Column) -> Column:
     return F.regexp_replace(out, PHONE, "$1[PHONE]$3")
 
 
-def redact_pii(docs: DataFrame, profiles: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (with user_id) with its text redacted, the user's own name too. Documents of unknown users stay."""
-    names = profiles.select("user_id", F.nullif("full_name", F.lit("")).alias("_name"))
-    named = docs.join(names, "user_id", "left")
-    own = F.when(F.col("_name").isNull(), F.col(text)).otherwise(F.replace(F.col(text), F.col("_name"), F.lit("[NAME]")))
-    return named.withColumn(text, redact(own)).drop("_name")
+def redact_pii(docs: DataFrame, profiles: DataFrame, people: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """``docs`` (doc_id, user_id, ..) with its text redacted: contact data, the user's own names however written, names of ``people``.
+
+    See ``names.with_name_spans`` for what counts as a name. One row for each row, also where a user has several profiles.
+    """
+    contacts = docs.withColumn(text, redact(F.col(text)))
+    found = names.with_name_spans(contacts, profiles, people, text)
+    return found.withColumn(text, names.masked(F.col(text))).drop("_segs", "_spans")
 
 
 def pii_hits(col: Column) -> Column:

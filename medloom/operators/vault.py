@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medloom import schemas
 from medloom.functions import text as fx
+from medloom.operators import store
 
 
 def vault_listing(tests: DataFrame) -> DataFrame:
@@ -44,6 +46,11 @@ def delete_tests(tests: DataFrame, markers: DataFrame, ids: DataFrame) -> tuple[
     return tests.join(gone, "test_id", "left_anti"), markers.join(gone, "test_id", "left_anti")
 
 
+def delete_saved_tests(spark: SparkSession, ids: DataFrame, path: str) -> list[str]:
+    """Delete the tests of ``ids`` (test_id) and their markers from the tables below ``path``; only files that hold some are rewritten. See ``store.delete``."""
+    return store.delete(spark, ids, path, schemas.LAB_TESTS, schemas.LAB_MARKERS)
+
+
 def delete_profiles(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Profiles and their child tables without the users in ``ids``; tests do not belong to a profile and stay."""
     gone = ids.select("user_id").where("user_id IS NOT NULL").distinct()

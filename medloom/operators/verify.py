@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from medloom.operators import store
+from medloom.operators.similarity import BOUND, similar_names
+
 KEY = ["doc_id", "pos"]
 
 
@@ -35,10 +38,11 @@ def apply_corrections(markers: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def needs_review(markers: DataFrame) -> DataFrame:
-    """``markers`` with needs_review: no standard code, a blank name or value, or a flag outside its domain."""
+    """``markers`` with needs_review: no standard code (also of an ambiguous name), a blank name or value, a flag outside its domain, or an unusual value if that column of ``ranges.unusual_values`` is there."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     flag = F.col("flag").isNotNull() & ~F.col("flag").isin("High", "Low", "Normal")
-    return markers.withColumn("needs_review", F.col("loinc_code").isNull() | blank("name") | blank("value") | flag)
+    unusual = F.col("unusual") if "unusual" in markers.columns else F.lit(False)
+    return markers.withColumn("needs_review", F.col("loinc_code").isNull() | blank("name") | blank("value") | flag | unusual)
 
 
 def _unique(dictionary: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -46,11 +50,35 @@ def _unique(dictionary: DataFrame, keys: list[str], value: str) -> DataFrame:
     return dictionary.groupBy(*keys).agg(F.min(value).alias(value))
 
 
-def loinc_map(markers: DataFrame, loinc: DataFrame) -> DataFrame:
-    """``markers`` with loinc_code by the lower-cased name without outer spaces; unknown names have none."""
+#: A similar name is ambiguous if a name of another code comes this close to it.
+MARGIN = 0.05
+
+
+def loinc_map(markers: DataFrame, loinc: DataFrame, bound: float | None = BOUND, margin: float = MARGIN) -> DataFrame:
+    """``markers`` with loinc_code and loinc_match: exact, similar, ambiguous or none.
+
+    The lower-cased name without outer spaces is looked up first. A name that is not there
+    takes the code of the most similar one (``similarity.similar_names``, from ``bound`` on; None
+    looks up only), unless a name of another code is as similar but for ``margin``: then it
+    has no code and is left to the reviewer. Each distinct name is compared once,
+    however many markers have it.
+    """
     codes = _unique(loinc, ["name_norm"], "loinc_code")
-    named = markers.drop("loinc_code").withColumn("name_norm", F.lower(F.trim("name")))
-    return named.join(codes, "name_norm", "left").drop("name_norm")
+    named = markers.drop("loinc_code", "loinc_match").withColumn("name_norm", F.lower(F.trim("name")))
+    table = codes.withColumn("loinc_match", F.lit("exact"))
+    if bound is not None:
+        unknown = named.select("name_norm").distinct().join(codes, "name_norm", "left_anti")
+        pairs = similar_names(unknown.select(F.col("name_norm").alias("name")), codes.select(F.col("name_norm").alias("other")), bound)
+        rated = pairs.join(codes.withColumnRenamed("name_norm", "other"), "other").groupBy("name", "loinc_code").agg(F.max("similarity").alias("similarity"))
+        best = Window.partitionBy("name").orderBy(F.col("similarity").desc(), "loinc_code")
+        rated = rated.withColumns({"_rank": F.row_number().over(best), "_next": F.lead("similarity").over(best)}).where("_rank = 1")
+        close = F.coalesce(F.col("_next") >= F.col("similarity") - margin, F.lit(False))
+        found = rated.select(
+            F.col("name").alias("name_norm"), F.when(~close, F.col("loinc_code")).alias("loinc_code"), F.when(close, "ambiguous").otherwise("similar").alias("loinc_match")
+        )
+        table = table.unionByName(found)
+    out = named.join(table, "name_norm", "left").drop("name_norm")
+    return out.withColumn("loinc_match", F.coalesce("loinc_match", F.lit("none")))
 
 
 def lab_standard_map(markers: DataFrame, alias: DataFrame) -> DataFrame:
@@ -59,38 +87,22 @@ def lab_standard_map(markers: DataFrame, alias: DataFrame) -> DataFrame:
     return markers.drop("lab_standard_id").join(ids, ["provider", "name"], "left")
 
 
-def to_lab_tests(docs: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def to_lab_tests(docs: DataFrame, markers: DataFrame, codes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Test and marker tables of confirmed documents (doc_id, user_id, date, provider, test_name).
 
-    The test's id is a hash of its document, so a rerun saves the same rows.
+    The test's id is a hash of its document, so a rerun saves the same rows. With ``codes``
+    the loinc_code of the markers is kept.
     """
     test_id = F.sha2(F.col("doc_id"), 256).alias("test_id")
     none = F.lit(None).cast("string")
     tests = docs.select(test_id, "user_id", "date", "provider", "test_name", none.alias("sample_type"), none.alias("method"))
     rows = markers.select(
-        test_id, "pos", "name", none.alias("loinc_code"), "value", "unit", "reference_range", "flag",
+        test_id, "pos", "name", (F.col("loinc_code") if codes else none).alias("loinc_code"), "value", "unit", "reference_range", "flag",
         F.lit(False).alias("is_critical"), none.alias("lab_standard_id"),
     )
     return tests, rows
 
 
-def _saved(tests: DataFrame, path: str) -> DataFrame | None:
-    """(test_id) of the tests below ``path``; None if there is no table yet."""
-    spark = tests.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.schema(tests.select("test_id").schema).parquet(path)
-
-
 def save_tests(tests: DataFrame, markers: DataFrame, path: str) -> None:
-    """Append both tables below ``path``, partitioned by the year of the test; what is there already is not added again.
-
-    Markers are written first: a run that ends between the two tables is made good by the next.
-    """
-    years = tests.withColumn("year", F.year("date"))
-    rows = markers.join(years.select("test_id", "year"), "test_id")
-    for table, name in ((rows, "lab_markers"), (years, "lab_tests")):
-        there = _saved(tests, f"{path}/{name}")
-        new = table if there is None else table.join(there.distinct(), "test_id", "left_anti")
-        new.write.mode("append").partitionBy("year").parquet(f"{path}/{name}")
+    """Append both tables below ``path`` in one change, partitioned by the year of the test; what is there already is not added again. See ``store.save``."""
+    store.save(tests, markers, path)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from medloom import schemas
 from medloom.functions import text as fx
-from medloom.operators import consult, extract, ingest, profile, textprep, vault, verify
+from medloom.operators import consult, extract, ingest, names, profile, ranges, standard, textprep, vault, verify, workflow
 from medloom.plans.oracles import ORACLES  # noqa: F401
 from medloom.sources import tables
 from medloom.sources.standin import StandIn
@@ -52,6 +52,42 @@ def save_tests(s: StandIn) -> DataFrame:
     return tables.read_table(s.spark, f"{path}/lab_markers", T.StructType([*markers.schema.fields, T.StructField("year", T.IntegerType())]))
 
 
+def _saved(s: StandIn) -> str:
+    """A store with the tests of all orders."""
+    tests, markers = verify.to_lab_tests(s.lab_tests.withColumnRenamed("test_id", "doc_id"), s.markers_by_doc)
+    path = tables.landing(s.spark, "vault")
+    verify.save_tests(tests, markers, path)
+    return path
+
+
+@query
+def delete_saved_tests(s: StandIn) -> DataFrame:
+    """Saved to files, then the deleted ones taken out of these."""
+    path = _saved(s)
+    vault.delete_saved_tests(s.spark, s.deleted_ids.select(F.sha2("test_id", 256).alias("test_id")), path)
+    tests, markers = (tables.read_saved(s.spark, path, name) for name in ("lab_tests", "lab_markers"))
+    return tests.select("test_id", "year").join(markers.select("test_id", "pos", "name"), "test_id", "left")
+
+
+@query
+def scan_requests(s: StandIn) -> DataFrame:
+    """From OCR lines to what is sent."""
+    _, requests = workflow.scan_requests(s.ocr_candidates, s.owners, s.patients)
+    return requests.select("doc_id", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query
+def scan_to_saved(s: StandIn) -> DataFrame:
+    """From OCR lines to saved tests: captured, answered, corrected, coded, saved to files and read back."""
+    docs, _ = workflow.scan_requests(s.ocr_candidates, s.owners, s.patients)
+    path = tables.landing(s.spark, "vault")
+    for _ in range(2):
+        workflow.save_answers(docs, s.llm_responses, s.corrections, s.confirmations, s.loinc_dict, path)
+    tests, markers = (tables.read_saved(s.spark, path, name) for name in ("lab_tests", "lab_markers"))
+    columns = ["pos", "name", "loinc_code", "value", "unit", "reference_range", "flag"]
+    return tests.select("test_id", "user_id", "test_name", "year").join(markers.select("test_id", *columns), "test_id", "left")
+
+
 @query
 def extraction_requests(s: StandIn) -> DataFrame:
     return extract.extraction_requests(s.ocr_text)
@@ -105,7 +141,7 @@ def medical_doc_gate(s: StandIn) -> DataFrame:
 
 @query
 def needs_review(s: StandIn) -> DataFrame:
-    return verify.needs_review(verify.loinc_map(s.lab_markers, s.loinc_dict)).select("test_id", "pos", "loinc_code", "needs_review")
+    return verify.needs_review(verify.loinc_map(s.lab_markers, s.loinc_dict, bound=None)).select("test_id", "pos", "loinc_code", "needs_review")
 
 
 @query
@@ -116,8 +152,9 @@ def sensitive_routing(s: StandIn) -> DataFrame:
 @query
 def reply_compliance(s: StandIn) -> DataFrame:
     tail = F.when(F.col("turn") % 3 == 0, F.lit(f" {consult.DISCLAIMER}")).otherwise(" you have")
-    replies = s.chat_turns.where("role = 'assistant'").withColumn("text", F.concat("text", tail))
-    return consult.reply_compliance(replies).select("conv_id", "turn", "has_stop_word", "has_disclaimer", "compliant")
+    causes = F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 3 == 1, " Possible causes: rest.").otherwise(" The cause of possible causes.")
+    replies = s.chat_turns.where("role = 'assistant'").withColumn("text", F.concat("text", causes, tail))
+    return consult.reply_compliance(replies).select("conv_id", "turn", "has_stop_word", "has_disclaimer", "careful", "compliant")
 
 
 @query
@@ -125,10 +162,18 @@ def test_markers(s: StandIn) -> DataFrame:
     return vault.test_markers(s.nested_tests).select("test_id", "user_id", "test_name", "pos", "name", "value", "unit", "reference_range", "flag")
 
 
+def _winners(s: StandIn) -> DataFrame:
+    return consult.winning_markers(s.lab_tests, s.lab_markers, users=s.questions.where("user_id IS NOT NULL"))
+
+
 @query
 def context_match(s: StandIn) -> DataFrame:
-    winners = consult.winning_markers(s.lab_tests, s.lab_markers)
-    return consult.context_match(s.questions, winners).select("question_id", "user_id", "test_name", "name")
+    return consult.indexed_match(s.questions, _winners(s)).select("question_id", "user_id", "test_name", "name")
+
+
+@query
+def match_report(s: StandIn) -> DataFrame:
+    return consult.match_report(s.questions, _winners(s)).where("n_matches > 0").select("part", "n_matches")
 
 
 @query
@@ -172,7 +217,7 @@ def localize(s: StandIn) -> DataFrame:
 
 @query
 def loinc_map(s: StandIn) -> DataFrame:
-    return verify.loinc_map(s.lab_markers, s.loinc_dict).select("test_id", "pos", "name", "loinc_code")
+    return verify.loinc_map(s.spelt_markers, s.loinc_dict).select("test_id", "pos", "name", "loinc_code", "loinc_match")
 
 
 @query
@@ -181,6 +226,28 @@ def lab_standard_map(s: StandIn) -> DataFrame:
     return verify.lab_standard_map(markers, s.lab_alias).select("test_id", "pos", "provider", "name", "lab_standard_id")
 
 
+@query
+def standard_markers(s: StandIn) -> DataFrame:
+    """Ids from what laboratories say of their names, not from a dictionary."""
+    ids = standard.standard_ids(standard.alias_links(s.code_claims, s.name_aliases), tables.landing(s.spark, "standard"))
+    markers = s.lab_markers.join(s.lab_tests.select("test_id", "provider"), "test_id")
+    return standard.standard_markers(markers, ids).select("test_id", "pos", "provider", "name", "lab_standard_id")
+
+
+@query
+def unusual_values(s: StandIn) -> DataFrame:
+    """Two batches are sketched by themselves; their merged sketches give the ranges."""
+    coded = verify.loinc_map(s.measured, s.loinc_dict, bound=None)
+    batches = [ranges.value_sketches(coded.where(F.col("pos") % 2 == k)) for k in (0, 1)]
+    limits = ranges.value_ranges(ranges.merged_sketches(batches[0].unionAll(batches[1])), min_values=50)
+    return ranges.unusual_values(coded, limits).select("test_id", "pos", "value", "unusual")
+
+
+@query
+def page_report(s: StandIn) -> DataFrame:
+    return ingest.page_report(s.ocr_pages, max_pages=8)
+
+
 @query
 def assemble_pages(s: StandIn) -> DataFrame:
     return ingest.assemble_pages(s.ocr_pages)
@@ -311,5 +378,9 @@ def key_zones(s: StandIn) -> DataFrame:
 
 @query
 def redact_pii(s: StandIn) -> DataFrame:
-    named = s.ocr_text.withColumn("text", F.concat("text", F.lit(" Customer#00000000"), F.col("user_id").cast("string")))
-    return textprep.redact_pii(named, s.profiles).select("doc_id", "user_id", F.sha2("text", 256).alias("text_sha256"))
+    return textprep.redact_pii(s.letters, s.patients, s.staff).select("doc_id", "user_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def name_spans(s: StandIn) -> DataFrame:
+    return names.name_spans(s.letters, s.patients, s.staff)

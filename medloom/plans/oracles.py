@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from medloom.operators.consult import CONSULT_PROMPT, DISCLAIMER, FOOTER, HEADER, STOP_WORDS
 from medloom.operators.extract import EXTRACTION_PROMPT
 from medloom.operators.textprep import ADDRESS, EMAIL, PHONE, RESULT_LINE
@@ -44,6 +46,42 @@ VIEWS = {
                      CASE WHEN event_id % 11 <> 0 THEN props END AS text, value AS confidence FROM events)
         WHERE text IS NOT NULL GROUP BY ALL""",
     "ocr_text": "SELECT doc_id::VARCHAR AS doc_id, doc_id % 97 AS user_id, text FROM documents",
+    "patients": """
+        SELECT user_id, upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:] AS full_name
+        FROM (SELECT c_custkey AS user_id, c_custkey AS k FROM customer UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 10 = 0)
+        JOIN (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) ON k = p_partkey""",
+    "staff": """
+        SELECT upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:] AS full_name
+        FROM supplier JOIN (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) ON s_suppkey = p_partkey - 50""",
+    "letters": """
+        SELECT doc_id, user_id, text || ' ' || CASE k % 7 WHEN 0 THEN f || ' ' || l WHEN 1 THEN upper(l) || ', ' || f WHEN 2 THEN lower(f || '-' || l) WHEN 3 THEN 'dear ' || l || ':'
+               WHEN 4 THEN l || ' writes. ' || f WHEN 5 THEN 'Dr. ' || f || ' ' || l ELSE f[1] || '. ' || l END || '.' AS text
+        FROM (SELECT *, doc_id::BIGINT AS k, CASE WHEN doc_id::BIGINT % 7 > 4 THEN 50 + doc_id::BIGINT % 10 ELSE user_id END AS p FROM ocr_text)
+        JOIN (SELECT p_partkey, upper(w[1][1]) || w[1][2:] AS f, upper(w[2][1]) || w[2][2:] AS l FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)) ON p = p_partkey""",
+    # Segments of the letters, matches as rows, islands by running sums.
+    "segs": r"""
+        SELECT doc_id, user_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS k
+        FROM (SELECT doc_id, user_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+') AS ss FROM contacts)""",
+    "own_words": r"SELECT DISTINCT user_id, lower(unnest(regexp_extract_all(full_name, '[\p{L}\p{M}\p{N}]+'))) AS w FROM patients",
+    "staff_pairs": r"""
+        SELECT DISTINCT a, b FROM (
+            SELECT unnest([x, x[1], x]) AS a, unnest([y, y, y[1]]) AS b FROM (
+                SELECT DISTINCT lower(w[1]) AS x, lower(w[2]) AS y FROM (SELECT regexp_extract_all(full_name, '[\p{L}\p{M}\p{N}]+') AS w FROM staff)
+                UNION SELECT DISTINCT lower(w[2]), lower(w[1]) FROM (SELECT regexp_extract_all(full_name, '[\p{L}\p{M}\p{N}]+') AS w FROM staff)))
+        WHERE greatest(length(a), length(b)) >= 3""",
+    "name_hits": r"""
+        SELECT doc_id, k FROM segs JOIN own_words ON segs.user_id = own_words.user_id AND lower(s) = w
+        UNION SELECT doc_id, unnest([k, k + 2]) FROM (
+            SELECT *, lead(s) OVER o AS gap, lead(s, 2) OVER o AS s2 FROM segs WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+        ) JOIN staff_pairs ON a = lower(s) AND b = lower(s2)
+        WHERE regexp_matches(s, '^\p{Lu}') AND regexp_matches(s2, '^\p{Lu}') AND regexp_matches(gap, '^[ \t\n\r]{0,4}[,.''’-]?[ \t\n\r]{0,4}$')""",
+    "islands": r"""
+        SELECT doc_id, min(k) AS first, max(k) AS last FROM (
+            SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM (
+                SELECT h.doc_id, h.k, segs.s,
+                       (h.k - lag(h.k) OVER (PARTITION BY h.doc_id ORDER BY h.k) IS DISTINCT FROM 2 OR NOT regexp_matches(g.s, '^[ \t\n\r]{0,4}[,.''’-]?[ \t\n\r]{0,4}$'))::INT AS fresh
+                FROM name_hits h JOIN segs ON h.doc_id = segs.doc_id AND h.k = segs.k LEFT JOIN segs g ON h.doc_id = g.doc_id AND g.k = h.k - 1))
+        GROUP BY doc_id, island HAVING max(length(s)) >= 3""",
     "llm_responses": """
         SELECT 'r' || test_id AS request_id, test_id AS doc_id,
                CASE test_id::BIGINT % 20 WHEN 0 THEN 401 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 500 ELSE 200 END AS http_status,
@@ -106,6 +144,29 @@ VIEWS = {
     "loinc_dict": """
         SELECT name_norm, 'L-' || upper(name_norm[1:3]) || length(name_norm)::VARCHAR AS loinc_code
         FROM (SELECT DISTINCT lower(p_name) AS name_norm FROM part) WHERE length(name_norm) % 3 <> 0""",
+    "spelt": """
+        SELECT * REPLACE (CASE pos % 4 WHEN 1 THEN upper(name) || ' ' WHEN 2 THEN name[1] || name[3:] WHEN 3 THEN name || 'x' ELSE name END AS name) FROM lab_markers""",
+    # Every unknown name with every known one.
+    "name_pairs": """
+        SELECT n, code, max(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h)))) AS sim FROM (
+            SELECT n, list_distinct(list_transform(range(1, length(n) + 2), lambda i: (chr(1) || n || chr(1))[i:i + 1])) AS g
+            FROM (SELECT DISTINCT lower(trim(name)) AS n FROM spelt WHERE lower(trim(name)) NOT IN (SELECT name_norm FROM loinc_dict) AND trim(name) <> '')
+        ), (SELECT loinc_code AS code, list_distinct(list_transform(range(1, length(name_norm) + 2), lambda i: (chr(1) || name_norm || chr(1))[i:i + 1])) AS h FROM loinc_dict)
+        WHERE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) >= 0.7 GROUP BY ALL""",
+    "name_codes": """
+        SELECT name_norm, loinc_code, 'exact' AS loinc_match FROM loinc_dict
+        UNION ALL SELECT n, CASE WHEN close THEN NULL ELSE code END, CASE WHEN close THEN 'ambiguous' ELSE 'similar' END FROM (
+            SELECT n, code, coalesce(lead(sim) OVER w >= sim - 0.05, false) AS close, row_number() OVER w AS r FROM name_pairs WINDOW w AS (PARTITION BY n ORDER BY sim DESC, code)
+        ) WHERE r = 1""",
+    "measured": """
+        SELECT m.*, CASE WHEN (test_id::BIGINT + pos) % 97 = 0 THEN '99' || value ELSE value END AS v, loinc_code
+        FROM lab_markers m LEFT JOIN loinc_dict ON lower(trim(name)) = name_norm""",
+    "links": """
+        SELECT '{"k":"name","p":"' || (['O', 'F', 'P'])[p_partkey % 3 + 1] || '","n":"' || p_name || '"}' AS a, '{"k":"code","c":"C' || (p_partkey // 16) % 60 || '"}' AS b FROM part WHERE p_partkey % 16 = 0
+        UNION SELECT '{"k":"name","p":"O","n":"' || p_name || '"}', '{"k":"name","p":"F","n":"' || p_name || '"}' FROM part WHERE p_partkey % 16 = 1""",
+    "reached": """
+        SELECT a AS node, a AS other FROM (SELECT a FROM links UNION SELECT b FROM links)
+        UNION SELECT r.node, l.b FROM reached r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON r.other = l.a""",
     "winners": """
         SELECT user_id, test_name, name, value, unit, reference_range, date, test_id, pos
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, test_name, name ORDER BY date, test_id DESC, pos DESC) AS rn
@@ -135,7 +196,8 @@ VIEWS = {
 }
 _NEEDS = {
     "llm_responses": ["lab_tests", "lab_markers"], "choices": ["llm_responses"], "statuses": ["choices"], "decoded": ["statuses"], "marker_rows": ["decoded"],
-    "corrections": ["lab_markers"], "corrected": ["corrections"], "winners": ["lab_tests", "lab_markers"], "matched": ["questions", "winners"],
+    "corrections": ["lab_markers"], "corrected": ["corrections"], "measured": ["lab_markers", "loinc_dict"], "reached": ["links"], "spelt": ["lab_markers"], "name_pairs": ["spelt", "loinc_dict"], "name_codes": ["name_pairs"], "winners": ["lab_tests", "lab_markers"], "matched": ["questions", "winners"],
+    "letters": ["ocr_text"], "segs": ["contacts"], "own_words": ["patients"], "staff_pairs": ["staff"], "name_hits": ["segs", "own_words", "staff_pairs"], "islands": ["name_hits"],
     "frags": ["matched"], "prompts": ["questions", "frags"], "assembled": ["ocr_pages"],
 }
 
@@ -152,7 +214,7 @@ def sql(query: str, *views: str) -> str:
 
     for view in views:
         need(view)
-    return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order) + "\n" + query if order else query
+    return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order) + "\n" + query if order else query
 
 
 #: normalize_ocr of the column text.
@@ -196,6 +258,23 @@ _EDITS = """
 """
 _PAYLOAD = "'{{\"model\":\"default\",\"messages\":[{{\"role\":\"system\",\"content\":' || to_json({0}) || '}},{{\"role\":\"user\",\"content\":' || to_json({1}) || '}}],\"temperature\":{2}}}'"
 _LINE = _re(RESULT_LINE)
+VIEWS["contacts"] = f"SELECT doc_id, user_id, {_redacted('text')} AS text FROM letters"
+_NEEDS["contacts"] = ["letters"]
+for _view in ("segs", "name_hits", "islands"):
+    VIEWS[f"raw_{_view}"] = re.sub(r"\b(segs|name_hits)\b", r"raw_\1", VIEWS[_view]).replace("contacts", "letters")
+VIEWS["scans"] = """
+        SELECT doc_id, string_agg('--- Page ' || (page_index + 1) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page_index) AS text
+        FROM (SELECT doc_id, page_index, string_agg(text, chr(10) ORDER BY line_no) AS text FROM best_lines GROUP BY ALL) GROUP BY doc_id"""
+VIEWS["scan_markers"] = """
+        SELECT m.doc_id, m.pos, CASE WHEN c.action = 'edit' THEN c.name ELSE m.name END AS name, CASE WHEN c.action = 'edit' THEN c.value ELSE m.value END AS value,
+               CASE WHEN c.action = 'edit' THEN c.unit ELSE m.unit END AS unit, m.reference_range, m.flag
+        FROM marker_rows m LEFT JOIN corrections c ON m.doc_id = c.doc_id AND m.pos = c.pos AND c.action IN ('edit', 'remove') WHERE c.action IS NULL OR c.action = 'edit'
+        UNION ALL SELECT doc_id, pos, name, value, unit, NULL, NULL FROM corrections WHERE action = 'add'"""
+VIEWS["scan_names"] = re.sub(r"\bspelt\b", "scan_markers", VIEWS["name_pairs"])
+VIEWS["scan_dict"] = VIEWS["name_codes"].replace("name_pairs", "scan_names")
+VIEWS["scan_codes"] = "SELECT m.*, loinc_code FROM scan_markers m LEFT JOIN scan_dict ON lower(trim(name)) = name_norm"
+_NEEDS |= {"scans": ["best_lines"], "scan_markers": ["marker_rows", "corrections"], "scan_names": ["scan_markers", "loinc_dict"], "scan_dict": ["scan_names"], "scan_codes": ["scan_dict"]}
+_NEEDS |= {"raw_segs": ["letters"], "raw_name_hits": ["raw_segs", "own_words", "staff_pairs"], "raw_islands": ["raw_name_hits"]}
 
 ORACLES = {
     "read_ocr_pages": sql("SELECT doc_id, user_id, page_index, coalesce(text, '') AS text, readable FROM ocr_pages", "ocr_pages"),
@@ -205,6 +284,18 @@ ORACLES = {
                   NULL::VARCHAR AS lab_standard_id, year(date)::INT AS year FROM lab_markers m JOIN lab_tests t ON m.test_id = t.test_id""",
         "lab_markers", "lab_tests",
     ),
+    "delete_saved_tests": sql(
+        """SELECT sha256(t.test_id) AS test_id, year(date)::INT AS year, pos, name FROM lab_tests t LEFT JOIN lab_markers m ON t.test_id = m.test_id
+           WHERE t.test_id::BIGINT % 11 <> 0""", "lab_tests", "lab_markers"
+    ),
+    "scan_requests": sql(
+        f"""SELECT doc_id, sha256({_PAYLOAD.format(_q(EXTRACTION_PROMPT), _redacted('normalized'), '0.1')}) AS payload_sha256
+            FROM {NORMALIZED.replace('ocr_text', 'scans')} JOIN lab_tests ON doc_id = test_id""", "scans", "lab_tests"
+    ),
+    "scan_to_saved": sql(
+        """SELECT sha256(d.doc_id) AS test_id, user_id, test_name, year(date)::INT AS year, pos, name, loinc_code, value, unit, reference_range, flag
+           FROM scans d JOIN lab_tests t ON d.doc_id = t.test_id LEFT JOIN scan_codes m ON d.doc_id = m.doc_id WHERE d.doc_id::BIGINT % 3 <> 0""", "scans", "lab_tests", "scan_codes"
+    ),
     "extraction_requests": sql(f"SELECT doc_id, {_PAYLOAD.format(_q(EXTRACTION_PROMPT), 'text', '0.1')} AS payload FROM ocr_text", "ocr_text"),
     "consult_requests": sql(f"SELECT question_id, {_PAYLOAD.format('prompt', 'text', '0.2')} AS payload FROM prompts", "prompts"),
     "nonempty_docs": sql("SELECT doc_id, length(text) AS n FROM ocr_text WHERE length(text) > 0", "ocr_text"),
@@ -231,11 +322,32 @@ ORACLES = {
                    CASE WHEN pii_hits >= 1 THEN 'manual' ELSE 'auto' END AS route FROM (SELECT doc_id, {_PII} AS pii_hits FROM ocr_text)""", "ocr_text"
     ),
     "reply_compliance": f"""
-        SELECT *, NOT has_stop_word AND has_disclaimer AS compliant FROM (
-            SELECT conv_id, turn, len(list_filter({_list(STOP_WORDS)}, lambda w: contains(lower(t), w))) > 0 AS has_stop_word, contains(t, {_q(DISCLAIMER)}) AS has_disclaimer
-            FROM (SELECT *, text || CASE WHEN turn % 3 = 0 THEN ' ' || {_q(DISCLAIMER)} ELSE ' you have' END AS t FROM conversations WHERE role = 'assistant'))""",
+        SELECT *, NOT has_stop_word AND has_disclaimer AND careful AS compliant FROM (
+            SELECT conv_id, turn, len(list_filter({_list(STOP_WORDS)}, lambda w: contains(lower(t), w))) > 0 AS has_stop_word, contains(t, {_q(DISCLAIMER)}) AS has_disclaimer,
+                   len(regexp_extract_all(lower(t), 'cause|причин')) <= len(regexp_extract_all(lower(t), 'possible cause|возможн(ые|ых|ая|ой) причин')) AS careful
+            FROM (SELECT *, text || CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' Possible causes: rest.' ELSE ' The cause of possible causes.' END
+                         || CASE WHEN turn % 3 = 0 THEN ' ' || {_q(DISCLAIMER)} ELSE ' you have' END AS t FROM conversations WHERE role = 'assistant'))""",
     "test_markers": sql("SELECT t.test_id, user_id, test_name, pos, name, value, unit, reference_range, flag FROM lab_tests t LEFT JOIN lab_markers m ON t.test_id = m.test_id", "lab_tests", "lab_markers"),
     "context_match": sql("SELECT question_id, user_id, test_name, name FROM matched", "matched"),
+    "match_report": sql(
+        """SELECT part, count(*) AS n_matches
+           FROM questions q JOIN (SELECT DISTINCT user_id, name, unnest(string_split(lower(name), ' ')) AS part FROM winners) w ON q.user_id = w.user_id AND contains(lower(q.text), part)
+           WHERE part <> '' GROUP BY part""", "questions", "winners"
+    ),
+    "page_report": sql(
+        "SELECT doc_id, count(*) AS n_pages, sum(length(coalesce(text, '')))::BIGINT AS n_chars, n_pages > 8 OR n_chars > 5000000 AS oversize FROM ocr_pages GROUP BY doc_id", "ocr_pages"
+    ),
+    "unusual_values": sql(
+        """SELECT test_id, pos, v AS value, coalesce(v::DOUBLE NOT BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1), false) AS unusual
+           FROM measured LEFT JOIN (SELECT loinc_code, quantile_disc(v::DOUBLE, 0.25) AS q1, quantile_disc(v::DOUBLE, 0.75) AS q3 FROM measured GROUP BY ALL HAVING count(*) >= 50) USING (loinc_code)""", "measured"
+    ),
+    # Reachable nodes of each node, then the smallest of them.
+    "standard_markers": sql(
+        """SELECT test_id, pos, provider, name, 'S-' || sha256(root)[1:16] AS lab_standard_id
+           FROM (SELECT m.*, provider FROM lab_markers m JOIN lab_tests t ON m.test_id = t.test_id)
+           LEFT JOIN (SELECT node, min(other) AS root FROM reached GROUP BY node) ON node = '{"k":"name","p":"' || provider || '","n":"' || lower(trim(name)) || '"}'""",
+        "lab_markers", "lab_tests", "reached",
+    ),
     "extraction_outcome": sql(
         """SELECT t.doc_id, coalesce(len(good), 0)::INT AS n_markers, error, CASE WHEN error IS NULL THEN text ELSE
                   '--- SERVER ERROR ---' || chr(10) || 'API Error: ' || error || chr(10) || chr(10) || '--- ORIGINAL OCR ---' || chr(10) || text END AS text
@@ -257,7 +369,9 @@ ORACLES = {
                  UNION ALL SELECT user_id, 'tab_vault', preferred_language FROM profiles)
            LEFT JOIN strings s ON s.key = k AND s.lang = CASE WHEN l IN ('English', 'Русский') THEN l ELSE 'English' END""", "profiles", "strings"
     ),
-    "loinc_map": sql("SELECT test_id, pos, name, loinc_code FROM lab_markers LEFT JOIN loinc_dict ON lower(trim(name)) = name_norm", "lab_markers", "loinc_dict"),
+    "loinc_map": sql(
+        "SELECT test_id, pos, name, loinc_code, coalesce(loinc_match, 'none') AS loinc_match FROM spelt LEFT JOIN name_codes ON lower(trim(name)) = name_norm", "spelt", "name_codes"
+    ),
     "lab_standard_map": sql(
         "SELECT m.test_id, pos, provider, name, CASE WHEN length(name) % 2 = 0 THEN 'S-' || lower(name) END AS lab_standard_id FROM lab_markers m JOIN lab_tests t ON m.test_id = t.test_id", "lab_markers", "lab_tests"
     ),
@@ -316,7 +430,12 @@ ORACLES = {
             WHERE regexp_matches(line, {_LINE})""", "lab_markers"
     ),
     "redact_pii": sql(
-        f"""SELECT doc_id, user_id, sha256({_redacted("CASE WHEN p.full_name IS NULL THEN t ELSE replace(t, p.full_name, '[NAME]') END")}) AS text_sha256
-            FROM (SELECT doc_id, user_id, text || ' Customer#00000000' || user_id AS t FROM ocr_text) LEFT JOIN profiles p USING (user_id)""", "ocr_text", "profiles"
+        """SELECT segs.doc_id, user_id, sha256(coalesce(string_agg(CASE WHEN first IS NULL THEN s WHEN k = first THEN '[NAME]' ELSE '' END, '' ORDER BY k), '')) AS text_sha256
+           FROM segs LEFT JOIN islands ON segs.doc_id = islands.doc_id AND k BETWEEN first AND last GROUP BY ALL""", "islands"
+    ),
+    "name_spans": sql(
+        """SELECT i.doc_id, row_number() OVER (PARTITION BY i.doc_id ORDER BY first)::INT - 1 AS span,
+                  coalesce(sum(length(s)) FILTER (k < first), 0)::INT AS start, string_agg(s, '' ORDER BY k) FILTER (k >= first) AS name
+           FROM raw_islands i JOIN raw_segs ON i.doc_id = raw_segs.doc_id AND k <= last GROUP BY i.doc_id, first""", "raw_islands"
     ),
 }

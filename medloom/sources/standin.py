@@ -89,6 +89,41 @@ class StandIn:
     def ocr_text(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 97).alias("user_id"), "text")
 
+    @property
+    def owners(self) -> DataFrame:
+        """Whose document it is, with what the user entered for it."""
+        return self.lab_tests.withColumnRenamed("test_id", "doc_id")
+
+    @property
+    def patients(self) -> DataFrame:
+        """Profiles with a name of two words; every tenth user has a second one under another name."""
+        part = self.table("part").select("p_partkey", F.initcap("p_name").alias("full_name"))
+        users = self.table("customer").select(F.col("c_custkey").alias("user_id"))
+        second = users.where("user_id % 10 = 0").withColumn("p_partkey", F.col("user_id") + 1)
+        return users.withColumn("p_partkey", F.col("user_id")).unionByName(second).join(part, "p_partkey").select("user_id", "full_name")
+
+    @property
+    def staff(self) -> DataFrame:
+        """Names of people who are no users."""
+        part = self.table("part").select((F.col("p_partkey") - 50).alias("s_suppkey"), F.initcap("p_name").alias("full_name"))
+        return self.table("supplier").join(part, "s_suppkey").select("full_name")
+
+    @property
+    def letters(self) -> DataFrame:
+        """Documents that end with a name of their user, written in one of several ways, or with one of the staff."""
+        part = self.table("part").select("p_partkey", F.split(F.initcap("p_name"), " ").alias("w"))
+        docs = self.ocr_text.withColumn("k", F.col("doc_id").cast("long"))
+        key = F.when(F.col("k") % 7 > 4, 50 + F.col("k") % 10).otherwise(F.col("user_id"))
+        docs = docs.withColumn("p_partkey", key).join(part, "p_partkey")
+        first, last = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+        way = F.col("k") % 7
+        tail = (
+            F.when(way == 0, F.concat(first, F.lit(" "), last)).when(way == 1, F.concat(F.upper(last), F.lit(", "), first)).when(way == 2, F.lower(F.concat(first, F.lit("-"), last)))
+            .when(way == 3, F.concat(F.lit("dear "), last, F.lit(":"))).when(way == 4, F.concat(last, F.lit(" writes. "), first)).when(way == 5, F.concat(F.lit("Dr. "), first, F.lit(" "), last))
+            .otherwise(F.concat(F.substring(first, 1, 1), F.lit(". "), last))
+        )
+        return docs.select("doc_id", "user_id", F.concat("text", F.lit(" "), tail, F.lit(".")).alias("text"))
+
     @property
     def llm_responses(self) -> DataFrame:
         """One response for each test but every eleventh, damaged by its id."""
@@ -139,12 +174,38 @@ class StandIn:
         names = self.table("part").select(F.lower("p_name").alias("name_norm")).distinct()
         return names.where(F.length("name_norm") % 3 != 0).select("name_norm", F.concat(F.lit("L-"), F.upper(F.substring("name_norm", 1, 3)), F.length("name_norm").cast("string")).alias("loinc_code"))
 
+    @property
+    def spelt_markers(self) -> DataFrame:
+        """Markers with their name as it is, in capitals, without its second letter, or with one too many."""
+        way = F.col("pos") % 4
+        spelt = F.when(way == 1, F.concat(F.upper("name"), F.lit(" "))).when(way == 2, F.concat(F.substring("name", 1, 1), F.substring("name", 3, 99))).when(way == 3, F.concat("name", F.lit("x")))
+        return self.lab_markers.withColumn("name", spelt.otherwise(F.col("name")))
+
     @property
     def lab_alias(self) -> DataFrame:
         """The names of even length that each provider has reported."""
         reported = self.lab_markers.select("test_id", "name").where(F.length("name") % 2 == 0).join(self.lab_tests.select("test_id", "provider"), "test_id")
         return reported.select("provider", "name").distinct().withColumn("lab_standard_id", F.concat(F.lit("S-"), F.lower("name")))
 
+    @property
+    def code_claims(self) -> DataFrame:
+        """Which code a laboratory gives a name, as some of the parts say."""
+        some = self.table("part").where("p_partkey % 16 = 0")
+        code = F.concat(F.lit("C"), (F.floor(F.col("p_partkey") / 16) % 60).cast("string"))
+        return some.select(F.element_at(F.array(*map(F.lit, "OFP")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("provider"), F.col("p_name").alias("name"), code.alias("code"))
+
+    @property
+    def name_aliases(self) -> DataFrame:
+        """Names of two laboratories that are the same."""
+        some = self.table("part").where("p_partkey % 16 = 1")
+        return some.select(F.lit("O").alias("provider"), F.col("p_name").alias("name"), F.lit("F").alias("other_provider"), F.concat(F.upper("p_name"), F.lit(" ")).alias("other_name"))
+
+    @property
+    def measured(self) -> DataFrame:
+        """Markers of which some have a value that is far too high."""
+        wrong = (F.col("test_id").cast("long") + F.col("pos")) % 97 == 0
+        return self.lab_markers.withColumn("value", F.when(wrong, F.concat(F.lit("99"), "value")).otherwise(F.col("value"))).withColumn("unit", F.lit("u"))
+
     @property
     def chat_turns(self) -> DataFrame:
         return self.table("conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")

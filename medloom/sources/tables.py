@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from medloom import schemas
 from medloom.operators.ingest import page_texts
+from medloom.operators.store import Store
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -29,6 +30,15 @@ def read_llm_responses(spark: SparkSession, path: str, fmt: str = "parquet") ->
     return read_table(spark, path, schemas.LLM_RESPONSES, fmt)
 
 
+def read_saved(spark: SparkSession, path: str, table: str, years: list[int] | None = None) -> DataFrame:
+    """``lab_tests`` or ``lab_markers`` below ``path`` as of the last change, with their year; of some years only if given."""
+    schema = schemas.LAB_TESTS if table == "lab_tests" else schemas.LAB_MARKERS
+    saved = Store(spark, path)
+    saved.complete()
+    df = saved.read(table, schema, years)
+    return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])) if df is None else df
+
+
 def write_requests(requests: DataFrame, path: str, fmt: str = "parquet") -> None:
     requests.write.mode("append").format(fmt).save(path)
 
