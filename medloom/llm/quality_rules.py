@@ -47,10 +47,10 @@ def _repeats(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(n, F.lit(0).cast("long"))).drop("_some", "_sorted", "_at")
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, r1, r2, the counts of its text, base_failed."""
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    one = docs.select(F.col(quoted(id_col)).alias("doc_id"), _row(id_col, text_col).alias("row"), text.alias("_text")).select("doc_id", "row.*", "_text")
+    one = docs.select(F.col(quoted(id_col)).alias("doc_id"), _row(id_col, text_col, host_col).alias("row"), text.alias("_text")).select("doc_id", "row.*", "_text")
     one = one.withColumn("_words", words(F.col("_text")))
     with_word = F.filter(F.split("_text", "\n"), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
     one = one.withColumn("_with_word", with_word)
@@ -66,9 +66,10 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def _row(id_col: str, text_col: str) -> Column:
-    """128 bits of hash of the id and text of a row; rows that repeat both get the same verdict."""
-    key = F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+def _row(id_col: str, text_col: str, host_col: str) -> Column:
+    """128 bits of hash of the host, id and text of a row; rows that repeat all three get the same verdict."""
+    host = F.col(quoted(host_col)).cast("string")
+    key = host.isNull(), host, F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     return F.struct(F.xxhash64(*key).alias("r1"), F.xxhash64(F.lit(7), *key).alias("r2"))
 
 
@@ -82,7 +83,7 @@ def boilerplate(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, h
     host = F.xxhash64(F.col(quoted(host_col)).cast("string"))
     hashed = F.transform(parts, lambda x, i: F.struct(F.xxhash64(host, x).alias("h"), n_words(x).alias("n"), i.alias("at")))
     # The row's hash is made before the lines are dealt out, not once more for each of them.
-    rows = docs.select(_row(id_col, text_col).alias("row"), F.filter(hashed, lambda x: x["n"] > 0).alias("l"))
+    rows = docs.select(_row(id_col, text_col, host_col).alias("row"), F.filter(hashed, lambda x: x["n"] > 0).alias("l"))
     rows = rows.select("row", F.explode("l").alias("l")).select("row.*", "l.h", "l.n", "l.at")
     # A repeated row counts once, and so does a line that its document repeats.
     rows = rows.groupBy(*ROW, "h").agg(F.collect_set(F.struct("at", "n")).alias("lines"))
@@ -106,13 +107,14 @@ def quality_rules(
     ``max_line_docs`` documents of one host hold is boilerplate. A document is
     depleted if its boilerplate lines leave it under ``min_left`` of its words or under
     ten words. Null texts are empty and fail the base rules; null is a host, and not the
-    empty one. Rows that repeat id and text are one document and get the same verdict. Columns of
-    ``docs`` that are not named are not read; an empty table gives an empty result.
+    empty one. Rows that repeat host, id and text are one document and get the same verdict; under
+    another host they are another document. Columns of ``docs`` that are not named are not
+    read; an empty table gives an empty result. A text is read whole, whatever its length.
     """
     scratch = Scratch(docs.sparkSession, "rules")
     gone = boilerplate(scratch, docs, id_col, text_col, host_col, max_line_docs)
-    base = base_counts(docs, id_col, text_col).join(gone.drop("gone"), ROW, "left")
-    left = F.greatest(F.col("n_words") - F.coalesce("n_gone", F.lit(0)), F.lit(0).cast("long"))
+    base = base_counts(docs, id_col, text_col, host_col).join(gone.drop("gone"), ROW, "left")
+    left = F.col("n_words") - F.coalesce("n_gone", F.lit(0))
     depleted = F.col("n_gone").isNotNull() & _depleted(F.col("n_left_words"), F.col("n_words"), min_left)
     return base.withColumn("n_left_words", left).withColumn("kept", ~F.col("base_failed") & ~depleted).drop(*ROW, "n_gone")
 
@@ -126,12 +128,12 @@ def cleaned_documents(
     """
     scratch = Scratch(docs.sparkSession, "rules")
     gone = scratch.keep(boilerplate(scratch, docs, id_col, text_col, host_col, max_line_docs))
-    base = base_counts(docs, id_col, text_col).join(gone.drop("gone"), ROW, "left")
+    base = base_counts(docs, id_col, text_col, host_col).join(gone.drop("gone"), ROW, "left")
     left = F.col("n_words") - F.coalesce("n_gone", F.lit(0))
     # Written first: a filter on what is computed here would compute it once for each mention.
     verdicts = scratch.keep(base.select(*ROW, (F.col("base_failed") | F.col("n_gone").isNotNull() & _depleted(left, F.col("n_words"), min_left)).alias("failed")))
     good = verdicts.where("NOT failed").select(*ROW).distinct()
-    rows = packed(docs, _row(id_col, text_col).alias("row")).select("user", "row.*")
+    rows = packed(docs, _row(id_col, text_col, host_col).alias("row")).select("user", "row.*")
     rows = rows.join(good, ROW, "left_semi").join(gone.select(*ROW, "gone"), ROW, "left")
     lines = F.filter(F.split(mine(text_col).cast("string"), "\n"), lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), mine(text_col).cast("string")).otherwise(F.array_join(lines, "\n"))
