@@ -115,8 +115,8 @@ def frequent_lines(scratch: Scratch, batches: list[DataFrame], text_col: str, mi
     lines = reduce(DataFrame.union, [b.select("_batch", F.explode(F.transform(keys, _hashes)).alias("h")) for b in batches])
     lines = lines.select("_batch", "h.h1", "h.h2").groupBy("_batch", *HASH).agg(F.count(F.lit(1)).alias("n"))
     path = f"{scratch.path}/batches"
-    # In few files: the rows of all batches lie together by their hash.
-    lines.repartition(4, *HASH).coalesce(4).write.partitionBy("_batch").parquet(path)
+    # As many tasks as the grouping has, which grow with the rows and are merged by size where they are small.
+    lines.write.partitionBy("_batch").parquet(path)
     dealt = scratch.spark.read.schema("h1 long, h2 long, n long, _batch int").parquet(path)
     sizes = {r["_batch"]: r["count"] for r in dealt.groupBy("_batch").count().collect()}
     most = int(scratch.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
