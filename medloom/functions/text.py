@@ -91,3 +91,16 @@ def chat_source_label(role: Column, source: Column, assistant: str = "Brain") ->
 
 def display_day(col: Column) -> Column:
     return F.to_date(col)
+
+
+def char_runs(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters of a text, one for each place; none for a shorter or null text.
+
+    The text is cut into its characters once: taking a substring at each place would read it from its start each time.
+    """
+
+    def cut(chars: Column) -> Column:
+        run = lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]) if size > 1 else F.get(chars, i)
+        return F.when(F.size(chars) >= size, F.transform(F.sequence(F.lit(0), F.size(chars) - size), run)).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.when(text != "", F.split(text, ""))), cut), F.lit(0))

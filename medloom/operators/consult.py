@@ -57,9 +57,7 @@ GRAM = 3
 
 def question_grams(questions: DataFrame) -> DataFrame:
     """question_id, user_id, gram: the distinct substrings of up to ``GRAM`` characters of each lower-cased question."""
-    low = F.lower("text")
-    of_size = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.char_length(low)), lambda i: i <= F.char_length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))
-    grams = F.array_distinct(F.concat(*[of_size(n) for n in range(1, GRAM + 1)]))
+    grams = F.array_distinct(F.concat(*[fx.char_runs(F.lower("text"), n) for n in range(1, GRAM + 1)]))
     return questions.where("user_id IS NOT NULL AND text <> ''").select("question_id", "user_id", F.explode(grams).alias("gram"))
 
 
@@ -67,8 +65,8 @@ def name_postings(named: DataFrame, grams: DataFrame) -> DataFrame:
     """user_id, name, part, gram: each part of a user's names under the gram of it that the fewest questions have. Parts with a gram that no question has are left out."""
     names = named.where("user_id IS NOT NULL").select("user_id", "name").distinct()
     parts = names.select("user_id", "name", F.explode(F.array_distinct(fx.name_tokens(F.col("name")))).alias("part"))
-    size = F.least(F.char_length("part"), F.lit(GRAM))
-    cut = F.transform(F.sequence(F.lit(1), F.char_length("part") - size + 1), lambda i: F.substring(F.col("part"), i, size))
+    long = F.char_length("part") > GRAM
+    cut = F.when(long, fx.char_runs(F.col("part"), GRAM)).otherwise(F.array("part"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     own = parts.select("part").distinct().select("part", F.explode(F.array_distinct(cut)).alias("gram")).join(counts, "gram", "left")
     best = own.groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).where("best.n > 0")

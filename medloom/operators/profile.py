@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medloom.functions.text import parse_measure
@@ -18,17 +18,40 @@ def current_profile(profiles: DataFrame) -> DataFrame:
     return one.withColumn("preferred_language", F.coalesce("preferred_language", F.lit("English")))
 
 
+def last_edits(edits: DataFrame) -> DataFrame:
+    """user_id, new: the last edit of each user as the fields of a profile.
+
+    It is the one with the largest ``change_no``, if edits have that column, and of equal
+    ones the last by name and measures. Edits without a user are left out.
+    """
+    named = edits.where("user_id IS NOT NULL").select(
+        "user_id", *[F.col(c) for c in ("change_no",) if c in edits.columns], "full_name", "birth_date", "gender", "blood_type",
+        parse_measure(F.col("height_text")).alias("height"), parse_measure(F.col("weight_text")).alias("weight"), F.col("language").alias("preferred_language"),
+    )
+    new = F.struct(*FIELDS)
+    order = F.struct("change_no", new) if "change_no" in edits.columns else new
+    return named.groupBy("user_id").agg(F.max_by(new, order).alias("new"))
+
+
 def profile_upsert(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     """``profiles`` with every field of an edited user replaced, also by null, and new users added.
 
-    Of several edits of one user the last by name and measures holds.
+    Of several edits of one user the last holds, see ``last_edits``.
     """
-    named = edits.select(
-        "user_id", "full_name", "birth_date", "gender", "blood_type", parse_measure(F.col("height_text")).alias("height"),
-        parse_measure(F.col("weight_text")).alias("weight"), F.col("language").alias("preferred_language"),
-    )
-    one = named.groupBy("user_id").agg(F.max(F.struct(*FIELDS)).alias("new"))
-    both = profiles.select("user_id", F.struct(*FIELDS).alias("old")).join(one, "user_id", "full_outer")
+    both = profiles.select("user_id", F.struct(*FIELDS).alias("old")).join(last_edits(edits), "user_id", "full_outer")
+    return both.select("user_id", F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old")).alias("p")).select("user_id", "p.*")
+
+
+def store_profiles(profiles: DataFrame, table: str, buckets: int) -> None:
+    """Write ``profiles`` as a table bucketed and sorted by user, replacing what is there."""
+    one = profiles.select("user_id", *FIELDS).repartition(buckets, "user_id")
+    one.write.mode("overwrite").format("parquet").bucketBy(buckets, "user_id").sortBy("user_id").saveAsTable(table)
+
+
+def stored_upsert(spark: SparkSession, table: str, edits: DataFrame, buckets: int) -> DataFrame:
+    """``profile_upsert`` on a table of ``store_profiles``: only the edits are dealt out, the stored side stays where its buckets are."""
+    last = last_edits(edits).repartition(buckets, "user_id").hint("merge")
+    both = spark.table(table).select("user_id", F.struct(*FIELDS).alias("old")).join(last, "user_id", "full_outer")
     return both.select("user_id", F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old")).alias("p")).select("user_id", "p.*")
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medloom.functions.text import char_runs
+
 Q, BOUND = 2, 0.7
 #: Stands before and after a name, so that its ends have grams of their own.
 EDGE = "\x01"
@@ -19,8 +21,7 @@ EDGE = "\x01"
 def grams(name: Column, q: int = Q) -> Column:
     """The distinct q-grams of a name between edges; an empty or null name has none."""
     whole = F.concat(F.lit(EDGE * (q - 1)), name, F.lit(EDGE * (q - 1)))
-    each = F.transform(F.sequence(F.lit(1), F.char_length(whole) - (q - 1)), lambda i: F.substring(whole, i, F.lit(q)))
-    return F.when(F.char_length(name) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.char_length(name) > 0, F.array_distinct(char_runs(whole, q))).otherwise(F.array().cast("array<string>"))
 
 
 def _prefixes(names: DataFrame, counts: DataFrame, column: str, bound: float) -> DataFrame:

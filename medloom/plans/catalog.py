@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from medloom import schemas
 from medloom.functions import text as fx
-from medloom.operators import consult, extract, ingest, names, profile, ranges, standard, textprep, vault, verify, workflow
+from medloom.operators import consult, extract, ingest, learned, names, profile, ranges, standard, textprep, vault, verify, workflow
 from medloom.plans.oracles import ORACLES  # noqa: F401
 from medloom.sources import tables
 from medloom.sources.standin import StandIn
@@ -369,6 +370,27 @@ def detect_language(s: StandIn) -> DataFrame:
     return s.ocr_text.select("doc_id", textprep.detect_language(F.col("text")).alias("language"))
 
 
+@query
+def profile_languages(s: StandIn) -> DataFrame:
+    profiles = learned.language_profiles(s.table("documents").select("text", "lang"))
+    return learned.profile_languages(s.ocr_text, profiles)
+
+
+@query
+def weighted_gate(s: StandIn) -> DataFrame:
+    return learned.weighted_gate(s.reports, learned.term_weights(s.reports)).select("doc_id", "n_terms", "is_medical")
+
+
+@query
+def stored_upsert(s: StandIn) -> DataFrame:
+    """Edits that come twice, the later ones with a larger number, on a stored table."""
+    name = f"profiles_{uuid.uuid4().hex}"
+    profile.store_profiles(s.profiles, name, 8)
+    edits = s.profile_edits.withColumn("change_no", F.lit(1))
+    later = edits.where("user_id % 2 = 0").withColumns({"full_name": F.lit("A later name"), "change_no": F.lit(2)})
+    return profile.stored_upsert(s.spark, name, edits.unionByName(later), 8)
+
+
 @query
 def key_zones(s: StandIn) -> DataFrame:
     line = F.concat("name", F.lit(": "), "value", F.coalesce(F.concat(F.lit(" "), "reference_range"), F.lit("")))

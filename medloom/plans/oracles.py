@@ -58,6 +58,20 @@ VIEWS = {
                WHEN 4 THEN l || ' writes. ' || f WHEN 5 THEN 'Dr. ' || f || ' ' || l ELSE f[1] || '. ' || l END || '.' AS text
         FROM (SELECT *, doc_id::BIGINT AS k, CASE WHEN doc_id::BIGINT % 7 > 4 THEN 50 + doc_id::BIGINT % 10 ELSE user_id END AS p FROM ocr_text)
         JOIN (SELECT p_partkey, upper(w[1][1]) || w[1][2:] AS f, upper(w[2][1]) || w[2][2:] AS l FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)) ON p = p_partkey""",
+    "reports": """
+        SELECT doc_id, CASE WHEN k % 3 = 0 THEN text || chr(10) || p_name || ' 5.2 mmol/l' ELSE text END AS text, k % 3 = 0 AS target
+        FROM (SELECT *, doc_id::BIGINT AS k FROM ocr_text) JOIN part ON p_partkey = k % 150""",
+    "report_terms": r"SELECT doc_id, target, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS term FROM reports",
+    "term_weights": """
+        SELECT term, weight FROM (
+            SELECT term, ln((d1 + 0.5) / (n1 + 1)) - ln((d0 + 0.5) / (n0 + 1)) AS weight, round(abs(weight / sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))), 9) AS z
+            FROM (SELECT term, count(*) FILTER (target) AS d1, count(*) FILTER (NOT target) AS d0 FROM report_terms GROUP BY term HAVING count(*) >= 5),
+                 (SELECT count(*) FILTER (target) AS n1, count(*) FILTER (NOT target) AS n0 FROM reports))
+        WHERE z >= 3 ORDER BY z DESC, term LIMIT 1000""",
+    "doc_grams": r"""
+        SELECT doc_id, lang, f[i:i + 2] AS gram
+        FROM (SELECT doc_id, lang, f, unnest(range(1, length(f) - 1)) AS i
+              FROM (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS f FROM documents))""",
     # Segments of the letters, matches as rows, islands by running sums.
     "segs": r"""
         SELECT doc_id, user_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS k
@@ -197,7 +211,7 @@ VIEWS = {
 _NEEDS = {
     "llm_responses": ["lab_tests", "lab_markers"], "choices": ["llm_responses"], "statuses": ["choices"], "decoded": ["statuses"], "marker_rows": ["decoded"],
     "corrections": ["lab_markers"], "corrected": ["corrections"], "measured": ["lab_markers", "loinc_dict"], "reached": ["links"], "spelt": ["lab_markers"], "name_pairs": ["spelt", "loinc_dict"], "name_codes": ["name_pairs"], "winners": ["lab_tests", "lab_markers"], "matched": ["questions", "winners"],
-    "letters": ["ocr_text"], "segs": ["contacts"], "own_words": ["patients"], "staff_pairs": ["staff"], "name_hits": ["segs", "own_words", "staff_pairs"], "islands": ["name_hits"],
+    "letters": ["ocr_text"], "reports": ["ocr_text"], "report_terms": ["reports"], "term_weights": ["report_terms"], "segs": ["contacts"], "own_words": ["patients"], "staff_pairs": ["staff"], "name_hits": ["segs", "own_words", "staff_pairs"], "islands": ["name_hits"],
     "frags": ["matched"], "prompts": ["questions", "frags"], "assembled": ["ocr_pages"],
 }
 
@@ -403,6 +417,15 @@ ORACLES = {
                    CASE WHEN e.user_id IS NULL THEN p.preferred_language ELSE e.preferred_language END AS preferred_language
             FROM profiles p FULL JOIN {_EDITS} e ON p.user_id = e.user_id""", "profiles"
     ),
+    "stored_upsert": sql(
+        f"""SELECT coalesce(p.user_id, e.user_id) AS user_id, CASE WHEN e.user_id IS NULL THEN p.full_name WHEN e.user_id % 2 = 0 THEN 'A later name' ELSE e.full_name END AS full_name,
+                   CASE WHEN e.user_id IS NULL THEN p.birth_date ELSE e.birth_date END AS birth_date, CASE WHEN e.user_id IS NULL THEN p.gender ELSE e.gender END AS gender,
+                   CASE WHEN e.user_id IS NULL THEN p.blood_type ELSE e.blood_type END AS blood_type,
+                   CASE WHEN e.user_id IS NULL THEN p.height ELSE {_MEASURE.format('e.height_text')} END AS height,
+                   CASE WHEN e.user_id IS NULL THEN p.weight ELSE {_MEASURE.format('e.weight_text')} END AS weight,
+                   CASE WHEN e.user_id IS NULL THEN p.preferred_language ELSE e.preferred_language END AS preferred_language
+            FROM profiles p FULL JOIN {_EDITS} e ON p.user_id = e.user_id""", "profiles"
+    ),
     "normalize_ocr": sql(f"SELECT doc_id, sha256(normalized) AS text_sha256, length(normalized) AS n FROM {NORMALIZED}", "ocr_text"),
     "parse_markers": sql("SELECT d.doc_id, status, error_text, pos, name, value, unit, reference_range, flag FROM decoded d LEFT JOIN marker_rows m ON d.doc_id = m.doc_id", "decoded", "marker_rows"),
     "parse_reply": sql("SELECT doc_id, status0 AS status, CASE WHEN status0 = 'ok' THEN content END AS reply FROM statuses", "statuses"),
@@ -423,6 +446,19 @@ ORACLES = {
     "detect_language": sql(
         f"SELECT doc_id, CASE WHEN best < 10 THEN 'und' ELSE CASE best % 10 {_LANG} END END AS language FROM (SELECT doc_id, greatest({_RATED}) AS best FROM (SELECT doc_id, {_TOKENS} AS toks FROM ocr_text))", "ocr_text"
     ),
+    "profile_languages": sql(
+        """SELECT d.doc_id::VARCHAR AS doc_id, coalesce(language, 'und') AS language FROM documents d LEFT JOIN (
+               SELECT doc_id, arg_min(lang, {'n': -near, 'l': lang}) AS language FROM (
+                   SELECT o.doc_id, p.lang, sum(300 - abs(o.r - p.r)) AS near
+                   FROM (SELECT * FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS r FROM doc_grams GROUP BY doc_id, gram) WHERE r <= 300) o
+                   JOIN (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS r FROM doc_grams WHERE lang IS NOT NULL GROUP BY lang, gram)
+                         WHERE r <= 300) p ON o.gram = p.gram
+                   GROUP BY o.doc_id, p.lang) GROUP BY doc_id) b ON d.doc_id = b.doc_id""", "doc_grams"
+    ),
+    "weighted_gate": sql(
+        """SELECT r.doc_id, coalesce(n, 0)::BIGINT AS n_terms, coalesce(score, 0) > 0 AS is_medical FROM reports r LEFT JOIN (
+               SELECT doc_id, count(*) AS n, sum(weight) AS score FROM report_terms JOIN term_weights USING (term) GROUP BY doc_id) t ON r.doc_id = t.doc_id""", "reports", "report_terms", "term_weights"
+    ),
     "key_zones": sql(
         f"""SELECT doc_id, i - 1 AS line_no, nullif(regexp_extract(line, {_LINE}, 1), '') AS name, nullif(regexp_extract(line, {_LINE}, 2), '') AS value,
                    nullif(regexp_extract(line, {_LINE}, 3), '') AS unit, nullif(regexp_extract(line, {_LINE}, 4), '') AS reference_range

@@ -94,6 +94,14 @@ class StandIn:
         """Whose document it is, with what the user entered for it."""
         return self.lab_tests.withColumnRenamed("test_id", "doc_id")
 
+    @property
+    def reports(self) -> DataFrame:
+        """Documents with a line of a result in every third one, and whether they have it."""
+        part = self.table("part").select("p_partkey", "p_name")
+        docs = self.ocr_text.withColumn("k", F.col("doc_id").cast("long")).withColumn("p_partkey", F.col("k") % 150).join(part, "p_partkey")
+        has = F.col("k") % 3 == 0
+        return docs.select("doc_id", F.when(has, F.concat("text", F.lit("\n"), "p_name", F.lit(" 5.2 mmol/l"))).otherwise(F.col("text")).alias("text"), has.alias("is_target"))
+
     @property
     def patients(self) -> DataFrame:
         """Profiles with a name of two words; every tenth user has a second one under another name."""
