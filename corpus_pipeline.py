@@ -6,6 +6,7 @@ columns of ``documents``; the last returns the token ids of each document.
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +16,31 @@ from medloom.llm import bpe, exact_dedup, language_id, mixing, simhash
 from medloom.llm.common import Scratch, release, scratch_folders
 
 
-#: Folders of intermediate tables by session.
-_left: dict[int, list[str]] = {}
+#: Folders of intermediate tables that the result of a stage reads, by the mark on that result.
+_left: dict[str, list[str]] = {}
+#: Key of the mark in the metadata of the first column, which Parquet files keep.
+MARK = "medloom.stage"
 
 
 def _stage(work):
-    """A stage that begins by deleting what the stage before it left for the same session: its result is written by then."""
+    """A stage whose result is marked.
+
+    A stage that begins on a written copy of a marked result deletes what that result was
+    read from; on the result itself, or on one of another run, it deletes nothing. So
+    stages can be chained without a write between, and runs in one session do not meet.
+    """
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left.pop(id(spark), []))
+        before = next((f.metadata[MARK] for f in docs.schema.fields if MARK in f.metadata), None)
+        folders = _left.get(before, [])
+        if folders and not any(folder in file for file in docs.inputFiles() for folder in folders):
+            release(spark, _left.pop(before))
         with scratch_folders() as made:
             out = work(spark, docs, sf_dir)
-        _left[id(spark)] = made
-        return out
+        mark, first = uuid.uuid4().hex, out.schema.fields[0]
+        _left[mark] = made
+        return out.withMetadata(first.name, {**first.metadata, MARK: mark})
 
     return run_stage
 
@@ -80,11 +92,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each returns is written and read again."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``; what each returns is written and read again, and deleted once the next one's is written."""
+    scratch, docs, kept = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.keep(docs)
+            scratch.drop(*kept)
+            kept = [docs]
     return docs
