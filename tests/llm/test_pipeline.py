@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against what plain Python makes of each stage's own input."""
 
+import os
 import re
 from collections import Counter
 
@@ -46,3 +47,34 @@ def test_stages(spark, tmp_path):
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = Counter((r.doc_id, tuple(theirs.encode_ordinary(r.text))) for r in inputs[4])
     assert Counter((r.doc_id, tuple(r.ids)) for r in outputs[4]) == want
+
+
+def rows_of(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def folders(marks):
+    return [f.removeprefix("file://") for m in marks for f in corpus_pipeline._left.get(m, [])]
+
+
+def test_stages_chained_and_mixed(spark, tmp_path):
+    """Without a write between stages nothing is deleted under them; two runs in one session leave each other alone; what a written result was read from goes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    stages = [stage for _, stage in corpus_pipeline.STAGES[:3]]
+    marks = lambda df: [f.metadata[corpus_pipeline.MARK] for f in df.schema.fields if corpus_pipeline.MARK in f.metadata]
+    chained = docs
+    for stage in stages:
+        chained = stage(spark, chained, SF)
+    want = rows_of(chained)
+    assert sum(want.values()) > 0
+
+    first = {k: stages[0](spark, docs, SF) for k in "ab"}
+    held = {k: folders(marks(df)) for k, df in first.items()}
+    assert held["a"] and held["b"] and all(os.path.isdir(f) for f in held["a"] + held["b"])
+    first["a"].write.parquet(f"{tmp_path}/a")
+    second = stages[1](spark, spark.read.parquet(f"{tmp_path}/a"), SF)
+    assert not any(os.path.isdir(f) for f in held["a"]) and all(os.path.isdir(f) for f in held["b"])
+    first["b"].write.parquet(f"{tmp_path}/b")
+    third = stages[2](spark, second, SF)
+    assert rows_of(third) == want
+    assert rows_of(stages[2](spark, stages[1](spark, spark.read.parquet(f"{tmp_path}/b"), SF), SF)) == want
