@@ -39,7 +39,7 @@ def _unsigned(col: Column) -> Column:
 
 @dataclass
 class _Splitter:
-    """Rows with a key below ``key`` are before the splitter. ``fixed`` has the parts of the key that are set; the prefix is one of the next part, unsigned."""
+    """Rows with a key below ``key`` are before the splitter, ``rows`` of them. ``fixed`` has the parts of the key that are set; the prefix is one of the next part, unsigned."""
 
     target: float
     slack: float
@@ -48,6 +48,7 @@ class _Splitter:
     bits: int = 0
     fixed: tuple[int, ...] = ()
     key: tuple[int, ...] | None = None
+    rows: int = 0
 
     def set(self, prefix: int) -> None:
         inside = prefix < (1 << self.bits)
@@ -63,20 +64,25 @@ class _Splitter:
             upto = self.below + size
             if upto >= self.target:
                 break
-            self.below = upto
+            self.below, self.rows = upto, self.rows + rows
+        else:
+            # All of them are before the target.
+            self.set(prefix + 1)
+            return
         self.prefix = prefix
         # One row is not cut: the nearer side of it is as good as it gets.
         exhausted = rows <= 1 or self.bits == 64 and len(self.fixed) == 2
         if self.target - self.below <= self.slack or exhausted and self.target - self.below <= upto - self.target:
             self.set(prefix)
         elif upto - self.target <= self.slack or exhausted:
+            self.rows += rows
             self.set(prefix + 1)
         elif self.bits == 64:
             self.fixed, self.prefix, self.bits = (*self.fixed, prefix + _TOP), 0, 0
 
 
-def splitters(rows: DataFrame, n_parts: int, slack: Callable[[int], float], total: int) -> list[tuple[int, int, int]]:
-    """Keys that cut ``rows`` = (_group, _id, _at, size) into parts of near equal size: cut k misses its target by ``slack(k)`` bytes, or by less than a row.
+def splitters(rows: DataFrame, n_parts: int, slack: Callable[[int], float], total: int) -> list[tuple[tuple[int, int, int], int]]:
+    """Keys, each with the number of rows below it, that cut ``rows`` = (_group, _id, _at, size) into parts of near equal size: cut k misses its target by ``slack(k)`` bytes, or by less than a row.
 
     All open splitters look at the same bits of the same part of the key, so a round is one
     job. What comes to the driver is at most 256 sums for each open splitter.
@@ -99,7 +105,7 @@ def splitters(rows: DataFrame, n_parts: int, slack: Callable[[int], float], tota
             found.setdefault(r.which, {})[r.prefix + 2**64 if r.prefix < 0 else r.prefix] = r["size"], r.n
         for c in todo:
             c.narrow(found.get(groups.index(c.fixed), {}))
-    return [c.key for c in cuts] if total else []
+    return [(c.key, c.rows) for c in cuts] if total else []
 
 
 def parts_of(keys: list[np.ndarray], cuts: list[tuple[int, int, int]]) -> np.ndarray:
@@ -134,8 +140,8 @@ def shard(
     thin = numbered.select(*_KEY, "size")
     total = thin.agg(F.sum("size")).first()[0] or 0
     # Cuts inside of a shard only deal out its work.
-    cuts = splitters(thin, n_shards * parts, lambda k: total / n_shards * (tolerance if k % parts == 0 else PART_SLACK / parts), total)
-    n_parts = len(cuts) + 1
+    found = splitters(thin, n_shards * parts, lambda k: total / n_shards * (tolerance if k % parts == 0 else PART_SLACK / parts), total)
+    cuts, n_parts = [key for key, _ in found], len(found) + 1
 
     def dealt(batches):
         for batch in batches:
@@ -145,14 +151,8 @@ def shard(
 
     rows_in = numbered.select(USER, *_KEY)
     with_part = rows_in.mapInArrow(dealt, T.StructType([*rows_in.schema.fields, T.StructField("_part", T.IntegerType())]))
-    # Counts of the parts, a row for each, give the first slot of each.
-    counts = thin.mapInArrow(_counted(cuts), "_part int, n long").groupBy("_part").agg(F.sum("n").alias("n")).collect()
-    n_of = {r["_part"]: r.n for r in counts}
-    starts, before = [], 0
-    for part in range(n_parts):
-        before = 0 if part % parts == 0 else before
-        starts.append(before)
-        before += n_of.get(part, 0)
+    below = [0, *[n for _, n in found]]
+    starts = [n - below[k // parts * parts] for k, n in enumerate(below)]
     # The one exchange. A part is a partition, in order, so the place in it is the low half of the number.
     moved = with_part.repartitionById(n_parts, F.col("_part")).sortWithinPartitions("_part", *_KEY)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -161,19 +161,6 @@ def shard(
     return unpacked(out, [c for c in rows.columns if c.lower() not in ("shard", "slot")], "shard", "slot")
 
 
-def _counted(cuts: list[tuple[int, int, int]]):
-    def run(batches):
-        counts = np.zeros(len(cuts) + 1, dtype=np.int64)
-        for batch in batches:
-            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            part = parts_of(keys, cuts) if cuts else np.zeros(batch.num_rows, dtype=np.int64)
-            counts += np.bincount(part, minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names=["_part", "n"])
-
-    return run
-
-
 def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns and size (UTF-8 bytes of the text plus 1), group, shard, slot. Null text: no bytes.
 
