@@ -42,10 +42,11 @@ def profile_upsert(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("user_id", F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old")).alias("p")).select("user_id", "p.*")
 
 
-def store_profiles(profiles: DataFrame, table: str, buckets: int) -> None:
-    """Write ``profiles`` as a table bucketed and sorted by user, replacing what is there."""
+def store_profiles(profiles: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Write ``profiles`` as a table bucketed and sorted by user, replacing what is there; below ``path`` if given, else in the warehouse."""
     one = profiles.select("user_id", *FIELDS).repartition(buckets, "user_id")
-    one.write.mode("overwrite").format("parquet").bucketBy(buckets, "user_id").sortBy("user_id").saveAsTable(table)
+    writer = one.write.mode("overwrite").format("parquet").bucketBy(buckets, "user_id").sortBy("user_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def stored_upsert(spark: SparkSession, table: str, edits: DataFrame, buckets: int) -> DataFrame:

@@ -385,7 +385,7 @@ def weighted_gate(s: StandIn) -> DataFrame:
 def stored_upsert(s: StandIn) -> DataFrame:
     """Edits that come twice, the later ones with a larger number, on a stored table."""
     name = f"profiles_{uuid.uuid4().hex}"
-    profile.store_profiles(s.profiles, name, 8)
+    profile.store_profiles(s.profiles, name, 8, tables.landing(s.spark, "profiles"))
     edits = s.profile_edits.withColumn("change_no", F.lit(1))
     later = edits.where("user_id % 2 = 0").withColumns({"full_name": F.lit("A later name"), "change_no": F.lit(2)})
     return profile.stored_upsert(s.spark, name, edits.unionByName(later), 8)
