@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKERS_TYPE = "array<struct<name:string,value:string,unit:string,reference_range:string,flag:string>>"
+_FIELDS_TYPE = "array<struct<name:variant,value:variant,unit:variant,referenceRange:variant,flag:variant>>"
 EXTRACTION_PROMPT = (
     "Extract the lab markers of the text as a JSON object with the key 'markers'. Each marker has name and value "
     "(strings), unit, referenceRange and flag (High, Low, Normal), which may be null. Return the JSON only."
@@ -79,15 +80,15 @@ def parse_markers(responses: DataFrame) -> DataFrame:
     variant = lambda path: F.try_variant_get("_v", path, "variant")
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
     one = F.col("_v").isNotNull() & variant("$[1]").isNull() & kind(variant("$[0]")).startswith("OBJECT") & kind(variant("$[0].markers")).startswith("ARRAY")
-    shaped = shaped.withColumn("_m", F.when(one, F.try_variant_get("_v", "$[0].markers", "array<variant>")))
-    field = lambda m, name: F.try_variant_get(m, f"$.{name}", "variant")
+    # One cast for all fields of all markers; a marker that is no object fails it. Fields stay variants, of which the kind is known.
+    shaped = shaped.withColumn("_m", F.when(one, F.try_variant_get("_v", "$[0].markers", _FIELDS_TYPE)))
 
     def good(m: Column) -> Column:
-        needed = (kind(field(m, "name")) == "STRING") & (kind(field(m, "value")) == "STRING")
-        optional = [kind(field(m, f)).isin("STRING", "VOID", "ABSENT") for f in ("unit", "referenceRange", "flag")]
-        return needed & optional[0] & optional[1] & optional[2] & kind(m).startswith("OBJECT")
+        needed = (kind(m["name"]) == "STRING") & (kind(m["value"]) == "STRING")
+        optional = [kind(m[f]).isin("STRING", "VOID", "ABSENT") for f in ("unit", "referenceRange", "flag")]
+        return needed & optional[0] & optional[1] & optional[2]
 
-    text = lambda m, name: F.try_variant_get(m, f"$.{name}", "string")
+    text = lambda m, name: F.try_variant_get(m[name], "$", "string")
     typed = F.transform(
         "_m",
         lambda m: F.struct(
