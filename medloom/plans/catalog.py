@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from medloom import schemas
 from medloom.functions import text as fx
-from medloom.operators import consult, extract, ingest, learned, names, profile, ranges, standard, textprep, vault, verify, workflow
+from medloom.operators import consult, extract, ingest, learned, names, profile, ranges, standard, textprep, vault, verify, workflow, zones
 from medloom.plans.oracles import ORACLES  # noqa: F401
 from medloom.sources import tables
 from medloom.sources.standin import StandIn
@@ -398,6 +398,16 @@ def key_zones(s: StandIn) -> DataFrame:
     return textprep.key_zones(ingest.join_ocr_lines(pages, ("doc_id",)))
 
 
+@query
+def line_zones(s: StandIn) -> DataFrame:
+    return zones.line_zones(s.sheets).select("doc_id", "line_no", "label")
+
+
+@query
+def result_zones(s: StandIn) -> DataFrame:
+    return zones.result_zones(s.sheets)
+
+
 @query
 def redact_pii(s: StandIn) -> DataFrame:
     return textprep.redact_pii(s.letters, s.patients, s.staff).select("doc_id", "user_id", F.sha2("text", 256).alias("text_sha256"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from medloom.operators import zones
 from medloom.operators.consult import CONSULT_PROMPT, DISCLAIMER, FOOTER, HEADER, STOP_WORDS
 from medloom.operators.extract import EXTRACTION_PROMPT
 from medloom.operators.textprep import ADDRESS, EMAIL, PHONE, RESULT_LINE
@@ -272,6 +273,28 @@ _EDITS = """
 """
 _PAYLOAD = "'{{\"model\":\"default\",\"messages\":[{{\"role\":\"system\",\"content\":' || to_json({0}) || '}},{{\"role\":\"user\",\"content\":' || to_json({1}) || '}}],\"temperature\":{2}}}'"
 _LINE = _re(RESULT_LINE)
+VIEWS["sheet_lines"] = """
+        SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
+            SELECT test_id AS doc_id, string_split('Results of the laboratory, 2020' || chr(10) || string_agg(
+                CASE pos % 3 WHEN 1 THEN name || ': ' || value || coalesce(' ' || reference_range, '') WHEN 2 THEN name || chr(10) || value
+                             ELSE name || chr(10) || value || chr(10) || coalesce(reference_range, 'no range, 1 of 2') END, chr(10) ORDER BY pos), chr(10)) AS ls
+            FROM lab_markers GROUP BY test_id)"""
+_FORMS = ["true", *[f"regexp_matches(line, {_re(p)})" for p in (RESULT_LINE, zones.NAME_LINE, zones.VALUE_LINE, zones.RANGE_LINE)]]
+_BEST = [
+    "list_max([" + ", ".join(f"{{'s': s{i} + {zones.FOLLOWS.get((a, b), 0)}, 'k': {-i}}}" for i, a in enumerate(zones.LABELS)) + "])" for b in zones.LABELS
+]
+# Points and way of each label, line by line.
+VIEWS["ways"] = f"""
+        SELECT DISTINCT doc_id, 0::BIGINT AS i, 0 AS s0, {', '.join(f'-1000000 AS s{j}' for j in range(1, 5))}, {', '.join(f"'' AS p{j}" for j in range(5))} FROM sheet_lines
+        UNION ALL SELECT doc_id, i, {', '.join(f'b{j}.s + e{j}' for j in range(5))}, {', '.join(f"([p0, p1, p2, p3, p4])[1 - b{j}.k] || '{j}'" for j in range(5))}
+        FROM (SELECT w.doc_id, l.i, p0, p1, p2, p3, p4, {', '.join(f'{b} AS b{j}' for j, b in enumerate(_BEST))},
+                     {', '.join(f'CASE WHEN {form} THEN {zones.FITS[label]} ELSE {zones.MISSES} END AS e{j}' for j, (label, form) in enumerate(zip(zones.LABELS, _FORMS)))}
+              FROM ways w JOIN sheet_lines l ON l.doc_id = w.doc_id AND l.i = w.i + 1)"""
+VIEWS["labelled"] = f"""
+        SELECT l.doc_id, i, line, substr(way, i, 1)::INT AS label FROM sheet_lines l JOIN (
+            SELECT doc_id, ([p0, p1, p2, p3, p4])[1 - list_max([{', '.join(f"{{'s': s{j}, 'k': {-j}}}" for j in range(5))}]).k] AS way
+            FROM ways QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) b ON l.doc_id = b.doc_id"""
+_NEEDS |= {"sheet_lines": ["lab_markers"], "ways": ["sheet_lines"], "labelled": ["ways"]}
 VIEWS["contacts"] = f"SELECT doc_id, user_id, {_redacted('text')} AS text FROM letters"
 _NEEDS["contacts"] = ["letters"]
 for _view in ("segs", "name_hits", "islands"):
@@ -465,6 +488,18 @@ ORACLES = {
             FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT test_id AS doc_id, string_split(string_agg(name || ': ' || value || coalesce(' ' || reference_range, ''), chr(10) ORDER BY pos), chr(10)) AS ls FROM lab_markers GROUP BY test_id))
             WHERE regexp_matches(line, {_LINE})""", "lab_markers"
     ),
+    "line_zones": sql(f"SELECT doc_id, (i - 1)::INT AS line_no, ({_list(zones.LABELS)})[label + 1] AS label FROM labelled", "labelled"),
+    "result_zones": sql(
+        f"""SELECT doc_id, (i - 1)::INT AS line_no, CASE WHEN label = 1 THEN 1 WHEN third = 4 AND g3 = '' THEN 3 ELSE 2 END AS n_lines,
+                   nullif(CASE WHEN label = 1 THEN regexp_extract(line, {_LINE}, 1) ELSE regexp_extract(line, {_re(zones.NAME_LINE)}, 1) END, '') AS name,
+                   nullif(CASE WHEN label = 1 THEN regexp_extract(line, {_LINE}, 2) ELSE regexp_extract(l2, {_re(zones.VALUE_LINE)}, 1) END, '') AS value,
+                   nullif(CASE WHEN label = 1 THEN regexp_extract(line, {_LINE}, 3) ELSE regexp_extract(l2, {_re(zones.VALUE_LINE)}, 2) END, '') AS unit,
+                   nullif(CASE WHEN label = 1 THEN regexp_extract(line, {_LINE}, 4) WHEN g3 <> '' THEN g3 WHEN third = 4 THEN regexp_extract(l3, {_re(zones.RANGE_LINE)}, 1) END, '') AS reference_range
+            FROM (SELECT *, lead(label) OVER w AS second, lead(label, 2) OVER w AS third, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3,
+                         coalesce(regexp_extract(lead(line) OVER w, {_re(zones.VALUE_LINE)}, 3), '') AS g3
+                  FROM labelled WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+            WHERE label = 1 OR label = 2 AND second = 3""", "labelled"
+    ),
     "redact_pii": sql(
         """SELECT segs.doc_id, user_id, sha256(coalesce(string_agg(CASE WHEN first IS NULL THEN s WHEN k = first THEN '[NAME]' ELSE '' END, '' ORDER BY k), '')) AS text_sha256
            FROM segs LEFT JOIN islands ON segs.doc_id = islands.doc_id AND k BETWEEN first AND last GROUP BY ALL""", "islands"

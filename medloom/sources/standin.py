@@ -195,6 +195,14 @@ class StandIn:
         reported = self.lab_markers.select("test_id", "name").where(F.length("name") % 2 == 0).join(self.lab_tests.select("test_id", "provider"), "test_id")
         return reported.select("provider", "name").distinct().withColumn("lab_standard_id", F.concat(F.lit("S-"), F.lower("name")))
 
+    @property
+    def sheets(self) -> DataFrame:
+        """Result sheets of tests: entries on one, two or three lines."""
+        lines = F.when(F.col("pos") % 3 == 1, F.concat("name", F.lit(": "), "value", F.coalesce(F.concat(F.lit(" "), "reference_range"), F.lit(""))))
+        lines = lines.when(F.col("pos") % 3 == 2, F.concat("name", F.lit("\n"), "value")).otherwise(F.concat("name", F.lit("\n"), "value", F.lit("\n"), F.coalesce("reference_range", F.lit("no range, 1 of 2"))))
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", lines.alias("t")))), lambda x: x["t"]), "\n")
+        return self.lab_markers.groupBy(F.col("test_id").alias("doc_id")).agg(F.concat(F.lit("Results of the laboratory, 2020\n"), whole).alias("text"))
+
     @property
     def code_claims(self) -> DataFrame:
         """Which code a laboratory gives a name, as some of the parts say."""
