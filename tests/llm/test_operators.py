@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from medloom.llm import bpe, catalog, exact_dedup, graph, language_id, line_dedup, mixing, ppm, quality_rules, sharding, simhash, url_filter
+from medloom.llm import bpe, catalog, clustering, exact_dedup, graph, language_id, line_dedup, mixing, ppm, quality_rules, sentencepiece_bpe, sharding, simhash, url_filter
 from medloom.llm.common import Scratch, ranked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, _key string"
@@ -811,6 +811,8 @@ def test_queries_have_their_columns(spark):
         "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6": "doc_id keep_id group_size kept text_sha256",
         "op7": "doc_id n_lines n_dropped kept_sha256", "op8": "doc_id size text_crc32 law shard slot grown_shard", "op9": "page_id host path rule verdict",
         "op10": "doc_id size source_size target taken", "op1": "doc_id language accepted",
+        "op11": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op13": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
     }
     names = {n.split("_")[0]: n for n in catalog.QUERIES if n.startswith("op")}
     assert set(names) == set(wanted)
@@ -825,7 +827,8 @@ def test_queries_equal_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    for table in ("documents", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
     result = con.execute(catalog.ORACLES[name])
     columns = [c[0] for c in result.description]
     got = catalog.QUERIES[name](spark, folder)
@@ -848,7 +851,8 @@ def test_columns_of_any_name_keep_their_values(spark):
     outs = {
         "lines": line_dedup.dedup_lines(df), "exact": exact_dedup.exact_dedup(df), "near": simhash.near_dedup(df), "language": language_id.keep_known_languages(df),
         "mixed": mixing.mixed_documents(df), "shards": sharding.shard_documents(df), "bpe": bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, out_col="tokens"),
-        "rules": quality_rules.cleaned_documents(df, max_line_docs=500),
+        "rules": quality_rules.cleaned_documents(df, max_line_docs=500), "pieces": sentencepiece_bpe.encode(df, P.path("piece_bpe_32k.model"), out_col="tokens", decoded_col="back"),
+        "clusters": clustering.cluster_vectors(df.withColumn("vector", F.array(*[F.col("doc_id") + k for k in range(64)])), "doc_id", "vector"),
     }
     for name, out in outs.items():
         got = out.collect()
