@@ -51,7 +51,8 @@ def _directory_hits(cut: DataFrame, people: DataFrame) -> DataFrame:
     seg = lambda k: F.get(F.col("_segs"), k)
     starts = F.filter(F.sequence(F.lit(0), F.size("_segs") - 1), lambda k: seg(k).rlike(CAPITAL) & F.coalesce(seg(k + 2).rlike(CAPITAL) & seg(k + 1).rlike(BRIDGE), F.lit(False)))
     pairs = F.transform(starts, lambda k: F.struct(k.alias("k"), F.lower(seg(k)).alias("a"), F.lower(seg(k + 2)).alias("b")))
-    asked = cut.where("size(_segs) > 2").select("_r1", "_r2", F.explode(pairs).alias("p")).select("_r1", "_r2", "p.*")
+    # The outer form: the other one is filtered first, which works out the pairs twice. Rows without pairs meet no name.
+    asked = cut.select("_r1", "_r2", F.explode_outer(pairs).alias("p")).select("_r1", "_r2", "p.*")
     found = asked.join(name_pairs(people), ["a", "b"])
     return found.groupBy("_r1", "_r2").agg(F.array_distinct(F.flatten(F.collect_set(F.array(F.col("k"), F.col("k") + 2)))).alias("_found"))
 
@@ -78,7 +79,7 @@ def with_name_spans(docs: DataFrame, profiles: DataFrame, people: DataFrame | No
     if people is not None:
         keys = _row_key(F.col(text))
         cut = docs.select(*keys, F.regexp_extract_all(F.col(text), F.lit(SEGMENT), F.lit(0)).alias("_segs"))
-        found = _directory_hits(cut.dropDuplicates(["_r1", "_r2"]), people)
+        found = _directory_hits(cut, people)
         out = out.select("*", *keys).join(found, ["_r1", "_r2"], "left").drop("_r1", "_r2")
         hits = F.array_sort(F.array_union(hits, F.coalesce("_found", F.array().cast("array<int>"))))
     out = out.withColumn("_hits", hits)
