@@ -171,14 +171,14 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, sp
     """``rows`` with ``found``: the struct of the other columns of their row of ``table``, a kept table with one row for each key; null if there is none.
 
     ``count`` tells how many rows a key of ``table`` has, about. Keys that are hot by it are few,
-    and are broadcast; rows that they take are dealt out by ``spread`` in the join of the
-    other keys, so no task gets all rows of a key.
+    and are broadcast; rows that they take, and rows without a key, are dealt out by ``spread`` in
+    the join of the other keys, so no task gets all rows of a key.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > HOT_SHARE * total
     found = F.struct(*[c for c in table.columns if c not in on])
     first = rows.join(F.broadcast(table.where(hot).select(*on, found.alias("_hot"))), on, "left")
-    first = first.withColumn("_key", F.when(F.col("_hot").isNotNull(), spread.cast(table.schema[on[0]].dataType)).otherwise(F.col(on[0])))
+    first = first.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col(on[0]).isNull(), spread.cast(table.schema[on[0]].dataType)).otherwise(F.col(on[0])))
     rest = table.where(~hot).select(F.col(on[0]).alias("_key"), *on[1:], found.alias("_cold"))
     out = first.join(rest, ["_key", *on[1:]], "left")
-    return out.select(*rows.columns, F.coalesce("_hot", "_cold").alias("found"))
+    return out.select(*rows.columns, F.when(F.col(on[0]).isNotNull(), F.coalesce("_hot", "_cold")).alias("found"))

@@ -694,6 +694,27 @@ def test_trust_is_measured_outside_the_fit(spark):
     assert sure[60] < 0.65 and sure[4000] > 0.8
 
 
+def test_a_thousand_languages(spark):
+    """Every declared name is learnt, however many there are, and a text finds its own among all."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    rows = []
+    for lang in range(1000):
+        vocab = [word() for _ in range(6)]
+        for k in range(6):
+            said = [f"l{lang:04d}", None][k == 5]
+            rows.append((lang * 10 + k, " ".join(rng.choices(vocab, k=12)), said, [f"h{lang % 7}.example.org", None][lang % 3 == 0]))
+    rows += [(10**6, "ωωω ψψψ", "l0007", None), (10**6 + 1, "ωωω ψψψ", None, None), (10**6 + 2, "ωωω ψψψ", "x" * 101, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    model, one_in = language_id.fit(df, "text", "lang")
+    assert len(model.languages) == 1000 and set(one_in.values()) == {1}
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows)
+    right = sum(got[r[0]].language == f"l{r[0] // 10:04d}" and got[r[0]].accepted for r in rows[:-3])
+    assert right >= 0.99 * 6000 and got[10**6].language == "l0007"
+    assert not got[10**6 + 1].accepted and not got[10**6 + 2].accepted
+
+
 def test_language_id_of_declared_names_in_capitals(spark):
     rows = [(k, LABELLED[k % 2][1], ["EN", "pt-BR", "en", "pt-br"][k % 4]) for k in range(40)] + [(40, "ωωω ψψψ", "pt-BR")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
