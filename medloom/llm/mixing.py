@@ -25,6 +25,8 @@ from .common import SPACE, USER, Scratch, packed, quoted, ranked, spread_join, u
 BROADCAST_SOURCES = 100_000
 #: Newton stops when no source misses its target by more than this share of it.
 TOLERANCE, MAX_NEWTON = 1e-9, 60
+#: A source that misses its target by more than this share after all steps is an error.
+FAILED = 1e-6
 #: Buckets of each round of the threshold search, and its rounds.
 BUCKETS, ROUNDS = 1024, 3
 #: Times that shorter documents fill what the rounding left of each source's target.
@@ -81,7 +83,8 @@ def solve_duals(scratch: Scratch, sizes: DataFrame, targets: DataFrame, cap: int
     """``targets`` with the dual of each source that meets its target.
 
     Newton on the convex dual, all sources in one grouped job per step; a step that
-    leaves the bracket of a source's dual is replaced by its bisection.
+    leaves the bracket of a source's dual is replaced by its bisection. Sources that are
+    further than ``FAILED`` from their targets after ``MAX_NEWTON`` steps raise an error.
     """
     n_sources = targets.count()
     at = scratch.keep(
@@ -116,19 +119,24 @@ def solve_duals(scratch: Scratch, sizes: DataFrame, targets: DataFrame, cap: int
         return (
             at.join(_small(sums, n_sources), key)
             .withColumns({"met": met, "low2": low, "high2": high, "next": F.when(met, F.col("dual")).when(inside, newton).otherwise(middle)})
-            .select("source", "source_size", "target", "mean", "full", F.col("next").alias("dual"), F.col("low2").alias("low"), F.col("high2").alias("high"), "met")
+            .select("source", "source_size", "target", "mean", "full", F.col("next").alias("dual"), F.col("low2").alias("low"), F.col("high2").alias("high"), "met",
+                    F.when(~F.col("met"), F.abs(miss) / F.col("target")).alias("off"))
         )
 
     for _ in range(MAX_NEWTON // STEPS):
         after = at
         for _ in range(STEPS):
-            after = step(after.drop("met"))
+            after = step(after.drop("met", "off"))
         after = scratch.keep(after)
         scratch.drop(at)
         at = after
         if at.where("not met").isEmpty():
             break
-    at = at.drop("met")
+    else:
+        failed = at.where(F.col("off") > FAILED).count()
+        if failed:
+            raise RuntimeError(f"{failed} of {n_sources} sources miss their targets after {MAX_NEWTON} steps")
+    at = at.drop("met", "off")
     # Sums of doubles differ in their last digits from run to run; the rates must not.
     return at.withColumn("dual", F.round("dual", 9))
 

@@ -351,6 +351,13 @@ def test_mixing_of_repeated_rows(spark):
     assert all(sorted(x) == list(range(len(x))) for x in nth.values()) and len(nth[1, "a", 10]) == 30
 
 
+def test_a_search_without_end_is_an_error(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    monkeypatch.setattr(mixing, "MAX_NEWTON", 1)
+    with pytest.raises(RuntimeError, match="miss their targets"):
+        mixing.mix(docs).count()
+
+
 def test_targets_that_are_capped(spark):
     rows = [(k, "w " * n, s) for k, (s, n) in enumerate([("a", 1)] * 3 + [("b", 100)] * 5 + [("c", 2)] * 3 + [("d", 90)] * 4)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
