@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from medloom.llm import bpe, catalog, clustering, exact_dedup, graph, language_id, line_dedup, mixing, ppm, quality_rules, sentencepiece_bpe, sharding, simhash, url_filter
-from medloom.llm.common import Scratch, ranked
+from medloom.llm.common import Scratch, ranked, spread_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, _key string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -701,6 +701,17 @@ def test_trust_is_measured_outside_the_fit(spark):
     assert sure[60] < 0.65 and sure[4000] > 0.8
 
 
+def test_rows_without_a_key_find_nothing(spark):
+    """Rows without a key are dealt out by numbers, which can be names of keys."""
+    scratch = Scratch(spark, "t")
+    for n in (1, 20_000):
+        # One key is hot, or none is.
+        table = scratch.keep(spark.range(n).select(F.col("id").cast("string").alias("host"), F.lit(1).alias("n"), F.lit("x").alias("v")))
+        rows = spark.createDataFrame([(k, None if k % 2 else "0") for k in range(40)], "id long, host string")
+        got = spread_join(rows, table, ["host"], "n", F.lit(0)).collect()
+        assert len(got) == 40 and all((r.found is None) == (r.host is None) for r in got)
+
+
 def test_a_thousand_languages(spark):
     """Every declared name is learnt, however many there are, and a text finds its own among all."""
     rng = random.Random(21)
