@@ -37,6 +37,18 @@ def test_profiles_against_a_plain_version(spark):
     assert got["a"] == "en" and got["b"] == "de" and got["g"] == "fr" and got["c"] == got["d"] == got["e"] == "und"
 
 
+def test_texts_are_judged_where_they_are(spark):
+    """No trigram of a text is a row; those of rows that share an id are counted together."""
+    texts = [("der hund und die katze", "de"), ("the dog and the cat 𝒶𝒷𝒸", "en")]
+    profiles = learned.language_profiles(spark.createDataFrame(texts, "text string, lang string"), 20)
+    asked = [("a", "the cat"), ("a", "und die katze der hund"), ("b", None), ("b", "the dog"), ("c", None), ("c", None), ("d", "𝒶𝒷𝒸"), (None, "the dog"), (None, "hund")]
+    docs = spark.createDataFrame(asked, "doc_id string, text string")
+    got = sorted(map(tuple, learned.profile_languages(docs, profiles, 20).collect()), key=str)
+    assert got == [("a", "de"), ("b", "en"), ("c", "und"), ("d", "en"), (None, "und")]
+    single = learned.profile_languages(docs.where("text LIKE 'the dog'"), profiles, 20)
+    assert "Generate" not in single._jdf.queryExecution().executedPlan().toString()
+
+
 def test_languages_of_unseen_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''")
     profiles = learned.language_profiles(docs.where("doc_id % 2 = 0"))
