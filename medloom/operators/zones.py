@@ -2,12 +2,14 @@
 
 Each line has points for each label by its form, and each pair of neighbouring labels by how
 they go together. The labels of a text are those with the most points in all, found line by line
-(Viterbi) by a fold over the lines and one back over what it noted. So a name, its value and its
+(Viterbi) for all texts of an Arrow batch side by side. So a name, its value and its
 range are one result also where the scan has put them on lines of their own.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,76 +27,69 @@ FOLLOWS = {
     ("name", "value"): 3, ("name", "other"): -1, ("name", "row"): -1, ("name", "name"): -1, ("name", "range"): -5, ("value", "range"): 1,
     ("other", "value"): -3, ("row", "value"): -3, ("value", "value"): -3, ("range", "value"): -3, ("other", "range"): -3, ("range", "range"): -3,
 }
-#: Lines in one piece of a growing list: appending copies a piece, not the list.
-PIECE = 256
 
 
-def line_points(line: Column) -> Column:
-    """Points of each label for the form of a line."""
-    forms = [F.lit(True), line.rlike(RESULT_LINE), line.rlike(NAME_LINE), line.rlike(VALUE_LINE), line.rlike(RANGE_LINE)]
-    return F.array(*[F.when(form, FITS[label]).otherwise(MISSES) for label, form in zip(LABELS, forms)])
+def line_form(line: Column) -> Column:
+    """Which of the four forms a line has, as the bits of a number."""
+    # What a form cannot be without is looked for first: few lines meet more than one of the longer patterns.
+    digit = line.rlike("[0-9]")
+    forms = [digit & line.rlike(RESULT_LINE), ~digit & line.rlike(NAME_LINE), digit & line.rlike(VALUE_LINE), line.contains("-") & line.rlike(RANGE_LINE)]
+    return sum((F.when(form, 1 << k).otherwise(0) for k, form in enumerate(forms)), F.lit(0))
+
+
+def _points() -> tuple[np.ndarray, np.ndarray]:
+    """Points of each label (column) for each number of ``line_form``, and from each label (row) to the next one."""
+    has = np.array([[True, *(form >> k & 1 for k in range(len(LABELS) - 1))] for form in range(1 << len(LABELS) - 1)], bool)
+    return np.where(has, [FITS[x] for x in LABELS], MISSES), np.array([[FOLLOWS.get((a, b), 0) for b in LABELS] for a in LABELS])
+
+
+def _best_labels(forms: pa.Array) -> pa.Array:
+    """Numbers of the labels of the lines of each text, as if after an "other" line; of ways with equal points the one with smaller numbers, from the end."""
+    fits, follows = _points()
+    n = forms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    form, ends = forms.flatten().to_numpy(zero_copy_only=False), np.cumsum(n)
+    # The texts with the most lines come first, so those that still have a line are always the first ones.
+    order = np.argsort(-n, kind="stable")
+    first, steps = (ends - n)[order], int(n.max(initial=0))
+    live = len(n) - np.cumsum(np.bincount(n, minlength=steps + 1))
+    scores = np.full((len(n), len(LABELS)), -(10**6))
+    scores[:, 0] = 0
+    before = np.empty((len(form), len(LABELS)), np.int8)
+    for k in range(steps):
+        at = first[: live[k]] + k
+        ways = scores[: live[k], :, None] + follows
+        before[at] = ways.argmax(1)
+        scores[: live[k]] = ways.max(1) + fits[form[at]]
+    label, out = scores.argmax(1), np.empty(len(form), np.int32)
+    for k in range(steps - 1, -1, -1):
+        at = first[: live[k]] + k
+        out[at] = label[: live[k]]
+        label[: live[k]] = before[at, out[at]]
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(out), mask=forms.is_null())
+
+
+def _labelled(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc_id, _lines and _labels of each text."""
+
+    @F.arrow_udf("array<int>")
+    def labels(forms: pa.Array) -> pa.Array:
+        return _best_labels(forms)
 
-
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _grown(state: Column, item: Column) -> list[Column]:
-    """done and piece of a list in pieces, with one more item."""
-    piece = F.concat(state["piece"], F.array(item))
-    full = F.size(state["piece"]) == PIECE - 1
-    return [F.when(full, F.concat(state["done"], F.array(piece))).otherwise(state["done"]).alias("done"), F.when(full, F.array().cast("array<int>")).otherwise(piece).alias("piece")]
-
-
-def _whole(state: Column) -> Column:
-    return F.concat(F.flatten(state["done"]), state["piece"])
-
-
-def _empty() -> list[Column]:
-    return [F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("piece")]
-
-
-def labels_of(points: Column) -> Column:
-    """Numbers of the labels of the lines with these points, as if after an "other" line; of ways with equal points the one with smaller numbers, from the end."""
-    to = F.array(*[F.array(*[F.lit(FOLLOWS.get((a, b), 0)) for a in LABELS]) for b in LABELS])
-    powers = F.array(*[F.lit(8**k) for k in range(len(LABELS))])
-    # The struct with the most points, then the smaller number.
-    best = lambda scores, more: F.array_max(F.transform(scores, lambda s, i: F.struct((s + more(i)).alias("s"), (-i).alias("k"))))
-
-    def forward(state: Column, line: Column) -> Column:
-        ways = F.transform(to, lambda t: best(state["scores"], lambda i: F.get(t, i)))
-
-        def noted(w: Column) -> Column:
-            scores = F.zip_with(F.transform(w, lambda x: x["s"]), line, lambda a, b: a + b)
-            packed = F.aggregate(F.transform(w, lambda x, j: -x["k"] * F.get(powers, j)), F.lit(0), lambda a, x: a + x)
-            return F.struct(scores.alias("scores"), *_grown(state, packed))
-
-        return _bound(ways, noted)
-
-    # Before the first line there is another text.
-    first = F.struct(F.array(*[F.lit(0 if label == "other" else -(10**6)) for label in LABELS]).alias("scores"), *_empty())
-    passed = F.aggregate(points, first, forward, lambda state: F.struct((-best(state["scores"], lambda i: F.lit(0))["k"]).alias("last"), _whole(state).alias("from")))
-
-    def back(state: Column, packed: Column) -> Column:
-        before = F.floor(packed / F.get(powers, state["at"])).cast("int") % 8
-        return F.struct(before.alias("at"), *_grown(state, state["at"]))
-
-    return _bound(passed, lambda p: F.reverse(F.aggregate(F.reverse(p["from"]), F.struct(p["last"].alias("at"), *_empty()), back, _whole)))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("_lines"))
+    return lines.withColumn("_labels", labels(F.transform("_lines", line_form)))
 
 
 def line_zones(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, label, line: every line of each text with its label. A null text has no lines."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("_lines"))
-    numbered = lines.withColumn("_labels", labels_of(F.transform("_lines", line_points)))
+    numbered = _labelled(docs, id_col, text)
     each = numbered.select("doc_id", F.posexplode(F.arrays_zip("_labels", "_lines")).alias("line_no", "x"))
     return each.select("doc_id", "line_no", F.get(F.array(*map(F.lit, LABELS)), F.col("x._labels")).alias("label"), F.col("x._lines").alias("line"))
 
 
 def result_zones(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, n_lines, name, value, unit, reference_range: one row for each result, on one line or on up to three."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("_lines"))
-    numbered = lines.withColumn("_labels", labels_of(F.transform("_lines", line_points)))
+    numbered = _labelled(docs, id_col, text)
     label, line = lambda k: F.get("_labels", k), lambda k: F.get("_lines", k)
     is_label = lambda k, name: F.coalesce(label(k) == LABELS.index(name), F.lit(False))
     starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda k: is_label(k, "row") | is_label(k, "name") & is_label(k + 1, "value"))

@@ -63,3 +63,18 @@ def test_many_lines(spark):
     got = zones.result_zones(spark.createDataFrame([("d", text)], "doc_id string, text string"))
     assert got.groupBy("name", "n_lines").count().orderBy("name").collect() == [("Glucose", 3, n), ("WBC", 1, n)]
     assert zones.line_zones(spark.createDataFrame([("d", text)], "doc_id string, text string")).where(F.col("label") == "other").count() == n
+
+
+def test_labels_without_a_fold(spark):
+    """Texts of very different lengths side by side; the labels are no expression that is worked out line by line."""
+    texts = [(str(k), None if k == 3 else "\n".join(LINES[(k + j) % len(LINES)] for j in range(k % 5 * k))) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string").coalesce(1)
+    got = zones.line_zones(docs)
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    together = {}
+    for r in got.orderBy("doc_id", "line_no").collect():
+        together.setdefault(r.doc_id, []).append(r.label)
+    alone = {}
+    for r in zones.line_zones(docs.repartition(40, "doc_id")).orderBy("doc_id", "line_no").collect():
+        alone.setdefault(r.doc_id, []).append(r.label)
+    assert together == alone and {k: len(v) for k, v in together.items()} == {k: len(t.split("\n")) for k, t in texts if t is not None}
