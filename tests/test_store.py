@@ -153,3 +153,20 @@ def test_codes_are_saved_on_demand(spark, tmp_path):
     for codes in (False, True):
         verify.save_tests(*verify.to_lab_tests(docs, markers, codes), f"{tmp_path}/{codes}")
         assert read_saved(spark, f"{tmp_path}/{codes}", "lab_markers").first().loinc_code == ("1-1" if codes else None)
+
+
+def test_what_is_saved_is_not_worked_out_again(spark, tmp_path):
+    """A rerun compares ids; it reads no marker."""
+    from medloom.operators import store, verify
+    from medloom.sources.standin import StandIn
+
+    s = StandIn(spark, "/root/testdata/sf0.001")
+    tests, markers = verify.to_lab_tests(s.owners, s.markers_by_doc, keep_doc=True)
+    path = f"file://{tmp_path}/store"
+    verify.save_tests(tests, markers, path)
+    broken = markers.withColumn("name", F.raise_error(F.lit("a marker was read")).cast("string"))
+    verify.save_tests(tests, broken, path)
+    assert len(store.Store(spark, path)._commits()) == 1
+    saved = spark.read.parquet(f"{path}/lab_markers")
+    assert saved.count() == s.lab_markers.count() and "doc_id" not in saved.columns
+    assert s.markers_by_test.exceptAll(s.lab_markers).isEmpty()
